@@ -83,23 +83,25 @@ def shuffle_rows(df: DataFrame, seed, key: str = "doc_id") -> DataFrame:
 
 
 def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx",
-                bucket: Column | None = None, start: int = 0) -> DataFrame:
-    """Dense index in ``order_cols`` order without a single-partition window.
+                bucket: Column | None = None, start: int = 0, by=()) -> DataFrame:
+    """Dense index in ``order_cols`` order (within ``by`` groups) without one window
+    over a whole group.
 
     Rows are cut into buckets that follow the order (``bucket`` must be monotone in the
     order; default: the first 4 hex digits of the first order column, for md5 keys).
-    Each bucket is numbered by its own window (bounded by the bucket size), the bucket
-    sizes (at most 65,536 rows) get a running total, and that offset is added back."""
+    Each (group, bucket) is numbered by its own window (bounded by the bucket size), the
+    bucket sizes (at most 65,536 per group) get a running total, and that offset is
+    added back with a join on (group, bucket)."""
+    by = [by] if isinstance(by, str) else list(by)
     b = bucket if bucket is not None else F.substring(F.col(order_cols[0]), 1, 4)
     x = df.withColumn("_b", b)
-    counts = x.groupBy("_b").agg(F.count("*").alias("_n"))
-    offs = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1))).alias("_off"))
-    offs = offs.fillna(0, ["_off"])
-    w = Window.partitionBy("_b").orderBy(*order_cols)
+    counts = x.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    offs = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*by, "_b").orderBy(*order_cols)
     x = x.withColumn("_rn", F.row_number().over(w))
-    # the offsets table has one row per bucket (<= 65,536): a bounded broadcast
-    return (x.join(F.broadcast(offs), "_b")
+    return (x.join(offs, [*by, "_b"])
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1 + start).cast("long"))
             .drop("_b", "_rn", "_off"))
 
