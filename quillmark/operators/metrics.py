@@ -115,14 +115,12 @@ def score_histogram(pred: DataFrame, by=(), bins: int = 20) -> DataFrame:
     ``(by..., label, bin, count, density)``.  Zero-filling joins the observed
     (by, label) pairs with the fixed bin list (``bins`` rows, broadcast)."""
     b = _by(by)
-    spark = pred.sparkSession
     step = 1.0 / bins
     inr = pred.filter((F.col("score") >= 0) & (F.col("score") <= 1))
     counts = inr.groupBy(*b, "label", score_bin(F.col("score"), bins).alias("bin")).agg(
         F.count("*").alias("count"))
     keys = inr.groupBy(*b, "label").agg(F.count("*").alias("n"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    full = keys.crossJoin(F.broadcast(grid))   # (groups) x (fixed bin list)
+    full = keys.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("bin") + 1) * F.lit(step) - F.col("bin") * F.lit(step)
     return (full.join(counts, [*b, "label", "bin"], "left")
             .select(*b, "label", "bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"),

@@ -45,7 +45,9 @@ def standard_scale(train: DataFrame, test: DataFrame, cols: list[str], by=()):
     st = scaler_stats(train, cols, by)
 
     def apply(d: DataFrame) -> DataFrame:
-        j = d.join(F.broadcast(st), by) if by else d.crossJoin(F.broadcast(st))
+        # one statistics row per group (a bounded broadcast); no groups -> constant key
+        j = (d.join(F.broadcast(st), by) if by else
+             d.withColumn("_k", F.lit(1)).join(F.broadcast(st.withColumn("_k", F.lit(1))), "_k").drop("_k"))
         for c in cols:
             s = F.col(f"{c}__std")
             j = j.withColumn(c, (F.col(c) - F.col(f"{c}__mean")) / F.when(s == 0, F.lit(1.0)).otherwise(s))

@@ -100,15 +100,17 @@ def rule_variants_long(df: DataFrame, rules: list[str] | None = None,
             .select(key, "variant_pos", "variant", "text"))
 
 
-def rewrite_requests(df: DataFrame, prompts: DataFrame, suffix: str = "",
+def rewrite_requests(df: DataFrame, prompts: list[str] | None = None, suffix: str = "",
                      key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One request per (record, prompt): ``prompt: "text"``.  The prompt table is a
-    fixed handful of rows, so it is broadcast and the corpus is never shuffled."""
-    p = F.broadcast(prompts.select("variant_pos", "prompt"))
-    return (df.select(key, text).crossJoin(p)
-            .select(key, "variant_pos",
+    """One request per (record, prompt): ``prompt: "text"``.  The prompt list is a
+    handful of constants, so it is an array literal exploded per record: no join and
+    no shuffle of the corpus."""
+    prompts = prompts or TEXT_PROMPTS
+    arr = F.array(*[F.lit(p) for p in prompts])
+    x = df.select(key, text, F.posexplode(arr).alias("variant_pos", "prompt"))
+    return x.select(key, F.col("variant_pos").cast("int").alias("variant_pos"),
                     F.format_string('%s%s: "%s"', F.col("prompt"), F.lit(suffix), F.col(text))
-                    .alias("request")))
+                    .alias("request"))
 
 
 def attach_rewrites(df: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -154,7 +154,7 @@ SELECT doc_id, variant_pos, md5(prompt || ': "' || text || '"') AS request_md5,
        CAST(length(prompt || ': "' || text || '"') AS BIGINT) AS request_chars
 FROM {CORPUS_SQL} c, p""")
 def q_requests(spark, sf_dir):
-    r = V.rewrite_requests(corpus(spark, sf_dir), V.prompts_df(spark))
+    r = V.rewrite_requests(corpus(spark, sf_dir), V.TEXT_PROMPTS)
     return r.select("doc_id", "variant_pos", F.md5("request").alias("request_md5"),
                     F.length("request").cast("long").alias("request_chars"))
 
