@@ -43,10 +43,11 @@ def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id",
     return x.select(key, "term", (F.col("raw") / nrm).alias("w"))
 
 
-def sparse_cosine(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Cosine distance between L2-normalised sparse vectors ``(keys..., term, w)`` of two
-    sides matched on ``keys``: 1 - sum over shared terms of w_a*w_b (a side without
-    terms has distance 1)."""
-    j = (a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), [*keys, "term"])
+def sparse_cosine(a: DataFrame, b: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
+    """Cosine distance between L2-normalised sparse vectors ``(…, term, w)``: side ``a``
+    rows grouped by ``keys`` are matched with side ``b`` on ``on`` + term; distance is
+    1 - sum of w_a*w_b over shared terms (a pair with no shared term is absent: 1)."""
+    on = on or keys
+    j = (a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), [*on, "term"])
          .groupBy(*keys).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")))
     return j.select(*keys, F.least(F.greatest(1.0 - F.col("dot"), F.lit(0.0)), F.lit(2.0)).alias("cos"))
