@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_corpus, q_density, q_eval, q_features, q_robust, q_text, q_vectors  # noqa: F401
+from . import q_corpus, q_density, q_eval, q_features, q_ops, q_robust, q_text, q_vectors  # noqa: F401
 from .registry import IDS, ORACLES, QUERIES
 
 
