@@ -71,6 +71,9 @@ def kde2d(points: DataFrame, by: str, cls: str = "label", n: int = 150, pad: flo
     """K3: Gaussian KDE of each (group, class) evaluated on its group's K2 grid:
     ``(by, cls, cell, x, y, density)``.  The tasks rebuild the grid from four range
     numbers per group, so only per-group / per-class statistics leave the executors."""
+    # the points feed three jobs (statistics, partial sums, grid); keep their plan from
+    # being re-run: a cache (recomputed from lineage if an executor is lost)
+    points = points.select(by, cls, "x", "y").cache()
     st = kde_stats(points, by, cls)
     rng = points.groupBy(by).agg((F.min("x") - pad).alias("x0"), (F.max("x") + pad).alias("x1"),
                                  (F.min("y") - pad).alias("y0"), (F.max("y") + pad).alias("y1"))

@@ -6,8 +6,13 @@ is capped at ``max_features`` rows, so broadcasting it is bounded by constructio
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # word characters in runs of two or more, lower-cased (default analyzer of the
 # reference's vectorizer)
@@ -21,12 +26,17 @@ def terms(text) -> Column:
 
 def tfidf_fit(docs: DataFrame, max_features: int = 5000, key: str = "doc_id",
               text: str = "text") -> DataFrame:
-    """``(term, cnt, df, idf)`` for the top ``max_features`` terms."""
-    tf = docs.select(key, F.explode(terms(text)).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count("*").alias("df"))
+    """``(term, cnt, df, idf)`` for the top ``max_features`` terms.
+
+    Corpus frequency and document frequency are two word counts grouped by term only
+    (occurrences, and distinct terms per text), so map-side combining shrinks each to
+    about one row per (partition, term) before the exchange; no (text, term) pair is
+    shuffled."""
+    t = docs.select(terms(text).alias("_t"))
+    cnt = t.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count("*").alias("cnt"))
+    dfq = t.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.select(F.count("*")).scalar()                  # scalar subquery
-    top = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
+    top = cnt.join(dfq, "term").orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
     return top.select("term", F.col("cnt").cast("long"), F.col("df").cast("long"),
                       (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
@@ -51,3 +61,40 @@ def sparse_cosine(a: DataFrame, b: DataFrame, keys: list[str], on: list[str] | N
     j = (a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), [*on, "term"])
          .groupBy(*keys).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")))
     return j.select(*keys, F.least(F.greatest(1.0 - F.col("dot"), F.lit(0.0)), F.lit(2.0)).alias("cos"))
+
+
+def tfidf_cosines_inrow(df: DataFrame, vocabulary: DataFrame, text: str = "text",
+                        variants: str = "variants", out: str = "tfidf_cos") -> DataFrame:
+    """Block 5 inside each record: TF-IDF vectors of the original and of every variant
+    (same vocabulary / idf as E1-E2) and their cosine distances, as
+    ``ARRAY<DOUBLE>`` in variant order.  The vocabulary is at most ``max_features``
+    rows (bounded), so it ships to the tasks with the function; no term row is
+    shuffled."""
+    idf = {r["term"]: float(r["idf"]) for r in vocabulary.select("term", "idf").collect()}
+    pat = regex.compile(TERM_PATTERN)
+
+    def vec(s):
+        if s is None:
+            return {}
+        v: dict = {}
+        for t in pat.findall(s.lower()):
+            w = idf.get(t)
+            if w is not None:
+                v[t] = v.get(t, 0.0) + w
+        nrm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / nrm for k, x in v.items()} if nrm > 0 else {}
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def cos(orig: pd.Series, vs: pd.Series) -> pd.Series:
+        res = []
+        for o, lst in zip(orig, vs):
+            a = vec(o)
+            row = []
+            for v in (lst if lst is not None else []):
+                b = vec(v)
+                small, big = (a, b) if len(a) < len(b) else (b, a)
+                d = sum(x * big.get(k, 0.0) for k, x in small.items())
+                row.append(min(max(1.0 - d, 0.0), 2.0))
+            res.append(row)
+        return pd.Series(res)
+    return df.withColumn(out, cos(F.col(text), F.transform(variants, lambda v: v["text"])))

@@ -51,10 +51,11 @@ def prompts_df(spark: SparkSession, domain: str = "text") -> DataFrame:
         "domain string, variant_pos int, prompt string")
 
 
-def rule_rewrite(rule: str, text) -> Column:
-    """One deterministic rewrite of ``text`` (a Column)."""
+def rule_rewrite(rule: str, text, w: Column | None = None) -> Column:
+    """One deterministic rewrite of ``text`` (a Column); ``w`` may carry the text's
+    words already split."""
     t = F.col(text) if isinstance(text, str) else text
-    w = words(t)
+    w = words(t) if w is None else w
     n = F.size(w)
     if rule == "drop_every_5th":
         out = F.filter(w, lambda x, i: (i + 1) % 5 != 0)
@@ -83,10 +84,12 @@ def rule_variants(df: DataFrame, rules: list[str] | None = None, text: str = "te
     """Adds ``variants ARRAY<STRUCT<variant_pos INT, text STRING>>`` built row-locally:
     no join, no shuffle."""
     rules = rules or RULES
+    # split once; the projection is kept because several rules reference it
+    x = df.withColumn("_w", words(text))
     arr = F.array(*[
-        F.struct(F.lit(i).alias("variant_pos"), rule_rewrite(r, text).alias("text"))
+        F.struct(F.lit(i).alias("variant_pos"), rule_rewrite(r, text, F.col("_w")).alias("text"))
         for i, r in enumerate(rules)])
-    return df.withColumn("variants", arr)
+    return x.withColumn("variants", arr).drop("_w")
 
 
 def rule_variants_long(df: DataFrame, rules: list[str] | None = None,

@@ -85,11 +85,29 @@ cs AS (SELECT r.doc_id, r.variant_pos, least(greatest(1.0 - sum(r.w * o.w), 0.0)
        WHERE r.variant_pos >= 0 GROUP BY ALL)"""
 
 
-@register("wide_tfidf_cos", "G2 block 5 + E1/E2", "WITH " + _sql_base()[1:] + ", " + TFIDF_COS_SQL + """
+@register("wide_tfidf_cos", "G2 block 5 + E1", "WITH " + _sql_base()[1:] + ", " + TFIDF_COS_SQL + """
 SELECT d.doc_id, """ + ", ".join(
     S.r6(f"coalesce(max(CASE WHEN cs.variant_pos = {p} THEN cs.cos_d END), 1.0)") + f" AS cos_v{p}" for p in range(P))
     + " FROM d LEFT JOIN cs USING (doc_id) GROUP BY d.doc_id")
 def q_wide_tfidf_cos(spark, sf_dir):
+    from ..operators.variants import rule_variants
+    from ..session import spread
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    allv = rule_variants(d).cache()     # feeds the vocabulary fit and the distances
+    texts = allv.select("text").unionByName(allv.select(F.inline("variants")).select("text"))
+    voc = TF.tfidf_fit(texts, 5000)
+    x = G.length_filter(G.with_tokens(allv))
+    c = TF.tfidf_cosines_inrow(x, voc)
+    k = F.size("variants")
+    return c.select("doc_id", *[r6(F.when(F.array_position(F.transform("variants", lambda v: v["variant_pos"]), p) > 0,
+                                          F.try_element_at("tfidf_cos", F.array_position(
+                                              F.transform("variants", lambda v: v["variant_pos"]), p).cast("int")))
+                                   .otherwise(F.lit(1.0))).alias(f"cos_v{p}") for p in range(P)])
+
+
+@register("wide_tfidf_cos_long", "G2 block 5 + E2 (sparse rows)")
+def q_wide_tfidf_cos_long(spark, sf_dir):
+    """Same distances through the long sparse E2 table and a join per (doc, term)."""
     d = G.length_filter(G.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
     cos = tfidf_cosines(spark, sf_dir)
     piv = cos.groupBy("doc_id").agg(*[F.max(F.when(F.col("variant_pos") == p, F.col("cos_d"))).alias(f"c{p}")
