@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -133,28 +135,6 @@ def q_wide_full(spark, sf_dir):
 
 # -- G1 Summary-6 -------------------------------------------------------------------------
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _bincount(buckets: pd.Series) -> pd.Series:
-    return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=HASH_DIM).astype(np.float64)
-                      for b in buckets])
-
-
-def hashed_tf(text) -> F.Column:
-    """Hashed term-frequency embedding (64 md5 buckets of the tokens); the bucket ids are
-    a Catalyst expression, the per-row histogram is one numpy bincount per row."""
-    b = F.transform(TX.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10)
-                                                      .cast("long"), F.lit(HASH_DIM)))
-    return _bincount(b)
-
-
-def _summary_pairs(spark, sf_dir):
-    x = eligible_with_variants(spark, sf_dir)
-    base = x.select("doc_id", "toks", "variants", hashed_tf("text").alias("ev_o"))
-    ex = base.select("doc_id", "toks", "ev_o", F.inline("variants"))
-    ex = ex.withColumn("t", TX.tokens("text")).withColumn("ev_r", hashed_tf("text"))
-    return ex
-
-
 SUMMARY_SQL = "WITH " + _sql_base()[1:] + ", " + _sql_variants() + f""",
 t8 AS (SELECT doc_id, -1 AS variant_pos, toks AS t FROM d UNION ALL SELECT doc_id, variant_pos, {S.tokens('vtext')} FROM v),
 bk AS (SELECT doc_id, variant_pos, ('0x' || substr(md5(unnest(t)), 1, 8))::BIGINT % {HASH_DIM} AS b FROM t8),
@@ -173,32 +153,70 @@ SELECT doc_id,
 FROM pr GROUP BY doc_id"""
 
 
+_DIST_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("euclidean", "cosine", "manhattan")])
+
+
+@F.pandas_udf(_DIST_TYPE)
+def _hashed_distances(orig: pd.Series, variants: pd.Series) -> pd.DataFrame:
+    """Mean euclidean / cosine / manhattan distance between the hashed term-frequency
+    vector of the original and those of its variants (bucket ids come from Catalyst)."""
+    out = {"euclidean": [], "cosine": [], "manhattan": []}
+    for o, vs in zip(orig, variants):
+        a = np.bincount(np.asarray(o, dtype=np.int64), minlength=HASH_DIM).astype(np.float64)
+        na = np.linalg.norm(a)
+        e, c, m = [], [], []
+        for v in (vs if vs is not None else []):
+            b = np.bincount(np.asarray(v, dtype=np.int64), minlength=HASH_DIM).astype(np.float64)
+            nb = np.linalg.norm(b)
+            diff = a - b
+            e.append(math.sqrt(float(diff @ diff)))
+            m.append(float(np.abs(diff).sum()))
+            sim = 0.0 if na == 0 or nb == 0 else float(a @ b) / (na * nb)
+            c.append(min(max(1.0 - sim, 0.0), 2.0))
+        k = len(e)
+        out["euclidean"].append(sum(e) / k if k else 0.0)
+        out["cosine"].append(sum(c) / k if k else 0.0)
+        out["manhattan"].append(sum(m) / k if k else 0.0)
+    return pd.DataFrame(out)
+
+
+def _buckets(text) -> F.Column:
+    return F.transform(TX.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10)
+                                                         .cast("long"), F.lit(HASH_DIM)))
+
+
 @register("summary6", "G1 (without fuzz)", SUMMARY_SQL)
 def q_summary6(spark, sf_dir):
-    ex = _summary_pairs(spark, sf_dir)
-    row = ex.select("doc_id",
-                    VX.euclidean("ev_o", "ev_r").alias("euclidean"), VX.cosine("ev_o", "ev_r").alias("cosine"),
-                    VX.manhattan("ev_o", "ev_r").alias("manhattan"),
-                    TX.common_ngrams("toks", "t", 1).alias("common_unigrams"),
-                    TX.common_ngrams("toks", "t", 2).alias("common_bigrams"))
-    cols = ["euclidean", "cosine", "manhattan", "common_unigrams", "common_bigrams"]
-    return row.groupBy("doc_id").agg(*[r6(F.avg(c)).alias(c) for c in cols])
+    x = eligible_with_variants(spark, sf_dir)
+    y = x.withColumn("_dist", _hashed_distances(_buckets("text"),
+                                                F.transform("variants", lambda v: _buckets(v["text"]))))
+    z = G.with_overlap_counts(y)
+    k = F.size("vpos")
+
+    def mean(arr):
+        return F.when(k > 0, F.aggregate(arr, F.lit(0).cast("long"), lambda a, b: a + b) / k).otherwise(F.lit(0.0))
+    return z.select("doc_id", r6("_dist.euclidean").alias("euclidean"), r6("_dist.cosine").alias("cosine"),
+                    r6("_dist.manhattan").alias("manhattan"), r6(mean(F.col("ov.c1"))).alias("common_unigrams"),
+                    r6(mean(F.col("ov.c2"))).alias("common_bigrams"))
 
 
 @register("summary6_full", "G1")
 def q_summary6_full(spark, sf_dir):
     x = eligible_with_variants(spark, sf_dir)
-    base = x.select("doc_id", F.col("text").alias("orig"), "toks", "variants", hashed_tf("text").alias("ev_o"))
-    ex = base.select("doc_id", "orig", "toks", "ev_o", F.inline("variants"))
-    ex = ex.withColumn("t", TX.tokens("text")).withColumn("ev_r", hashed_tf("text"))
-    row = ex.select("doc_id",
-                    VX.euclidean("ev_o", "ev_r").alias("euclidean"), VX.cosine("ev_o", "ev_r").alias("cosine"),
-                    VX.manhattan("ev_o", "ev_r").alias("manhattan"),
-                    TX.common_ngrams("toks", "t", 1).alias("common_unigrams"),
-                    TX.common_ngrams("toks", "t", 2).alias("common_bigrams"),
-                    FZ.fuzz_ratio("orig", "text").alias("fuzz_ratio"))
-    cols = ["euclidean", "cosine", "manhattan", "common_unigrams", "common_bigrams", "fuzz_ratio"]
-    return row.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("n_variants"))
+    y = x.withColumn("_dist", _hashed_distances(_buckets("text"),
+                                                F.transform("variants", lambda v: _buckets(v["text"]))))
+    z = G.with_overlap_counts(y)
+    k = F.size("vpos")
+    pairs = (x.select("doc_id", F.col("text").alias("orig"), F.inline("variants"))
+             .select("doc_id", FZ.fuzz_ratio("orig", "text").alias("fr"))
+             .groupBy("doc_id").agg(F.avg("fr").alias("fuzz_ratio")))
+
+    def mean(arr):
+        return F.when(k > 0, F.aggregate(arr, F.lit(0).cast("long"), lambda a, b: a + b) / k).otherwise(F.lit(0.0))
+    base = z.select("doc_id", F.col("_dist.euclidean").alias("euclidean"), F.col("_dist.cosine").alias("cosine"),
+                    F.col("_dist.manhattan").alias("manhattan"), mean(F.col("ov.c1")).alias("common_unigrams"),
+                    mean(F.col("ov.c2")).alias("common_bigrams"), k.alias("n_variants"))
+    return base.join(pairs, "doc_id", "left").fillna(0.0, ["fuzz_ratio"])
 
 
 # -- G6, G7, B11, B12 ---------------------------------------------------------------------
