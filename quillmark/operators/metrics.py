@@ -112,14 +112,14 @@ def score_bin(s: Column, bins: int) -> Column:
 
 def score_histogram(pred: DataFrame, by=(), bins: int = 20) -> DataFrame:
     """Per-class density histogram on [0, 1], zero-filled:
-    ``(by..., label, bin, count, density)``.  Zero-filling joins the observed
-    (by, label) pairs with the fixed bin list (``bins`` rows, broadcast)."""
+    ``(by..., label, bin, count, density)``.  One aggregate over the predictions; class
+    totals and the zero-filled bin list derive from that small result."""
     b = _by(by)
     step = 1.0 / bins
     inr = pred.filter((F.col("score") >= 0) & (F.col("score") <= 1))
     counts = inr.groupBy(*b, "label", score_bin(F.col("score"), bins).alias("bin")).agg(
         F.count("*").alias("count"))
-    keys = inr.groupBy(*b, "label").agg(F.count("*").alias("n"))
+    keys = counts.groupBy(*b, "label").agg(F.sum("count").alias("n"))
     full = keys.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("bin") + 1) * F.lit(step) - F.col("bin") * F.lit(step)
     return (full.join(counts, [*b, "label", "bin"], "left")
@@ -155,15 +155,17 @@ def distribution_distances(dist: DataFrame, by=(), p: str = "p", q: str = "q",
 
 def kl_hellinger(pred: DataFrame, by=(), bins: int = 20) -> DataFrame:
     """J6+J7+J8: distances between the class-0 and class-1 score histograms; groups
-    with an empty class give nulls (as the reference returns None)."""
+    with an empty class give nulls (as the reference returns None).  The two classes are
+    put side by side with one conditional aggregate (no self-join)."""
     b = _by(by)
     h = score_histogram(pred, b, bins)
-    h0 = h.filter(F.col("label") == 0).select(*b, "bin", F.col("density").alias("p"))
-    h1 = h.filter(F.col("label") == 1).select(*b, "bin", F.col("density").alias("q"))
-    both = h0.join(h1, [*b, "bin"])
-    d = distribution_distances(both, b)
-    groups = pred.select(*b).distinct()
-    return groups.join(d, b, "left") if b else d
+    pq = h.groupBy(*b, "bin").agg(
+        F.sum(F.when(F.col("label") == 0, F.col("density"))).alias("p"),
+        F.sum(F.when(F.col("label") == 1, F.col("density"))).alias("q"))
+    d = distribution_distances(pq.filter(F.col("p").isNotNull() & F.col("q").isNotNull()), b)
+    if not b:
+        return d
+    return h.select(*b).distinct().join(d, b, "left")
 
 
 # -- retrieval metrics (J10-J12) ---------------------------------------------------------
