@@ -146,14 +146,26 @@ def softmax_pool(df: DataFrame, by, score: str, vec: str) -> DataFrame:
 
 # -- E8 registry -------------------------------------------------------------------------
 
+def hash_buckets(text, dim: int = 64):
+    """Bucket id (md5 of the token, mod dim) of every token: a Catalyst expression."""
+    return F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10)
+                                                      .cast("long"), F.lit(dim)))
+
+
+def _bincount_udf(dim: int):
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def bincount(b: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.asarray(x, dtype=np.int64), minlength=dim).astype(np.float64)
+                          for x in b])
+    return bincount
+
+
 def _embed_hash_proj(df, key="doc_id", text="text", dim=64, seed=42, **_):
-    """Bag of hashed tokens (md5 bucket counts) — a row-local embedding."""
-    toks = tokens(text)
-    buckets = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"),
-                                                 F.lit(dim)))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    return df.select(key, vec.alias("vec"))
+    """Bag of hashed tokens (md5 bucket counts) — a row-local embedding; the per-row
+    histogram is one numpy bincount over the Catalyst-computed bucket ids."""
+    return df.select(key, _bincount_udf(dim)(hash_buckets(text, dim)).alias("vec"))
 
 
 def _embed_tfidf(df, key="doc_id", text="text", vocabulary=None, **_):

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import features as G
 from ..operators.variants import RULES, rule_variants
 from ..session import spread
-from ..sources.tables import corpus, table
+from ..sources.tables import source_from_quality, table
 from . import sqlfrag as S
 from .registry import r6, register
 
@@ -61,7 +61,8 @@ def class_overlap(spark, sf_dir):
     (block 3) per class of the labelled corpus."""
     x = eligible_with_variants(spark, sf_dir)
     f = G.overlap_features(x, N_RULES)
-    lab = corpus(spark, sf_dir).select("doc_id", "source")
+    # the features already come from documents: only the labels are joined
+    lab = table(spark, sf_dir, "labels").select("doc_id", source_from_quality().alias("source"))
     j = f.join(lab, "doc_id")
     aggs = [F.count("*").alias("n_docs")]
     aggs += [r6(F.avg(f"avg_c{n}")).alias(f"avg_c{n}") for n in range(1, 5)]

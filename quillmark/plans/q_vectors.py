@@ -283,3 +283,16 @@ def q_word_avg(spark, sf_dir):
     vecs = E.hashed_word_vectors(_vocab(spark, sf_dir), 16, 7)
     w = E.word_avg(d, vecs)
     return w.select("doc_id", rvec("vec").alias("vec"))
+
+
+# -- E8 registry ---------------------------------------------------------------------------
+
+@register("embed_hash_proj", "E8", f"""WITH t AS (SELECT doc_id, {S.tokens('text')} AS toks FROM documents),
+bk AS (SELECT doc_id, ('0x' || substr(md5(unnest(toks)), 1, 8))::BIGINT % 64 AS b FROM t),
+cn AS (SELECT doc_id, b, count(*) AS c FROM bk GROUP BY ALL),
+g AS (SELECT doc_id, k FROM t, range(0, 64) r(k))
+SELECT g.doc_id, list(CAST(coalesce(cn.c, 0) AS DOUBLE) ORDER BY g.k) AS vec
+FROM g LEFT JOIN cn ON cn.doc_id = g.doc_id AND cn.b = g.k GROUP BY g.doc_id""")
+def q_embed_hash_proj(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return E.embed(d, "hash_proj", dim=64)
