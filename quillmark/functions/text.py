@@ -25,6 +25,16 @@ def words(text) -> Column:
     return F.array_remove(F.split(_c(text), PY_WHITESPACE), "")
 
 
+# a token is a maximal run of non-whitespace characters
+NON_WS_RUN = "[^" + PY_WHITESPACE[1:-2] + "]+"
+
+
+def token_count(text) -> Column:
+    """Number of tokens without building the token array (one regex pass): cheap enough
+    to sit in a filter that the optimizer pushes below the projections."""
+    return F.regexp_count(_c(text), F.lit(NON_WS_RUN))
+
+
 def tokens(text) -> Column:
     """Whitespace split, lower-cased; empty strings dropped."""
     return words(F.lower(_c(text)))

@@ -112,19 +112,29 @@ def score_bin(s: Column, bins: int) -> Column:
 
 def score_histogram(pred: DataFrame, by=(), bins: int = 20) -> DataFrame:
     """Per-class density histogram on [0, 1], zero-filled:
-    ``(by..., label, bin, count, density)``.  One aggregate over the predictions; class
-    totals and the zero-filled bin list derive from that small result."""
+    ``(by..., label, bin, count, density)``.  A linear plan: one count per (group,
+    class, bin) over the predictions, one small aggregate per (group, class) holding its
+    bin -> count map and total, then the fixed bin list is exploded — no join, no
+    second pass over the predictions."""
     b = _by(by)
     step = 1.0 / bins
-    inr = pred.filter((F.col("score") >= 0) & (F.col("score") <= 1))
-    counts = inr.groupBy(*b, "label", score_bin(F.col("score"), bins).alias("bin")).agg(
-        F.count("*").alias("count"))
-    keys = counts.groupBy(*b, "label").agg(F.sum("count").alias("n"))
-    full = keys.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    # the range test stays inside the grouping key (a filter on ``score`` would be pushed
+    # below its projection and re-evaluate it); out-of-range rows get a null bin
+    s = F.col("score")
+    key = F.when((s >= 0) & (s <= 1), score_bin(s, bins))
+    counts = pred.groupBy(*b, "label", key.alias("bin")).agg(F.count("*").alias("count"))
+    # null bins are dropped inside the aggregate (a filter on the grouping key would be
+    # pushed down to the scan and re-evaluate the score there)
+    inr = F.col("bin").isNotNull()
+    per = counts.groupBy(*b, "label").agg(
+        F.map_from_entries(F.collect_list(F.when(inr, F.struct("bin", "count")))).alias("_m"),
+        F.sum(F.when(inr, F.col("count"))).alias("n"))
+    per = per.filter(F.col("n").isNotNull())
+    full = per.select(*b, "label", "n", "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    c = F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0))
     width = (F.col("bin") + 1) * F.lit(step) - F.col("bin") * F.lit(step)
-    return (full.join(counts, [*b, "label", "bin"], "left")
-            .select(*b, "label", "bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                    (F.coalesce("count", F.lit(0)) / (F.col("n") * width)).alias("density")))
+    return full.select(*b, "label", "bin", c.cast("long").alias("count"),
+                       (c / (F.col("n") * width)).alias("density"))
 
 
 def distribution_distances(dist: DataFrame, by=(), p: str = "p", q: str = "q",
@@ -165,7 +175,9 @@ def kl_hellinger(pred: DataFrame, by=(), bins: int = 20) -> DataFrame:
     d = distribution_distances(pq.filter(F.col("p").isNotNull() & F.col("q").isNotNull()), b)
     if not b:
         return d
-    return h.select(*b).distinct().join(d, b, "left")
+    # groups with a single class get nulls
+    groups = h.groupBy(*b).agg(F.countDistinct("label").alias("_k"))
+    return groups.join(d, b, "left").drop("_k")
 
 
 # -- retrieval metrics (J10-J12) ---------------------------------------------------------

@@ -52,12 +52,15 @@ def mix_sentences(df: DataFrame, seed=2023, k: int = 4, key: str = "doc_id") ->
     picks = F.transform(chosen, pick)
     x = df.select(key, F.size(so).alias("_ns"), F.size("variants").alias("_nv"),
                   orig_pick.alias("_o"), picks.alias("_p"))
-    x = x.filter((F.col("_ns") > 0) & (F.col("_nv") >= k) &
-                 (F.size(F.filter("_p", lambda s: s.isNotNull())) == k))
+    keep = ((F.col("_ns") > 0) & (F.col("_nv") >= k) &
+            (F.size(F.filter("_p", lambda s: s.isNotNull())) == k))
     slots = F.concat(F.array(F.col("_o")), F.col("_p"))
     keyed = F.transform(slots, lambda s, j: F.struct(hkey(seed, key, F.lit("m"), j).alias("k"), s.alias("s")))
     mixed = F.array_join(F.transform(F.array_sort(keyed), lambda r: r["s"]), " ")
-    return x.select(key, mixed.alias("text"), F.lit("GPT").alias("source"))
+    # dropped records produce no row from the generator: a Filter on the computed
+    # columns would be pushed below them and split every sentence again
+    out = F.when(keep, F.array(mixed)).otherwise(F.array().cast("array<string>"))
+    return x.select(key, F.explode(out).alias("text"), F.lit("GPT").alias("source"))
 
 
 def balanced_combine(human: DataFrame, machine: DataFrame, seed=2023, key: str = "doc_id") -> DataFrame:

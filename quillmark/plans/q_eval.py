@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import split as SP
 from ..operators.corpus import label_from_source
+from ..session import spread
 from ..sources.tables import corpus
 from . import sqlfrag as S
 from .registry import r6, register
@@ -20,7 +21,7 @@ D = "CAST({} AS DOUBLE)".format
 
 
 def predictions(spark, sf_dir):
-    c = corpus(spark, sf_dir).withColumn("t", T.tokens("text")).filter(F.size("t") > 0)
+    c = spread(corpus(spark, sf_dir), "doc_id").filter(T.token_count("text") > 0).withColumn("t", T.tokens("text"))
     score = F.size(F.array_distinct("t")) / F.size("t")
     return c.select("doc_id", "domain", label_from_source("source").alias("label"),
                     F.size("t").cast("long").alias("n_tokens"), score.alias("score")) \
