@@ -118,10 +118,14 @@ def rewrite_requests(df: DataFrame, prompts: list[str] | None = None, suffix: st
 
 def attach_rewrites(df: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
     """C4: wide view — every record with its returned rewrites as an ordered array.
-    ``responses`` is long ``(doc_id, variant_pos, text)``; it is pre-aggregated per
-    record (bounded by the prompt count) and joined on the same hash partitioning."""
-    per_doc = (responses.filter(F.col("text").isNotNull())
-               .groupBy(key)
+    ``responses`` is long ``(doc_id, variant_pos, text)``.  Responses are first reduced
+    to one per (record, prompt) (a repeated response to the same prompt replaces the
+    earlier one in the reference; here the choice is deterministic: the greatest text),
+    so the per-record list is bounded by the prompt count even for a record with a
+    huge number of responses; the reduction is map-side combined."""
+    one = (responses.filter(F.col("text").isNotNull())
+           .groupBy(key, "variant_pos").agg(F.max("text").alias("text")))
+    per_doc = (one.groupBy(key)
                .agg(F.array_sort(F.collect_list(F.struct("variant_pos", "text"))).alias("variants")))
     return (df.join(per_doc, key, "left")
             .withColumn("variants", F.coalesce("variants", F.array().cast(
