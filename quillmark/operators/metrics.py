@@ -75,7 +75,7 @@ def classification_report(pred: DataFrame, by=(), names=("human", "GPT")) -> Dat
     return x.select(*b, F.inline(F.array("c0", "c1", acc, macro, weighted)))
 
 
-def auroc(pred: DataFrame, by=(), buckets: int = 4096) -> DataFrame:
+def auroc(pred: DataFrame, by=(), buckets: int = 1 << 20) -> DataFrame:
     """Area under the ROC curve from ``score`` (ties count one half).
 
     Rank-sum form: sum over positives of (#negatives with a lower score + half the tied
