@@ -27,8 +27,9 @@ def train_gbt(train: DataFrame, names: list[str], label: str = "label", max_iter
 
 
 def train_mlp(train: DataFrame, names: list[str], label: str = "label", hidden=(100, 50),
-              max_iter: int = 200, seed: int = 42):
-    """Multilayer perceptron (sigmoid hidden layers, softmax output, L-BFGS)."""
+              max_iter: int = 100, seed: int = 42):
+    """Multilayer perceptron (sigmoid hidden layers, softmax output, L-BFGS;
+    Spark's default iteration cap)."""
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
                                          layers=[len(names), *hidden, 2], maxIter=max_iter, seed=seed)
     return mlp.fit(assemble(train, names))
