@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprint, language_id, line_dedup, packing
-from ._common import table
+from . import bpe_codec, fingerprint, language_id, lattice_lm, line_dedup, ngram_join, packing, suffix_dedup
+from ._common import table, two_columns
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.spans(table(spark, sf_dir, "documents")))
+
+
+def op4_lattice_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = two_columns(table(spark, sf_dir, "documents"))
+    docs = docs.withColumn("held_out", F.coalesce(language_id.held_out(parts=7), F.lit(False)))
+    return lattice_lm.score(docs, lattice_lm.fit(docs.where("not held_out"), PIECES))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -41,6 +52,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
@@ -54,6 +69,37 @@ r AS (SELECT k.doc_id, pos, line, h.key IS NOT NULL AND k.doc_id <> h.keeper AS
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id""",
+    "op2_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+-- windows from parts of 200 bytes (and 49 more), so that no long string is searched for each
+c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 498) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 200)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS i, substr(part, 2 * i + 1, 100) AS g
+      FROM (SELECT doc_id, o, part, unnest(range(0, least(200, length(part) // 2 - 49))) AS i FROM c)),
+m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT w.doc_id, i FROM w JOIN m ON w.g = m.g WHERE low < w.doc_id),
+y AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM x),
+z AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM y),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM z GROUP BY doc_id, run),
+k AS (
+  SELECT s.doc_id, a, b - a AS n, substr(h, 2 * coalesce(lag(b) OVER p, 0) + 1, 2 * (a - coalesce(lag(b) OVER p, 0))) AS part,
+         CASE WHEN lead(a) OVER p IS NULL THEN substr(h, 2 * b + 1) ELSE '' END AS tail
+  FROM s JOIN d ON d.doc_id = s.doc_id WINDOW p AS (PARTITION BY s.doc_id ORDER BY a)),
+r AS (SELECT doc_id, sum(n) AS n_removed, count(*) AS n_spans, string_agg(part || tail, '' ORDER BY a) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id""",
+    "op9_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 90 * (nx.n + ny.n - i)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, near) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.near = b.x),
+c AS (SELECT doc_id, min(near) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
 }
 
 
