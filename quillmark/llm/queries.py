@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprint, language_id, lattice_lm, line_dedup, ngram_join, packing, suffix_dedup
+from . import bpe_codec, embedding_dedup, fingerprint, language_id, lattice_lm, license_scan, line_dedup, ngram_join, packing, suffix_dedup
 from ._common import table, two_columns
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.spans(table(spark, sf_dir, "documents")))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_lattice_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = two_columns(table(spark, sf_dir, "documents"))
     docs = docs.withColumn("held_out", F.coalesce(language_id.held_out(parts=7), F.lit(False)))
@@ -56,9 +60,23 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
+    "op10_license_scan": license_scan.oracle(),
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE d AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM d a JOIN d b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r(vec_id, near) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.y FROM r JOIN e ON r.near = e.x),
+c AS (SELECT vec_id, min(near) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.vec_id""",
     "op1_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
