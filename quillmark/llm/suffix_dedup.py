@@ -42,6 +42,8 @@ WINDOW = 50
 GRAM = 16
 #: Bytes handled at once; entries of a packed array; contexts sorted at once.
 BLOCK, PACK, SORT = 1 << 19, 1_500_000, 60_000
+#: Bytes of contexts that a task brings together before it sends them.
+CONTEXT_BYTES = 24 << 20
 FILTER_BITS = 29
 
 
@@ -198,8 +200,7 @@ def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> Dat
 
     def pack(c, left, right, h, doc, place, ids, texts, buckets):
         shard = layout.shard(h)
-        starts = np.arange(len(c)) * wide
-        same = run_hashes(c.reshape(-1), starts, starts + wide) ^ mix(left.astype(np.uint64) << U64(8) | right)
+        same = run_hashes_in_blocks(c, wide) ^ mix(left.astype(np.uint64) << U64(8) | right)
         order = np.lexsort((same, h))
         ends = np.searchsorted(shard[order], np.arange((1 << layout.shard_bits) + 1))
         out = []
@@ -237,7 +238,7 @@ def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> Dat
                 buckets.append(number[2][a:z])
                 rows += z - a
                 n += len(p)
-                if n * wide > 32_000_000:
+                if n * wide > CONTEXT_BYTES:
                     yield done()
                     held, ids, texts, buckets, n, rows = [], [], [], [], 0, 0
         if n:
@@ -305,8 +306,7 @@ def _spans_of_shards(batches, window: int):
         left, right, entry, doc, place, ids, texts, buckets = (np.concatenate(x) for x in (left, right, entry, doc, place, ids, texts, buckets))
         # contexts by gram, equal ones once
         gram = _gram_ids(c[:, before:before + GRAM])
-        starts = np.arange(len(c)) * wide
-        same = run_hashes_in_blocks(c, wide) ^ mix(left.astype(np.uint64) << U64(8) | right) if len(c) else starts.astype(np.uint64)
+        same = run_hashes_in_blocks(c, wide) ^ mix(left.astype(np.uint64) << U64(8) | right)
         order = np.lexsort((same, gram))
         new = np.concatenate([[True], (gram[order][1:] != gram[order][:-1]) | (same[order][1:] != same[order][:-1])])
         to = np.empty(len(c), np.int64)
