@@ -33,17 +33,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, binary, mix, run_hashes, shuffle_partitions, slices, string_buffers
+from ._common import SLICE_BYTES, U64, binary, mix, run_hashes, shuffle_partitions, slices, string_buffers
 
 WINDOW = 50
 GRAM = 16
 #: Bytes handled at once; entries of a packed array; contexts sorted at once.
 BLOCK, PACK, SORT = 1 << 19, 1_500_000, 60_000
 #: Bytes of contexts that a task brings together before it sends them.
-CONTEXT_BYTES = 24 << 20
+CONTEXT_BYTES = 12 << 20
 FILTER_BITS = 29
 
 
@@ -101,7 +102,7 @@ class _Layout:
     """Shards by the upper bits of a gram hash; bits of the filter below them."""
 
     def __init__(self, partitions: int, n_bytes: int):
-        self.shard_bits = max(4, int(np.ceil(np.log2(max(partitions, 1)))))
+        self.shard_bits = max(4, 2 + int(np.ceil(np.log2(max(partitions, 1)))))  # several shards a task
         self.bits = int(np.clip(np.ceil(np.log2(n_bytes / 9 + 1)), self.shard_bits + 8, FILTER_BITS))
 
     def shard(self, h):
@@ -197,6 +198,7 @@ def _contexts(data: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarra
 def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> DataFrame:
     """``shard, payload``: contexts (each once), entries that have them, documents."""
     wide = 2 * window - GRAM
+    press = _Press()
 
     def pack(c, left, right, h, doc, place, ids, texts, buckets):
         shard = layout.shard(h)
@@ -211,9 +213,11 @@ def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> Dat
             new = np.concatenate([[True], (same[at][1:] != same[at][:-1]) | (h[at][1:] != h[at][:-1])])
             first = at[new]
             own, d = np.unique(doc[at], return_inverse=True)
-            out.append((s, b"".join([binary(np.array([len(first), len(at), len(own)], np.int64)), binary(c[first]), binary(left[first]), binary(right[first]),
-                                     binary((np.cumsum(new) - 1).astype(np.uint32)), binary(d.astype(np.uint32)), binary(place[at].astype(np.int64)),
-                                     binary(ids[own]), binary(texts[own]), binary(buckets[own])])))
+            # contexts lie next to others of their gram, so they compress well
+            out.append((s, press.compress(b"".join([
+                binary(np.array([len(first), len(at), len(own)], np.int64)), binary(c[first]), binary(left[first]), binary(right[first]),
+                binary(new.astype(np.uint8)), binary(d.astype(np.uint32)), binary(place[at].astype(np.int64)),
+                binary(ids[own]), binary(texts[own]), binary(buckets[own])]))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["shard", "payload"])
 
     def send(batches):
@@ -224,7 +228,7 @@ def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> Dat
 
         for batch in batches:
             number = [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
-            for a, z, data, off in slices(batch, "text"):
+            for a, z, data, off in slices(batch, "text", SLICE_BYTES // 2):
                 p, h = anchors(data, off, window)
                 bit = layout.bit(h)
                 keep = (table.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
@@ -288,18 +292,20 @@ def removed_offsets(c: np.ndarray, left: np.ndarray, right: np.ndarray, smallest
 def _spans_of_shards(batches, window: int):
     """``bucket, payload`` with ``id, text hash, start, end`` of removed spans."""
     wide, before = 2 * window - GRAM, window - GRAM
+    press = _Press()
 
     def solve(parts):
         c, left, right, entry, doc, place, ids, texts, buckets = [], [], [], [], [], [], [], [], []
         nc = nd = 0
-        for raw in parts:
+        while parts:
+            raw = press.decompress(parts.pop())
             k, e, d = np.frombuffer(raw, np.int64, 3)
             p = 24
-            for to, kind, n, size in ((c, np.uint8, k * wide, 1), (left, np.uint8, k, 1), (right, np.uint8, k, 1), (entry, np.uint32, e, 4), (doc, np.uint32, e, 4),
+            for to, kind, n, size in ((c, np.uint8, k * wide, 1), (left, np.uint8, k, 1), (right, np.uint8, k, 1), (entry, np.uint8, e, 1), (doc, np.uint32, e, 4),
                                       (place, np.int64, e, 8), (ids, np.int64, d, 8), (texts, np.int64, d, 8), (buckets, np.int32, d, 4)):
                 to.append(np.frombuffer(raw, kind, n, p))
                 p += n * size
-            entry[-1] = entry[-1].astype(np.int64) + nc
+            entry[-1] = np.cumsum(entry[-1], dtype=np.int64) - 1 + nc
             doc[-1] = doc[-1].astype(np.int64) + nd
             nc, nd = nc + k, nd + d
         c = np.concatenate(c).reshape(-1, wide)
@@ -337,7 +343,7 @@ def _spans_of_shards(batches, window: int):
         k = buckets[d]
         cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         ends = np.append(cut[1:], len(k))
-        return pa.RecordBatch.from_arrays([pa.array(k[cut].astype(np.int32)), pa.array([binary(np.stack([ids[d[a:b]], texts[d[a:b]], s[a:b], e[a:b]])) for a, b in zip(cut, ends)], pa.binary())], ["bucket", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array(k[cut].astype(np.int32)), pa.array([press.compress(_pack_spans(d[a:b], s[a:b], e[a:b], ids, texts)) for a, b in zip(cut, ends)], pa.binary())], ["bucket", "payload"])
 
     shard, parts = None, []
     for b in batches:
@@ -351,6 +357,36 @@ def _spans_of_shards(batches, window: int):
         yield solve(parts)
 
 
+class _Press:
+    """zstd for packed arrays; made anew in each process."""
+
+    def __reduce__(self):
+        return (_Press, ())
+
+    def compress(self, raw: bytes) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(raw)
+
+    def decompress(self, raw: bytes) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _pack_spans(d, s, e, ids, texts) -> bytes:
+    """Spans sorted by document and start: documents with their numbers of spans, then
+    distances between starts and lengths."""
+    own, n = np.unique(d, return_counts=True)
+    return b"".join([binary(np.array([len(own), len(d)], np.int64)), binary(ids[own]), binary(texts[own]), binary(n.astype(np.uint32)),
+                     binary(np.diff(s, prepend=0).astype(np.int64)), binary((e - s).astype(np.uint16))])
+
+
+def _unpack_spans(raw: bytes) -> np.ndarray:
+    """Rows id, text hash, start, end."""
+    k, n = np.frombuffer(raw, np.int64, 2)
+    times = np.frombuffer(raw, np.uint32, k, 16 + 16 * k)
+    s = np.cumsum(np.frombuffer(raw, np.int64, n, 16 + 20 * k))
+    e = s + np.frombuffer(raw, np.uint16, n, 16 + 20 * k + 8 * n)
+    return np.stack([np.repeat(np.frombuffer(raw, np.int64, k, 16), times), np.repeat(np.frombuffer(raw, np.int64, k, 16 + 8 * k), times), s, e])
+
+
 def _gram_ids(g: np.ndarray) -> np.ndarray:
     """Equal for equal grams only (grams of a shard), ascending order of no meaning."""
     w = np.ascontiguousarray(g).view("<u8")
@@ -411,6 +447,8 @@ def spans(docs: DataFrame, window: int = WINDOW, columns: list[str] | None = Non
     both = rows.unionByName(packed.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     both = both.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_kind")
 
+    press = _Press()
+
     def run(batches):
         bucket, parts, at = None, [], None
         for batch in batches:
@@ -426,7 +464,7 @@ def spans(docs: DataFrame, window: int = WINDOW, columns: list[str] | None = Non
                     if own_bucket[i] != bucket:
                         bucket, parts, at = own_bucket[i], [], None
                     if kind[i] == 0:
-                        parts.append(np.frombuffer(r.column(2)[i].as_py(), np.int64).reshape(4, -1))
+                        parts.append(_unpack_spans(press.decompress(r.column(2)[i].as_py())))
                         continue
                     if at is None:
                         at = _lookup(parts)
