@@ -485,7 +485,8 @@ def score(docs: DataFrame, model: Model, extra: str = "held_out") -> DataFrame:
         """Log probability of a token from its count and lattice weight."""
         if not n_train:
             return z
-        return np.logaddexp(np.log(np.maximum(c - DISCOUNT, 1e-300)) - np.log(n_train), np.log(DISCOUNT * v_train / n_train) + z)
+        seen = np.where(c > 0, np.log(np.maximum(c - DISCOUNT, 1 - DISCOUNT)), -np.inf)  # counts are whole
+        return np.logaddexp(seen - np.log(n_train), np.log(DISCOUNT * v_train / n_train) + z)
 
     def result():
         ids, flags, n_tokens, base, full, plain, known = held

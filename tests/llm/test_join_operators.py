@@ -1,7 +1,7 @@
 """N-gram join, suffix dedup, lattice LM and embedding dedup against plain Python."""
 
 from collections import Counter
-from math import lgamma, log
+from math import log
 
 import numpy as np
 import pytest
@@ -162,10 +162,12 @@ def scored(docs):
 
 
 def segmentations(word, pieces):
-    """Probability of all segmentations, by plain recursion on the text."""
-    total = [1.0] + [0.0] * len(word)
+    """Log probability of all segmentations, by plain recursion on the text."""
+    total = [0.0] + [-np.inf] * len(word)
     for t in range(1, len(word) + 1):
-        total[t] = sum(total[s] * pieces.get(word[s:t], 0.0) for s in range(t))
+        parts = [total[s] + pieces[word[s:t]] for s in range(max(0, t - 64), t) if word[s:t] in pieces]
+        top = max(parts)
+        total[t] = top + log(sum(np.exp(x - top) for x in parts))
     return total[-1]
 
 
@@ -176,21 +178,22 @@ def test_lattice_scores_are_the_definition(scored, corpus):
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()) + len(train), len(c) + 1
     assert (model.tokens, model.distinct) == (n, v)
-    pieces = dict(zip(model.lattice.pieces, np.exp(model.lattice.logp)))
+    pieces = dict(zip(model.lattice.pieces, model.lattice.logp))
     end = float(np.exp(model.lattice.log_end))
-    assert abs(sum(pieces.values()) + end - 1) < 1e-9
+    assert abs(np.exp(model.lattice.logp).sum() + end - 1) < 1e-9
     d, urn = lattice_lm.DISCOUNT, lattice_lm.URN
     want = {}
     for i, w in rows:
         base = sum(log((c[x] + 1) / (n + v + 1), 10) for x in w) + log((len(train) + 1) / (n + v + 1), 10)
         lattice = {x: segmentations(b" " + x.encode(), pieces) for x in set(w)}
-        p = {x: max(c[x] - d, 0) / n + d * v / n * lattice[x] for x in lattice}
+        p = {x: log((c[x] - d) / n + d * v / n * np.exp(lattice[x])) if c[x] else log(d * v / n) + lattice[x] for x in lattice}
         p_end = max(len(train) - d, 0) / n + d * v / n * end
         seen, score = Counter(), 0.0
         for k, x in enumerate([*w, None]):
-            score += log((urn * (p_end if x is None else p[x]) + seen[x]) / (urn + k), 10)
+            start = log(urn * p_end) if x is None else log(urn) + p[x]
+            score += ((log(np.exp(start) + seen[x]) if seen[x] else start) - log(urn + k)) / log(10)
             seen[x] += 1
-        want.setdefault((i, len(w) + 1, sum(c[x] > 0 for x in w) + 1, round(base, 6)), []).append((score, sum(log(lattice[x], 10) for x in w) + log(end, 10)))
+        want.setdefault((i, len(w) + 1, sum(c[x] > 0 for x in w) + 1, round(base, 6)), []).append((score, (sum(lattice[x] for x in w) + log(end)) / log(10)))
     for r in got:
         options = want[(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6))]
         assert r.train_tokens == n and any(abs(a - r.score) < 1e-6 and abs(b - r.lattice_score) < 1e-6 for a, b in options)
