@@ -121,7 +121,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = rows.withColumn("_at", F.coalesce(F.col("doc_id"), F.lit(-2**63)).cast("double"))
     cuts = rows.approxQuantile("_at", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     cuts = sorted(set(cuts))
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(rows).withColumn("_bucket", F.col("_bucket").cast("int"))
     heads = {r["_bucket"]: r["m"] for r in rows.groupBy("_bucket").agg(F.max("_at").alias("m")).collect()}
     used = sorted(heads, reverse=True)

@@ -20,14 +20,14 @@ def corpus():
     space, empty and null texts, repeated rows and a long text."""
     rng = random.Random(5)
     base = [prose(rng, rng.randint(30, 120)) for _ in range(24)]
-    line = "A shared Line that is long enough to be a key of its own, é included"
+    line = "A shared Line that is long enough to be a key, é"
     passage = prose(rng, 60)
     rows = []
     for k, t in enumerate(base):
         rows.append((3 * k + 1, t))
     rows += [(100, base[0]), (101, base[0]), (102, base[1] + " tail words here"), (103, base[1].replace("an", "AN"))]
     for k in range(6):
-        rows.append((110 + k, f"{prose(rng, 20)}\n  {line.upper() if k % 2 else line}\t\n{prose(rng, 9)}"))
+        rows.append((110 + k, f"{prose(rng, 20)}\n  {line.replace('shared', 'SHARED') if k % 2 else line}\t\n{prose(rng, 9)}"))
     for k in range(4):
         rows.append((120 + k, prose(rng, 30) + " " + passage + " " + prose(rng, 30)))
     many = base[2].split(" ")

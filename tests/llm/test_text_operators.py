@@ -214,6 +214,19 @@ def test_packing_is_whole_and_tight(docs, corpus, empty):
     assert packing.pack_documents(empty, TOKENIZER).count() == 0
 
 
+def test_words_encoded_together_are_those_encoded_alone():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = True
+    words = ["a", " b", " ", "\n", " c\nd", "e\n", " \n f", "\t", " x\ty", "'s", " 12", "é\u00a0", " <|endoftext|>", "\x1c", " a\x1cb", "a  b", "!\n?", "\u2028z", "日本"] * 3
+    want = [np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert packing.encode_words(tok, words) == want
+    text = " ".join(["The end.\nOf", "it's 42%", "naïve–é", "<|endoftext|>"] * 50)
+    for t in (text, text + " ", " " + text, text.replace(" ", "  "), text + "\n\n" + text, "\n" + text + " \n"):
+        assert packing.ids_of([t], open(TOKENIZER, encoding="utf-8").read())[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def one_by_one(lengths, capacity):
     """Best-two-fit bin by bin, for the plan of the histogram."""
     left, bins = sorted(lengths, reverse=True), 0
