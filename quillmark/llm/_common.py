@@ -7,6 +7,7 @@ Texts reach Python as Arrow batches; the helpers work on the UTF-8 buffer of a s
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -169,6 +170,16 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), first
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is done with a large block would
+    keep it otherwise, beside the JVM and the other workers of its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def binary(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 

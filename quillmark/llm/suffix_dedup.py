@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, U64, binary, mix, run_hashes, shuffle_partitions, slices, string_buffers
+from ._common import SLICE_BYTES, U64, binary, give_back, mix, run_hashes, shuffle_partitions, slices, string_buffers
 
 WINDOW = 50
 GRAM = 16
@@ -147,6 +147,7 @@ def shared_grams(docs: DataFrame, layout: _Layout, partitions: int, window: int)
                     rows = list(flush(hs, ds))
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "payload"])
                     hs, ds, n = [], [], 0
+                    give_back()
             seen += batch.num_rows
         if n:
             rows = list(flush(hs, ds))
@@ -221,7 +222,7 @@ def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> Dat
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["shard", "payload"])
 
     def send(batches):
-        held, ids, texts, buckets, n, rows = [], [], [], [], 0, 0
+        held, ids, texts, buckets, n, rows, batch = [], [], [], [], 0, 0, None
 
         def done():
             return pack(*[np.concatenate(x) for x in zip(*held)], np.concatenate(ids), np.concatenate(texts), np.concatenate(buckets).astype(np.int32))
@@ -245,8 +246,11 @@ def _context_blocks(docs: DataFrame, layout: _Layout, table, window: int) -> Dat
                 if n * wide > CONTEXT_BYTES:
                     yield done()
                     held, ids, texts, buckets, n, rows = [], [], [], [], 0, 0
+                    give_back()
         if n:
             yield done()
+        del held, batch
+        give_back()
 
     return docs.select("text", "doc_id", "_hash", "_bucket").mapInArrow(send, "shard int, payload binary")
 
@@ -351,10 +355,12 @@ def _spans_of_shards(batches, window: int):
             if s != shard and parts:
                 yield solve(parts)
                 parts = []
+                give_back()
             shard = s
             parts.append(payload.as_py())
     if parts:
         yield solve(parts)
+    give_back()
 
 
 class _Press:
@@ -425,7 +431,8 @@ def _dealt(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, int]:
     layout = _Layout(n, size)
     real = docs.where("doc_id is not null").where(F.octet_length("text") >= window)
     table = docs.sparkSession.sparkContext.broadcast(shared_grams(real, layout, n, window))
-    found = _context_blocks(real, layout, table, window).repartition(n, "shard").sortWithinPartitions("shard")
+    # many small tasks: a few MB of packed contexts each
+    found = _context_blocks(real, layout, table, window).repartition(4 * n, "shard").sortWithinPartitions("shard")
     return docs, found.mapInArrow(lambda b: _spans_of_shards(b, window), "_bucket int, _payload binary"), n
 
 
@@ -445,7 +452,7 @@ def spans(docs: DataFrame, window: int = WINDOW, columns: list[str] | None = Non
     rows, packed, n = _dealt(body, window)
     rows = rows.select("_bucket", F.lit(1).alias("_kind"), F.lit(None).cast("binary").alias("_payload"), "doc_id", "_hash", "text", *rest)
     both = rows.unionByName(packed.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    both = both.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_kind")
+    both = both.repartition(2 * n, "_bucket").sortWithinPartitions("_bucket", "_kind")
 
     press = _Press()
 
