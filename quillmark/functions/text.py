@@ -12,8 +12,10 @@ PY_WHITESPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
 
-# Sentence pattern: a run of non-terminators closed by terminators, or a trailing run.
-SENTENCE_PATTERN = r"[^.!?]+[.!?]+|[^.!?]+$"
+# A sentence ends at terminators before white space or the end of the text (so "3.14",
+# "www.a.com" and "e.g." inside a sentence stay whole), or at the end of the text.
+SENTENCE_PATTERN = r"(?s).+?[.!?]+(?:[ \t\n\r\f\x0B]+|\z)|.+\z"
+SENTENCE_TRIM = " \t\n\r\f\x0b"
 
 
 def _c(c) -> Column:
@@ -98,9 +100,11 @@ def distinct_ratio(toks, n: int) -> Column:
 
 
 def sentences(text) -> Column:
-    """Sentences with their punctuation kept; trimmed, empties dropped."""
+    """Sentences with their punctuation kept; white space at both ends stripped,
+    empties dropped.  Joined by spaces they give the text back, but for the white space
+    between sentences."""
     parts = F.regexp_extract_all(_c(text), F.lit(SENTENCE_PATTERN), 0)
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != F.lit(""))
+    return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(SENTENCE_TRIM))), lambda s: s != F.lit(""))
 
 
 def combined_text(text, variants) -> Column:

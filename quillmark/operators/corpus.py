@@ -82,6 +82,16 @@ def shuffle_rows(df: DataFrame, seed, key: str = "doc_id") -> DataFrame:
     return df.withColumn("_h", hkey(seed, key)).orderBy("_h", key).drop("_h")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys of ``left`` stay."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx",
                 bucket: Column | None = None, start: int = 0, by=()) -> DataFrame:
     """Dense index in ``order_cols`` order (within ``by`` groups) without one window
@@ -91,7 +101,8 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx",
     order; default: the first 4 hex digits of the first order column, for md5 keys).
     Each (group, bucket) is numbered by its own window (bounded by the bucket size), the
     bucket sizes (at most 65,536 per group) get a running total, and that offset is
-    added back with a join on (group, bucket)."""
+    added back with a null-safe join on (group, bucket): rows with a null group or order
+    key are numbered too."""
     by = [by] if isinstance(by, str) else list(by)
     b = bucket if bucket is not None else F.substring(F.col(order_cols[0]), 1, 4)
     x = df.withColumn("_b", b)
@@ -101,7 +112,7 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx",
         F.lit(0)).alias("_off"))
     w = Window.partitionBy(*by, "_b").orderBy(*order_cols)
     x = x.withColumn("_rn", F.row_number().over(w))
-    return (x.join(offs, [*by, "_b"])
+    return (join_null_safe(x, offs, [*by, "_b"])
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1 + start).cast("long"))
             .drop("_b", "_rn", "_off"))
 

@@ -19,14 +19,34 @@ from .metrics import distribution_distances
 
 
 def project2d(df: DataFrame, cols: list[str], k: int = 2, out: str = "xy") -> DataFrame:
-    """K1 (re-aimed from UMAP): PCA to 2 components of the scaled feature columns."""
+    """K1 (re-aimed from UMAP): PCA to ``k`` components of the standardised feature
+    columns.  A record with a missing feature is kept with a null projection.  Signs are
+    fixed: the loading of largest size of every component is positive."""
     from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    va = VectorAssembler(inputCols=cols, outputCol="_f", handleInvalid="skip")
-    x = va.transform(df)
-    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(x)
-    y = model.transform(x).withColumn(out, vector_to_array("_p")).drop("_f", "_p")
-    return y
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from .split import scaler_stats
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    st = scaler_stats(df.where(whole), cols).select(F.struct("*")).scalar()
+    x = df.withColumn("_st", st)
+    z = [(F.col(c) - F.col("_st")[f"{c}__mean"]) / F.when(F.col("_st")[f"{c}__std"] == 0, F.lit(1.0)).otherwise(F.col("_st")[f"{c}__std"]) for c in cols]
+    x = x.withColumn("_z", F.when(whole, F.array(*z))).drop("_st")
+    fitted = PCA(k=k, inputCol="_f", outputCol="_p").fit(x.where("_z is not null").select(array_to_vector("_z").alias("_f")))
+    load = fitted.pc.toArray()                         # features x k
+    load = load * np.where(load[np.abs(load).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+    comp = [F.aggregate(F.zip_with("_z", F.array(*map(F.lit, load[:, j].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for j in range(k)]
+    return x.withColumn(out, F.when(F.col("_z").isNotNull(), F.array(*comp))).drop("_z")
+
+
+def project_domains(df: DataFrame, cols: list[str], domains: list[str], by: str = "domain", k: int = 2, out: str = "xy") -> DataFrame:
+    """K1 per domain: each domain standardised and projected on its own."""
+    parts = [project2d(df.where(F.col(by) == d), cols, k, out) for d in domains]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
 
 
 def grid_axis(lo: F.Column, hi: F.Column, k: F.Column, n: int) -> F.Column:
@@ -91,9 +111,8 @@ def kde2d(points: DataFrame, by: str, cls: str = "label", n: int = 150, pad: flo
         return v
 
     def run(batches):
-        grids = {}
+        grids, sums = {}, {}
         for pdf in batches:
-            outs = []
             for (g, c), sub in pdf.groupby([by, cls], sort=False):
                 if g not in params or c not in params[g] or g not in ranges:
                     continue
@@ -103,17 +122,15 @@ def kde2d(points: DataFrame, by: str, cls: str = "label", n: int = 150, pad: flo
                     grids[g] = (gx.ravel(), gy.ravel())
                 ia, ic, idd = params[g][c]
                 gx, gy = grids[g]
-                acc = np.zeros(len(gx))
+                acc = sums.setdefault((g, c), np.zeros(len(gx)))
                 px, py = sub["x"].to_numpy(float), sub["y"].to_numpy(float)
                 for s in range(0, len(px), chunk):
                     dx = gx[None, :] - px[s:s + chunk, None]
                     dy = gy[None, :] - py[s:s + chunk, None]
                     q = ia * dx * dx + 2.0 * ic * dx * dy + idd * dy * dy
                     acc += np.exp(-0.5 * q).sum(axis=0)
-                outs.append(pd.DataFrame({by: g, cls: c, "cell": np.arange(len(gx), dtype=np.int64),
-                                          "part": acc}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+        for (g, c), acc in sums.items():  # one row per cell and task
+            yield pd.DataFrame({by: g, cls: c, "cell": np.arange(len(acc), dtype=np.int64), "part": acc})
     parts = points.select(by, cls, "x", "y").mapInPandas(
         run, f"`{by}` {by_type}, `{cls}` {cls_type}, cell long, part double")
     summed = parts.groupBy(by, cls, "cell").agg(F.sum("part").alias("s"))
@@ -124,10 +141,11 @@ def kde2d(points: DataFrame, by: str, cls: str = "label", n: int = 150, pad: flo
 
 
 def density_distance(kde: DataFrame, by: str, cls: str = "label", eps_mode: str = "before") -> DataFrame:
-    """K4: KL both ways and Hellinger between the class-0 and class-1 grid densities."""
-    p = kde.filter(F.col(cls) == 0).select(by, "cell", F.col("density").alias("p"))
-    q = kde.filter(F.col(cls) == 1).select(by, "cell", F.col("density").alias("q"))
-    return distribution_distances(p.join(q, [by, "cell"]), by, eps_mode=eps_mode)
+    """K4: KL both ways and Hellinger between the class-0 and class-1 grid densities; the
+    classes meet in one conditional aggregate."""
+    pq = kde.groupBy(by, "cell").agg(F.max(F.when(F.col(cls) == 0, F.col("density"))).alias("p"),
+                                     F.max(F.when(F.col(cls) == 1, F.col("density"))).alias("q"))
+    return distribution_distances(pq.where("p is not null and q is not null"), by, eps_mode=eps_mode)
 
 
 def scatter_table(points: DataFrame, by: str, cls: str = "label", names=("human", "GPT")) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import h32, u01
 from ..functions.text import tokens
-from .corpus import dense_index
+from .corpus import join_null_safe
 
 
 def _by(by) -> list[str]:
@@ -60,21 +60,25 @@ def hashed_word_vectors(words: DataFrame, dim: int = 16, seed=7, word: str = "te
 
 
 def episode_sample(posts: DataFrame, author: str, order: str, seed=42, max_posts: int = 16,
-                   sample_id: int = 0) -> DataFrame:
-    """One episode per author: ``m = min(1 + ceil((max_posts-1) * u^(1/3)), n)``
-    consecutive posts (u^(1/3) is a Beta(3,1) draw) from a seeded start.  Positions come
-    from the bucketed dense index (no single window over an author's whole history)."""
-    idx = dense_index(posts, [order], "_pos", bucket=F.floor(F.col(order) / F.lit(4096)), by=author)
-    n = posts.groupBy(author).agg(F.count("*").alias("_n"))
-    draw = F.ceil(F.lit(float(max_posts - 1)) * F.pow(u01(seed, F.col(author), F.lit("len")), 1.0 / 3.0))
-    plan = (n.withColumn("_m", F.least(F.lit(1) + draw, F.col("_n")).cast("long"))
-            .withColumn("_start", F.pmod(h32(seed, F.col(author), F.lit("start")),
-                                         F.col("_n") - F.col("_m") + 1)))
-    x = idx.join(plan, author)
-    x = x.filter((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_m")))
-    return x.select("*", F.lit(sample_id).alias("sample_id"),
-                    (F.col("_pos") - F.col("_start")).cast("int").alias("post_pos")) \
-        .drop("_pos", "_n", "_m", "_start")
+                   sample_id: int = 0, batch: str | None = None) -> DataFrame:
+    """Episodes of the authors of a batch, all of one length and start.
+
+    A history is an author's first ``max_posts`` posts.  With ``s`` the shortest history
+    of the batch, the length is ``min(1 + ceil((max_posts - 1) * x), s)`` with x a seeded
+    Beta(3,1) draw (``u^(1/3)``); the start is 0 if ``s < max_posts``, else a seeded draw
+    from ``0 .. max_posts - length``.  Without ``batch`` all authors are one batch.  The
+    rank filter keeps at most ``max_posts`` rows of an author before the exchange."""
+    w = Window.partitionBy(author).orderBy(order)
+    x = posts.withColumn("_b", F.col(batch) if batch else F.lit(0))
+    x = x.withColumn("_pos", F.row_number().over(w) - 1).where(F.col("_pos") < max_posts)
+    n = x.groupBy("_b", author).agg(F.count(F.lit(1)).alias("_n"))
+    plan = n.groupBy("_b").agg(F.min("_n").alias("_s"))
+    draw = F.ceil(F.lit(float(max_posts - 1)) * F.pow(u01(seed, F.col("_b"), F.lit("len")), 1.0 / 3.0))
+    plan = plan.withColumn("_m", F.least(F.lit(1) + draw, F.col("_s")).cast("long"))
+    plan = plan.withColumn("_start", F.when(F.col("_s") < max_posts, F.lit(0)).otherwise(
+        F.pmod(h32(seed, F.col("_b"), F.lit("start")), F.lit(max_posts) - F.col("_m") + 1)))
+    x = join_null_safe(x, plan, ["_b"]).where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_m")))
+    return x.select(*posts.columns, F.lit(sample_id).alias("sample_id"), (F.col("_pos") - F.col("_start")).cast("int").alias("post_pos"))
 
 
 def episode_embedding(df: DataFrame, by, member: str, vec: str = "vec") -> DataFrame:
@@ -131,17 +135,42 @@ def project(df: DataFrame, dim: int = 512, seed=42, vec: str = "vec", out: str =
 
 
 def softmax_pool(df: DataFrame, by, score: str, vec: str) -> DataFrame:
-    """softmax(score)-weighted mean of vectors per group, computed as two grouped
-    aggregates (max score; then sum(exp(s-max)*v) / sum(exp(s-max))) — the same
-    max-rescaled partials a chunked softmax merges."""
+    """softmax(score)-weighted mean of vectors per group.  Every task keeps one
+    partial per group (largest score, weight sum and weighted vector sum relative to it);
+    partials are brought to a common maximum and added, so a group with most of the rows
+    sends one row per task."""
     b = _by(by)
-    mx = df.groupBy(*b).agg(F.max(score).alias("_mx"))
-    x = df.join(mx, b).withColumn("_w", F.exp(F.col(score) - F.col("_mx")))
-    den = x.groupBy(*b).agg(F.sum("_w").alias("_den"))
-    comp = x.select(*b, "_w", F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "val"))
-    num = comp.groupBy(*b, "dim").agg(F.sum(F.col("_w") * F.col("val")).alias("_num"))
-    res = num.join(den, b).select(*b, "dim", (F.col("_num") / F.col("_den")).alias("val"))
-    return assemble(res, b)
+    rows = df.select(*b, F.col(score).cast("double").alias("_s"), F.col(vec).cast("array<double>").alias("_v")).where("_s is not null and _v is not null")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in b)
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False, name=None):
+                g, s, v = tuple(None if x != x else x for x in r[:len(b)]), r[-2], np.asarray(r[-1], dtype=np.float64)
+                if g not in held:
+                    held[g] = [s, 1.0, v.copy()]
+                    continue
+                m, den, num = held[g]
+                if s > m:
+                    k = math.exp(m - s)
+                    held[g] = [s, den * k + 1.0, num * k + v]
+                else:
+                    k = math.exp(s - m)
+                    held[g] = [m, den + k, num + k * v]
+        if held:
+            out = pd.DataFrame([list(g) for g in held], columns=b, dtype=object)
+            out["_m"], out["_den"], out["_num"] = ([x[i] for x in held.values()] for i in range(3))
+            yield out
+
+    part = rows.mapInPandas(run, (fields + ", " if b else "") + "_m double, _den double, _num array<double>")
+    merged = part.groupBy(*b).agg(F.max("_m").alias("_mx"), F.collect_list(F.struct("_m", "_den", "_num")).alias("_p"))
+    k = lambda p: F.exp(p["_m"] - F.col("_mx"))
+    den = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["_den"] * k(p))
+    zero = F.transform(F.element_at("_p", 1)["_num"], lambda x: F.lit(0.0))
+    num = F.aggregate("_p", zero, lambda a, p: F.zip_with(a, p["_num"], lambda x, y: x + y * k(p)))
+    merged = merged.select(*b, den.alias("_den"), num.alias("_num"))
+    return merged.select(*b, F.transform("_num", lambda x: x / F.col("_den")).alias("vec"))
 
 
 # -- E8 registry -------------------------------------------------------------------------

@@ -70,10 +70,10 @@ def _overlap_udf(text: pd.Series, variants: pd.Series) -> pd.DataFrame:
     out = {f"{k}{n}": [] for k in ("d", "c") for n in NGRAM_ORDERS}
     top = len(NGRAM_ORDERS)
     for t, vs in zip(text, variants):
-        og = _gram_sets(t.lower().split(), top)
+        og = _gram_sets(t.lower().split() if t is not None else [], top)
         cs = [[] for _ in NGRAM_ORDERS]
         for v in (vs if vs is not None else []):
-            vg = _gram_sets(v.lower().split(), top) if v is not None else [set()] * top
+            vg = _gram_sets(v.lower().split(), top)
             for i in range(top):
                 cs[i].append(len(og[i] & vg[i]))
         for i, n in enumerate(NGRAM_ORDERS):
@@ -84,9 +84,17 @@ def _overlap_udf(text: pd.Series, variants: pd.Series) -> pd.DataFrame:
 
 def with_overlap_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``ov`` (struct of d1..d4 and per-variant c1..c4 arrays, in variant order) and
-    ``vpos`` (the variants' positions).  Row-local: no shuffle."""
-    return df.withColumn("ov", _overlap_udf(F.col(text), F.transform("variants", lambda v: v["text"]))) \
-             .withColumn("vpos", F.transform("variants", lambda v: v["variant_pos"]))
+    ``vpos`` (the variants' positions).  A rewrite without text is missing: it is skipped,
+    so it neither counts in means nor fills its slot.  Row-local: no shuffle."""
+    given = present("variants")
+    return df.withColumn("ov", _overlap_udf(F.col(text), F.transform(given, lambda v: v["text"]))) \
+             .withColumn("vpos", F.transform(given, lambda v: v["variant_pos"]))
+
+
+def present(variants) -> Column:
+    """The variants that have a text."""
+    v = F.col(variants) if isinstance(variants, str) else variants
+    return F.filter(v, lambda x: x["text"].isNotNull())
 
 
 def overlap_features(df: DataFrame, n_variants: int, key: str = "doc_id",

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import join_null_safe
+
 EPS = 1e-10
 
 
@@ -75,25 +77,31 @@ def classification_report(pred: DataFrame, by=(), names=("human", "GPT")) -> Dat
     return x.select(*b, F.inline(F.array("c0", "c1", acc, macro, weighted)))
 
 
-def auroc(pred: DataFrame, by=(), buckets: int = 1 << 20) -> DataFrame:
+def auroc(pred: DataFrame, by=(), buckets: int = 128) -> DataFrame:
     """Area under the ROC curve from ``score`` (ties count one half).
 
     Rank-sum form: sum over positives of (#negatives with a lower score + half the tied
     negatives) / (P*N).  Scores are first aggregated per distinct value (a hot score is
     one row), the running count of negatives is computed per score bucket (bounded window
     partitions) plus a running offset over the small bucket-total table — never one
-    window over all rows."""
+    window over all rows.  Buckets are cut at quantiles of the distinct scores, so scores
+    of any range and any crowding spread over them; rows without a score or label are left
+    out, a null group is a group."""
     b = _by(by)
+    pred = pred.where(F.col("score").isNotNull() & F.col("label").isNotNull())
     per_score = pred.groupBy(*b, "score").agg(
         F.count_if(F.col("label") == 1).alias("npos"), F.count_if(F.col("label") == 0).alias("nneg"))
-    bk = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(-1)), F.lit(buckets)).cast("long")
-    per_score = per_score.withColumn("_bk", bk)
+    cuts = per_score.agg(F.approx_percentile("score", [i / buckets for i in range(1, buckets)], 10_000)).scalar()
+    per_score = per_score.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>")))
+    # number of cuts below the score: monotone in the score
+    per_score = per_score.withColumn("_bk", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
     tot = per_score.groupBy(*b, "_bk").agg(F.sum("nneg").alias("_bn"))
     wb = Window.partitionBy(*b).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
     ws = Window.partitionBy(*b, "_bk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     x = (per_score.withColumn("_below", F.coalesce(F.sum("nneg").over(ws), F.lit(0)))
-         .join(tot, [*b, "_bk"]))
+         )
+    x = join_null_safe(x, tot, [*b, "_bk"])
     x = x.withColumn("_u", F.col("npos") * (F.col("_off") + F.col("_below") + F.col("nneg") / 2.0))
     agg = x.groupBy(*b).agg(F.sum("_u").alias("u"), F.sum("npos").alias("p"), F.sum("nneg").alias("n"))
     return agg.select(*b, F.when((F.col("p") > 0) & (F.col("n") > 0),
@@ -144,7 +152,9 @@ def distribution_distances(dist: DataFrame, by=(), p: str = "p", q: str = "q",
     ``before``: clip at 0, add eps, normalise (the histogram / multi-plot form).
     ``after``: normalise, add eps; KL renormalises, Hellinger does not (single plot)."""
     b = _by(by)
-    x = dist.select(*b, F.greatest(F.col(p), F.lit(0.0)).alias("p"), F.greatest(F.col(q), F.lit(0.0)).alias("q"))
+    def floor0(c):  # greatest() skips nulls; a missing density stays missing
+        return F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
+    x = dist.select(*b, floor0(p).alias("p"), floor0(q).alias("q"))
     w = Window.partitionBy(*b)
     if eps_mode == "before":
         x = x.select(*b, ((F.col("p") + EPS) / F.sum(F.col("p") + EPS).over(w)).alias("p"),
@@ -172,12 +182,10 @@ def kl_hellinger(pred: DataFrame, by=(), bins: int = 20) -> DataFrame:
     pq = h.groupBy(*b, "bin").agg(
         F.sum(F.when(F.col("label") == 0, F.col("density"))).alias("p"),
         F.sum(F.when(F.col("label") == 1, F.col("density"))).alias("q"))
-    d = distribution_distances(pq.filter(F.col("p").isNotNull() & F.col("q").isNotNull()), b)
     if not b:
-        return d
-    # groups with a single class get nulls
-    groups = h.groupBy(*b).agg(F.countDistinct("label").alias("_k"))
-    return groups.join(d, b, "left").drop("_k")
+        return distribution_distances(pq.filter(F.col("p").isNotNull() & F.col("q").isNotNull()), b)
+    # a class without scores in range has no density: its sums, and so the distances, are null
+    return distribution_distances(pq, b)
 
 
 # -- retrieval metrics (J10-J12) ---------------------------------------------------------

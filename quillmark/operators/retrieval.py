@@ -5,18 +5,21 @@ Queries and targets are cut into blocks of at most ``block`` rows; each (query b
 target block) cell is one cogroup whose distance matrix is computed with numpy in the
 task and reduced on the spot (min / count) — no pair is ever emitted as a row, and no
 group is larger than block x block.  Ranking needs the best same-author distance
-first, so it is two passes over the grid (min, then count below it)."""
+first: it meets only the targets of the same author, in blocks of that author; one pass
+over the whole grid then counts the targets below it."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Distances nearer than this are ties.
+TIE = 1e-12
+
+
 def _cos_dist(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     qn = np.linalg.norm(q, axis=1, keepdims=True)
     tn = np.linalg.norm(t, axis=1, keepdims=True)
@@ -25,16 +28,25 @@ def _cos_dist(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - (q / qn) @ (t / tn).T, 0.0, 2.0)
 
 
-def _grid(queries: DataFrame, targets: DataFrame, block: int):
-    nq = queries.count()
-    nt = targets.count()
-    qb = max(1, math.ceil(nq / block))
-    tb = max(1, math.ceil(nt / block))
-    q = (queries.withColumn("qb", F.pmod(F.col("qid"), F.lit(qb)))
-         .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
-    t = (targets.withColumn("tb", F.pmod(F.col("tid"), F.lit(tb)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    return q, t
+def _grid(queries: DataFrame, targets: DataFrame, block: int, by: list[str] | None = None):
+    """Blocks of about ``block`` rows by hash (ids with a common factor spread too); each
+    side is repeated for the blocks of the other.  The numbers of blocks come from counts
+    in the plan (scalar subqueries, or a join per group with ``by``): no job runs while
+    the plan is built."""
+    by = by or []
+
+    def blocks(df, name):
+        return df.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias(name))
+    if by:
+        sizes = blocks(queries, "_qn").join(blocks(targets, "_tn"), by)
+        q, t = queries.join(sizes, by), targets.join(sizes, by)
+    else:
+        n = {"_qn": blocks(queries, "_qn").scalar(), "_tn": blocks(targets, "_tn").scalar()}
+        q, t = queries.withColumns(n), targets.withColumns(n)
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    return (q.withColumn("qb", own("qid", "_qn")).withColumn("tb", every("_tn")).drop("_qn", "_tn"),
+            t.withColumn("tb", own("tid", "_tn")).withColumn("qb", every("_qn")).drop("_qn", "_tn"))
 
 
 def _mat(col) -> np.ndarray:
@@ -66,19 +78,18 @@ def author_ranks(queries: DataFrame, targets: DataFrame, block: int = 4096) -> D
     """1-based rank of the best same-author target in the query's distance order:
     1 + #targets strictly closer than it.  Queries whose author has no target get a null
     rank (they still count in the recall / MRR denominators)."""
-    q, t = _grid(queries.select("qid", "author", "emb"), targets.select("tid", "author", "emb"), block)
+    narrow_q, narrow_t = queries.select("qid", "author", "emb"), targets.select("tid", "author", "emb")
+    # the best distance meets only targets of the same author, in blocks of that author
+    qa, ta = _grid(narrow_q.where("author is not null"), narrow_t.where("author is not null"), block, ["author"])
+    q, t = _grid(narrow_q, narrow_t.select("tid", "emb"), block)
 
     def best_same(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(tp) == 0:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "dstar": pd.Series([], dtype="float64")})
         d = _cos_dist(_mat(qp["emb"]), _mat(tp["emb"]))
-        same = qp["author"].to_numpy()[:, None] == tp["author"].to_numpy()[None, :]
-        d = np.where(same, d, np.inf)
-        m = d.min(axis=1)
-        keep = np.isfinite(m)
-        return pd.DataFrame({"qid": qp["qid"].to_numpy()[keep], "dstar": m[keep]})
+        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "dstar": d.min(axis=1)})
 
-    dstar = (q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
+    dstar = (qa.groupBy("author", "qb", "tb").cogroup(ta.groupBy("author", "qb", "tb"))
              .applyInPandas(best_same, "qid long, dstar double")
              .groupBy("qid").agg(F.min("dstar").alias("dstar")))
     q2 = q.join(dstar, "qid", "left")
@@ -90,7 +101,8 @@ def author_ranks(queries: DataFrame, targets: DataFrame, block: int = 4096) -> D
             return pd.DataFrame({"qid": qp["qid"].to_numpy(), "n_below": np.zeros(len(qp), dtype="int64")})
         d = _cos_dist(_mat(qp["emb"]), _mat(tp["emb"]))
         ds = qp["dstar"].to_numpy(dtype=np.float64)
-        cnt = (d < np.where(np.isnan(ds), -np.inf, ds)[:, None]).sum(axis=1)
+        # a distance may differ in its last bits between blocks of different shapes
+        cnt = (d < np.where(np.isnan(ds), -np.inf, ds - TIE)[:, None]).sum(axis=1)
         return pd.DataFrame({"qid": qp["qid"].to_numpy(), "n_below": cnt.astype("int64")})
 
     cnt = (q2.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))

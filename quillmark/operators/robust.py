@@ -4,8 +4,8 @@ character perturbations.
 Every random choice is md5(seed, record, position) (see ``functions.sampling``), so the
 output is the same whatever the partitioning or task retries.  Mixing and perturbation
 are row-local array expressions over a record's sentences: the text is never shuffled.
-The synonym table is attached as one bounded map (checked size) through a broadcast
-join; a larger table is refused (size checked before broadcasting)."""
+A synonym table of at most ``MAX_SYNONYM_MAP`` words is attached as one map (a scalar
+subquery); from a larger one every record gets the words it needs through a join."""
 
 from __future__ import annotations
 
@@ -71,7 +71,8 @@ def balanced_combine(human: DataFrame, machine: DataFrame, seed=2023, key: str =
     g = machine.withColumn("_side", F.lit("g"))
     both = h.unionByName(g, allowMissingColumns=True)
     both = both.withColumn("_k", hkey(seed, F.col("_side"), key))
-    m = both.groupBy("_side").count().select(F.min("count")).scalar()
+    # both sides counted by name: an empty side makes the result empty
+    m = both.select(F.least(F.count_if(F.col("_side") == "h"), F.count_if(F.col("_side") == "g"))).scalar()
     ranked = dense_index(both, ["_k", key], "_r", by="_side")
     picked = ranked.filter(F.col("_r") < m)
     for c in ("explanation", "implementation"):
@@ -85,8 +86,10 @@ def balanced_combine(human: DataFrame, machine: DataFrame, seed=2023, key: str =
 
 
 def synonym_map(synonyms: DataFrame) -> DataFrame:
-    """One-row table holding the synonym map (word -> replacement)."""
-    return synonyms.agg(F.map_from_entries(F.collect_list(F.struct("word", "repl"))).alias("_syn"))
+    """One-row table holding the synonym map (word -> replacement; of several
+    replacements the first in order)."""
+    one = synonyms.where("word is not null and repl is not null").groupBy("word").agg(F.min("repl").alias("repl"))
+    return one.agg(F.map_from_entries(F.collect_list(F.struct("word", "repl"))).alias("_syn"))
 
 
 def _chosen(seed, key, si, wi, share) -> Column:
@@ -140,19 +143,24 @@ def perturb_mixed_expr(text, key, syn: Column, share: float = 0.1, seed=17) -> C
     return map_sentences(t2, per_sentence)
 
 
-def with_synonyms(df: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Attach the synonym map as column ``_syn`` via a broadcast of its single row; the
-    table size is checked against MAX_SYNONYM_MAP first."""
-    n = synonyms.count()
-    if n > MAX_SYNONYM_MAP:
-        raise ValueError(f"synonym table has {n} rows (> {MAX_SYNONYM_MAP}): too large to attach as a map")
-    m = synonym_map(synonyms).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(m), "_one").drop("_one")
+def with_synonyms(df: DataFrame, synonyms: DataFrame, key: str = "doc_id", text: str = "text",
+                  limit: int | None = None) -> DataFrame:
+    """Attach the synonyms of a record's words as column ``_syn``: the whole map if the
+    table has at most ``limit`` words, else a map of the record's own words by two joins
+    (distinct words of a record to the table, then back by key)."""
+    limit = MAX_SYNONYM_MAP if limit is None else limit
+    if synonyms.limit(limit + 1).count() <= limit:
+        return df.withColumn("_syn", synonym_map(synonyms).scalar())
+    one = synonyms.where("word is not null and repl is not null").groupBy("word").agg(F.min("repl").alias("repl"))
+    need = df.select(key, F.explode(F.array_distinct(F.transform(words(text), lambda w: F.lower(w)))).alias("word")).distinct()
+    own = need.join(one, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "repl"))).alias("_syn"))
+    none = F.map_from_entries(F.array().cast("array<struct<word:string,repl:string>>"))
+    return df.join(own, key, "left").withColumn("_syn", F.coalesce("_syn", none))
 
 
 def with_perturbations(df: DataFrame, synonyms: DataFrame, share: float = 0.1, key: str = "doc_id") -> DataFrame:
     """H7: the three perturbed texts as extra columns; empty texts are skipped."""
-    x = with_synonyms(df.filter(F.col("text").isNotNull() & (F.trim("text") != "")), synonyms)
+    x = with_synonyms(df.filter(F.col("text").isNotNull() & (F.trim("text") != "")), synonyms, key)
     syn = F.col("_syn")
     return x.select(*df.columns,
                     perturb_words_expr("text", key, syn, share).alias("perturb_words"),

@@ -91,6 +91,9 @@ def tfidf_cosines_inrow(df: DataFrame, vocabulary: DataFrame, text: str = "text"
             a = vec(o)
             row = []
             for v in (lst if lst is not None else []):
+                if v is None:  # a missing rewrite has no distance
+                    row.append(None)
+                    continue
                 b = vec(v)
                 small, big = (a, b) if len(a) < len(b) else (b, a)
                 d = sum(x * big.get(k, 0.0) for k, x in small.items())

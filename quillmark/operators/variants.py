@@ -152,8 +152,8 @@ def promote_variant(df: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
 
 
 def conversation_pairs(conv: DataFrame) -> DataFrame:
-    """User turn -> the next assistant turn of the same conversation, as
-    (doc_id, text, variant_pos, variant_text).  The pair is found with an equi-join on
+    """User turn -> the next assistant turn of the same conversation, keyed by the struct
+    ``doc_id`` = (conv_id, turn).  The pair is found with an equi-join on
     (conv_id, turn + 1): no window over a whole conversation, so a very long
     conversation does not land in one task."""
     u = conv.filter(F.col("role") == "user").select(
@@ -161,5 +161,5 @@ def conversation_pairs(conv: DataFrame) -> DataFrame:
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("u_turn"), F.col("text").alias("reply"))
     return (u.join(a, ["conv_id", "u_turn"], "inner")
-            .select((F.col("conv_id") * 100000 + F.col("u_turn")).alias("doc_id"),
+            .select(F.struct("conv_id", F.col("u_turn").alias("turn")).alias("doc_id"),
                     "conv_id", "u_turn", "user_text", "reply"))

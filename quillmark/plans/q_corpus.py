@@ -63,9 +63,11 @@ SELECT doc_id, CAST(length(array_to_string(w[1:1024], ' ')) AS BIGINT) AS tok_cu
        CAST(length(substr(text, 1, 4000)) AS BIGINT) AS char_cut_chars
 FROM (SELECT doc_id, text, {S.words('text')} AS w FROM documents)""")
 def q_truncate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(T.truncate_tokens("text", 1024)).cast("long").alias("tok_cut_chars"),
-                    F.length(T.truncate_chars("text", 4000)).cast("long").alias("char_cut_chars"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    cut = C.truncate_text(d, 1024, "tokens").withColumnRenamed("text", "by_tokens")
+    cut = C.truncate_text(cut.withColumnRenamed("whole", "text"), 4000, "chars")
+    return cut.select("doc_id", F.length("by_tokens").cast("long").alias("tok_cut_chars"),
+                      F.length("text").cast("long").alias("char_cut_chars"))
 
 
 @register("drop_missing", "B5", f"""
@@ -159,25 +161,25 @@ def q_requests(spark, sf_dir):
                     F.length("request").cast("long").alias("request_chars"))
 
 
-_PAIRS_SQL = """(SELECT u.conv_id * 100000 + u.turn AS doc_id, u.text AS user_text, a.text AS reply
+_PAIRS_SQL = """(SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS reply
  FROM conversations u JOIN conversations a
    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
  WHERE u.role = 'user')"""
 
 
 @register("attach", "C4", f"""
-SELECT m.conv_id * 100000 + m.turn AS doc_id, CAST(count(p.reply) AS BIGINT) AS n_variants,
+SELECT m.conv_id, m.turn, CAST(count(p.reply) AS BIGINT) AS n_variants,
        max(md5(p.reply)) AS reply_md5
-FROM conversations m LEFT JOIN {_PAIRS_SQL} p ON p.doc_id = m.conv_id * 100000 + m.turn
-WHERE m.role = 'user' GROUP BY 1""")
+FROM conversations m LEFT JOIN {_PAIRS_SQL} p ON p.conv_id = m.conv_id AND p.turn = m.turn
+WHERE m.role = 'user' GROUP BY m.conv_id, m.turn""")
 def q_attach(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     pairs = V.conversation_pairs(conv)
     users = conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "text")
+        F.struct("conv_id", "turn").alias("doc_id"), "text")
     resp = pairs.select("doc_id", F.lit(0).alias("variant_pos"), F.col("reply").alias("text"))
     att = V.attach_rewrites(users, resp)
-    return att.select("doc_id", F.size("variants").cast("long").alias("n_variants"),
+    return att.select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), F.size("variants").cast("long").alias("n_variants"),
                       F.md5(F.try_element_at("variants", F.lit(1))["text"]).alias("reply_md5"))
 
 
@@ -200,7 +202,7 @@ FROM labels""")
 def q_shuffle(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id")
     from ..functions.sampling import hkey
-    x = lab.withColumn("shuffle_key", hkey(2023, "doc_id"))
+    x = C.shuffle_rows(lab, 2023).withColumn("shuffle_key", hkey(2023, "doc_id"))
     return C.dense_index(x, ["shuffle_key", "doc_id"], "pos")
 
 

@@ -13,7 +13,7 @@ from ..operators import metrics as M
 from ..operators import split as SP
 from ..operators.corpus import label_from_source
 from ..session import spread
-from ..sources.tables import corpus
+from ..sources.tables import source_from_quality, table
 from . import sqlfrag as S
 from .registry import r6, register
 
@@ -21,11 +21,13 @@ D = "CAST({} AS DOUBLE)".format
 
 
 def predictions(spark, sf_dir):
-    c = spread(corpus(spark, sf_dir), "doc_id").filter(T.token_count("text") > 0).withColumn("t", T.tokens("text"))
-    score = F.size(F.array_distinct("t")) / F.size("t")
-    return c.select("doc_id", "domain", label_from_source("source").alias("label"),
-                    F.size("t").cast("long").alias("n_tokens"), score.alias("score")) \
-        .withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+    """Scores are computed where the text is; only the narrow rows meet the labels."""
+    c = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain")), "doc_id")
+    c = c.filter(T.token_count("text") > 0).withColumn("t", T.tokens("text"))
+    scored = c.select("doc_id", "domain", F.size("t").cast("long").alias("n_tokens"), (F.size(F.array_distinct("t")) / F.size("t")).alias("score"))
+    lab = table(spark, sf_dir, "labels").select("doc_id", label_from_source(source_from_quality()).alias("label"))
+    return (scored.join(lab, "doc_id").select("doc_id", "domain", "label", "n_tokens", "score")
+            .withColumn("prediction", (F.col("score") >= 0.5).cast("int")))
 
 
 PRED_SQL = f"""pr AS (
@@ -183,7 +185,6 @@ def q_scale(spark, sf_dir):
 SELECT domain, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT label) AS BIGINT) AS n_classes,
        count(*) > 0 AND count(DISTINCT label) = 2 AS trainable FROM pr GROUP BY domain""")
 def q_domain_guards(spark, sf_dir):
-    p = predictions(spark, sf_dir)
-    g = p.groupBy("domain").agg(F.count("*").cast("long").alias("n"),
-                                F.countDistinct("label").cast("long").alias("n_classes"))
-    return g.withColumn("trainable", (F.col("n") > 0) & (F.col("n_classes") == 2))
+    from ..operators.models import domain_guards
+    g = domain_guards(predictions(spark, sf_dir))
+    return g.select("domain", F.col("n").cast("long"), F.col("n_classes").cast("long"), "trainable")

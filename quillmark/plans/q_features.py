@@ -3,22 +3,16 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fuzzy as FZ
-from ..functions import text as TX
-from ..functions import vectors as VX
 from ..operators import features as G
+from ..operators import layouts as L
 from ..operators import tfidf as TF
 from ..operators.variants import RULES
 from ..sources.tables import table
 from . import sqlfrag as S
-from .q_text import eligible_with_variants, _sql_base, _sql_variants
+from .q_text import eligible_with_variants, _sql_base, _sql_variants, _wide_sql
 from .registry import r6, register
 
 P = len(RULES)
@@ -47,22 +41,21 @@ def q_token_set(spark, sf_dir):
 
 def _texts8(spark, sf_dir):
     """All documents' originals (pos -1) and rule rewrites (pos 0..6) as one text table
-    keyed by tid = doc_id*8 + pos + 1 (the vectorizer is fitted on all of them)."""
+    keyed by tid = (doc_id, pos) (the vectorizer is fitted on all of them)."""
     from ..operators.variants import rule_variants
     from ..session import spread
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     v = rule_variants(d).select("doc_id", F.inline("variants"))
     o = d.select("doc_id", F.lit(-1).alias("variant_pos"), "text")
     t = o.unionByName(v)
-    return t.withColumn("tid", F.col("doc_id") * 8 + F.col("variant_pos") + 1)
+    return t.withColumn("tid", F.struct("doc_id", "variant_pos"))
 
 
 def tfidf_cosines(spark, sf_dir):
     t = _texts8(spark, sf_dir)
     voc = TF.tfidf_fit(t, 5000, key="tid")
     vec = TF.tfidf_transform(t, voc, key="tid")
-    vec = vec.select((F.floor(F.col("tid") / 8)).alias("doc_id"),
-                     (F.col("tid") % 8 - 1).cast("int").alias("variant_pos"), "term", "w")
+    vec = vec.select("tid.doc_id", "tid.variant_pos", "term", "w")
     o = vec.filter("variant_pos = -1").select("doc_id", "term", "w")
     r = vec.filter("variant_pos >= 0")
     cos = TF.sparse_cosine(r, o, ["doc_id", "variant_pos"], on=["doc_id"]).withColumnRenamed("cos", "cos_d")
@@ -87,27 +80,19 @@ cs AS (SELECT r.doc_id, r.variant_pos, least(greatest(1.0 - sum(r.w * o.w), 0.0)
        WHERE r.variant_pos >= 0 GROUP BY ALL)"""
 
 
-@register("wide_tfidf_cos", "G2 block 5 + E1", "WITH " + _sql_base()[1:] + ", " + TFIDF_COS_SQL + """
+_WIDE_COS_SQL = ("WITH " + _sql_base()[1:] + ", " + TFIDF_COS_SQL + """
 SELECT d.doc_id, """ + ", ".join(
     S.r6(f"coalesce(max(CASE WHEN cs.variant_pos = {p} THEN cs.cos_d END), 1.0)") + f" AS cos_v{p}" for p in range(P))
     + " FROM d LEFT JOIN cs USING (doc_id) GROUP BY d.doc_id")
+
+
+@register("wide_tfidf_cos", "G2 block 5 + E1", _WIDE_COS_SQL)
 def q_wide_tfidf_cos(spark, sf_dir):
-    from ..operators.variants import rule_variants
-    from ..session import spread
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    allv = rule_variants(d).cache()     # feeds the vocabulary fit and the distances
-    texts = allv.select("text").unionByName(allv.select(F.inline("variants")).select("text"))
-    voc = TF.tfidf_fit(texts, 5000)
-    x = G.length_filter(G.with_tokens(allv))
-    c = TF.tfidf_cosines_inrow(x, voc)
-    k = F.size("variants")
-    return c.select("doc_id", *[r6(F.when(F.array_position(F.transform("variants", lambda v: v["variant_pos"]), p) > 0,
-                                          F.try_element_at("tfidf_cos", F.array_position(
-                                              F.transform("variants", lambda v: v["variant_pos"]), p).cast("int")))
-                                   .otherwise(F.lit(1.0))).alias(f"cos_v{p}") for p in range(P)])
-
-
-@register("wide_tfidf_cos_long", "G2 block 5 + E2 (sparse rows)")
+    f = L.wide_features(_records(spark, sf_dir), P, "tfidf", fuzzy=False).where("status = 'ok'")
+    return f.select("doc_id", *[r6(f"cos_v{p}").alias(f"cos_v{p}") for p in range(P)])
+
+
+@register("wide_tfidf_cos_long", "G2 block 5 + E2 (sparse rows)", _WIDE_COS_SQL)
 def q_wide_tfidf_cos_long(spark, sf_dir):
     """Same distances through the long sparse E2 table and a join per (doc, term)."""
     d = G.length_filter(G.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -119,18 +104,40 @@ def q_wide_tfidf_cos_long(spark, sf_dir):
     return j.select("doc_id", *[r6(F.coalesce(f"c{p}", F.lit(1.0))).alias(f"cos_v{p}") for p in range(P)])
 
 
+def _records(spark, sf_dir):
+    """Every document with its rule rewrites, as the layouts read them."""
+    from ..operators.variants import rule_variants
+    from ..session import spread
+    return rule_variants(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def _rounded(f, skip=("doc_id", "n_tokens", "n_variants", "status")):
+    return f.select(*[F.col(c) if c in skip else r6(c).alias(c) for c in f.columns])
+
+
 @register("wide_full", "G2")
 def q_wide_full(spark, sf_dir):
-    """All five blocks with named columns (fuzzy block 4 runs in the Arrow UDF)."""
-    x = eligible_with_variants(spark, sf_dir)
-    blocks13 = G.overlap_features(x, P)
-    fz = (x.select("doc_id", F.col("text").alias("orig"), F.inline("variants"))
-          .select("doc_id", "variant_pos", FZ.fuzz_ratio("orig", "text").alias("fr"),
-                  FZ.token_set("orig", "text").alias("ts"))
-          .groupBy("doc_id").agg(*[F.max(F.when(F.col("variant_pos") == p, F.col(c))).alias(f"{c}_v{p}")
-                                   for p in range(P) for c in ("fr", "ts")]))
-    cos = q_wide_tfidf_cos(spark, sf_dir)
-    return blocks13.join(fz, "doc_id", "left").join(cos, "doc_id", "left")
+    """All five blocks in one pass, TF-IDF as the method; blocks 1-3 and 5 are the columns
+    of ``wide_overlap`` and ``wide_tfidf_cos``."""
+    return _rounded(L.wide_features(_records(spark, sf_dir), P, "tfidf"))
+
+
+HASH_COS_SQL = f"""h8 AS (SELECT doc_id, -1 AS variant_pos, toks AS t FROM d UNION ALL SELECT doc_id, variant_pos, {S.tokens('vtext')} FROM v),
+hb AS (SELECT doc_id, variant_pos, ('0x' || substr(md5(unnest(t)), 1, 8))::BIGINT % {HASH_DIM} AS b FROM h8),
+hc AS (SELECT doc_id, variant_pos, b, count(*)::DOUBLE AS c FROM hb GROUP BY ALL),
+hn AS (SELECT doc_id, variant_pos, sqrt(sum(c * c)) AS n FROM hc GROUP BY ALL),
+hd AS (SELECT o.doc_id, r.variant_pos, sum(o.c * r.c) AS dot FROM hc o JOIN hc r ON r.doc_id = o.doc_id AND r.b = o.b AND o.variant_pos = -1 AND r.variant_pos >= 0 GROUP BY ALL),
+hs AS (SELECT h.doc_id, h.variant_pos, least(greatest(1.0 - coalesce(hd.dot / (a.n * b.n), 0.0), 0.0), 2.0) AS cos_d
+       FROM h8 h LEFT JOIN hd ON hd.doc_id = h.doc_id AND hd.variant_pos = h.variant_pos
+       LEFT JOIN hn a ON a.doc_id = h.doc_id AND a.variant_pos = -1 LEFT JOIN hn b ON b.doc_id = h.doc_id AND b.variant_pos = h.variant_pos
+       WHERE h.variant_pos >= 0)"""
+
+
+@register("wide_hash_proj", "G2 blocks 1-3 + 5, hashed bags", "SELECT w.*, h.* EXCLUDE (doc_id) FROM (" + _wide_sql() + ") w JOIN (WITH " + _sql_base()[1:] + ", " + _sql_variants() + ", " + HASH_COS_SQL + """
+SELECT doc_id, """ + ", ".join(S.r6(f"max(CASE WHEN variant_pos = {p} THEN cos_d END)") + f" AS cos_v{p}" for p in range(P)) + """ FROM hs GROUP BY doc_id) h USING (doc_id)""")
+def q_wide_hash_proj(spark, sf_dir):
+    f = L.wide_features(_records(spark, sf_dir), P, "hash_proj", fuzzy=False, dim=HASH_DIM)
+    return _rounded(f.where("status = 'ok'").drop("status"))
 
 
 # -- G1 Summary-6 -------------------------------------------------------------------------
@@ -153,70 +160,23 @@ SELECT doc_id,
 FROM pr GROUP BY doc_id"""
 
 
-_DIST_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("euclidean", "cosine", "manhattan")])
-
-
-@F.pandas_udf(_DIST_TYPE)
-def _hashed_distances(orig: pd.Series, variants: pd.Series) -> pd.DataFrame:
-    """Mean euclidean / cosine / manhattan distance between the hashed term-frequency
-    vector of the original and those of its variants (bucket ids come from Catalyst)."""
-    out = {"euclidean": [], "cosine": [], "manhattan": []}
-    for o, vs in zip(orig, variants):
-        a = np.bincount(np.asarray(o, dtype=np.int64), minlength=HASH_DIM).astype(np.float64)
-        na = np.linalg.norm(a)
-        e, c, m = [], [], []
-        for v in (vs if vs is not None else []):
-            b = np.bincount(np.asarray(v, dtype=np.int64), minlength=HASH_DIM).astype(np.float64)
-            nb = np.linalg.norm(b)
-            diff = a - b
-            e.append(math.sqrt(float(diff @ diff)))
-            m.append(float(np.abs(diff).sum()))
-            sim = 0.0 if na == 0 or nb == 0 else float(a @ b) / (na * nb)
-            c.append(min(max(1.0 - sim, 0.0), 2.0))
-        k = len(e)
-        out["euclidean"].append(sum(e) / k if k else 0.0)
-        out["cosine"].append(sum(c) / k if k else 0.0)
-        out["manhattan"].append(sum(m) / k if k else 0.0)
-    return pd.DataFrame(out)
-
-
-def _buckets(text) -> F.Column:
-    return F.transform(TX.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10)
-                                                         .cast("long"), F.lit(HASH_DIM)))
-
-
 @register("summary6", "G1 (without fuzz)", SUMMARY_SQL)
 def q_summary6(spark, sf_dir):
-    x = eligible_with_variants(spark, sf_dir)
-    y = x.withColumn("_dist", _hashed_distances(_buckets("text"),
-                                                F.transform("variants", lambda v: _buckets(v["text"]))))
-    z = G.with_overlap_counts(y)
-    k = F.size("vpos")
-
-    def mean(arr):
-        return F.when(k > 0, F.aggregate(arr, F.lit(0).cast("long"), lambda a, b: a + b) / k).otherwise(F.lit(0.0))
-    return z.select("doc_id", r6("_dist.euclidean").alias("euclidean"), r6("_dist.cosine").alias("cosine"),
-                    r6("_dist.manhattan").alias("manhattan"), r6(mean(F.col("ov.c1"))).alias("common_unigrams"),
-                    r6(mean(F.col("ov.c2"))).alias("common_bigrams"))
+    f = L.summary6(_records(spark, sf_dir), "hash_proj", fuzzy=False, dim=HASH_DIM)
+    return _rounded(f.where("status = 'ok'").drop("status", "n_variants"))
 
 
 @register("summary6_full", "G1")
 def q_summary6_full(spark, sf_dir):
-    x = eligible_with_variants(spark, sf_dir)
-    y = x.withColumn("_dist", _hashed_distances(_buckets("text"),
-                                                F.transform("variants", lambda v: _buckets(v["text"]))))
-    z = G.with_overlap_counts(y)
-    k = F.size("vpos")
-    pairs = (x.select("doc_id", F.col("text").alias("orig"), F.inline("variants"))
-             .select("doc_id", FZ.fuzz_ratio("orig", "text").alias("fr"))
-             .groupBy("doc_id").agg(F.avg("fr").alias("fuzz_ratio")))
-
-    def mean(arr):
-        return F.when(k > 0, F.aggregate(arr, F.lit(0).cast("long"), lambda a, b: a + b) / k).otherwise(F.lit(0.0))
-    base = z.select("doc_id", F.col("_dist.euclidean").alias("euclidean"), F.col("_dist.cosine").alias("cosine"),
-                    F.col("_dist.manhattan").alias("manhattan"), mean(F.col("ov.c1")).alias("common_unigrams"),
-                    mean(F.col("ov.c2")).alias("common_bigrams"), k.alias("n_variants"))
-    return base.join(pairs, "doc_id", "left").fillna(0.0, ["fuzz_ratio"])
+    return _rounded(L.summary6(_records(spark, sf_dir), "hash_proj", dim=HASH_DIM))
+
+
+@register("layout_status", "G1/G2 status column", f"""SELECT status, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN text IS NULL THEN 'no text' WHEN len(t) < 5 THEN 'too short' WHEN len(t) > 20000 THEN 'too long' ELSE 'ok' END AS status
+  FROM (SELECT text, {S.tokens('text')} AS t FROM documents)) GROUP BY status""")
+def q_layout_status(spark, sf_dir):
+    f = L.summary6(_records(spark, sf_dir), "hash_proj", fuzzy=False, dim=HASH_DIM)
+    return f.groupBy("status").agg(F.count("*").cast("long").alias("n"))
 
 
 # -- G6, G7, B11, B12 ---------------------------------------------------------------------
@@ -255,7 +215,7 @@ def q_feature_matrix(spark, sf_dir):
     names = [c for c in f.columns if c not in ("doc_id", "n_tokens", "n_variants")]
     sel = G.select_features(f, names, keep=["doc_id"])
     sel = G.rescale_features(sel, ["avg_c1"], 100.0)
-    m = G.feature_matrix(sel.fillna(0.0), names)
+    m = G.feature_matrix(sel, names)   # a missing feature is an error
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("features")
     return m.select("doc_id", F.size(arr).cast("long").alias("width"), r6(arr[0]).alias("avg_c1_scaled"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from ..session import checkpoint_dir, cut_lineage, spread
 from ..sources import io as IO
 from ..sources.tables import corpus, table
 from ..streaming.features import batch_features, stream_features
-from .registry import register
+from .q_text import _wide_sql
+from .registry import r6, register
 
 NAMES = [f"avg_c{n}" for n in range(1, 5)] + [f"all_c{n}" for n in range(1, 5)] + \
     [f"c{n}_v{p}" for p in range(len(RULES)) for n in range(1, 5)]
@@ -28,11 +30,17 @@ def _scratch(spark, tag: str) -> str:
     return os.path.join(checkpoint_dir(spark), "quillmark", f"{tag}-{uuid.uuid4().hex}")
 
 
-def model_table(spark, sf_dir):
-    c = spread(corpus(spark, sf_dir), "doc_id")
+def feature_rows(spark, sf_dir):
+    """``doc_id, domain`` and all features of every eligible document, row-locally."""
+    c = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain")), "doc_id")
     x = rule_variants(G.length_filter(G.with_tokens(c)))
-    f = G.overlap_features(x, len(RULES), extra=["domain", "source"])
-    f = f.withColumn("label", F.when(F.col("source") == "human", 0).otherwise(1)).fillna(0.0, NAMES)
+    return G.overlap_features(x, len(RULES), extra=["domain"])
+
+
+def model_table(spark, sf_dir):
+    """Features first, then the labels: only narrow rows are joined."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 0).otherwise(1).alias("label"))
+    f = feature_rows(spark, sf_dir).join(lab, "doc_id")
     # iterative fitting re-reads its input many times: cut the text plan off with a
     # reliable checkpoint in the shared checkpoint folder
     return cut_lineage(f)
@@ -58,68 +66,87 @@ def q_mlp(spark, sf_dir):
 @register("cross_domain", "I7")
 def q_cross_domain(spark, sf_dir):
     d = model_table(spark, sf_dir)
-    rows = ML.cross_domain(d, NAMES, "en", "fr") + ML.cross_domain(d, NAMES, "fr", "en")
-    return spark.createDataFrame(rows)
+    domains = ML.trainable_domains(d)   # a catalogue of few names
+    rows = [r for a in domains for r in ML.cross_domain(d, NAMES, a, [b for b in domains if b != a])]
+    return spark.createDataFrame(rows, ML.CROSS_SCHEMA)
 
 
 @register("per_domain_eval", "I8")
 def q_per_domain_eval(spark, sf_dir):
     d = model_table(spark, sf_dir)
-    return spark.createDataFrame(ML.per_domain_eval(d, NAMES))
+    return spark.createDataFrame(ML.per_domain_eval(d, NAMES), ML.DOMAIN_SCHEMA)
 
 
-@register("stream", "L1")
-def q_stream(spark, sf_dir):
+def _streamed(spark, sf_dir):
     base = _scratch(spark, "stream")
     q = stream_features(spark, sf_dir, f"{base}/out", f"{base}/ckpt", glob="documents.parquet")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+def _rounded(f):
+    return f.select(*[F.col(c) if c == "doc_id" else F.col(c).cast("long") if c in ("n_tokens", "n_variants") else r6(c).alias(c) for c in f.columns])
+
+
+@register("stream", "L1", _wide_sql())
+def q_stream(spark, sf_dir):
+    return _rounded(_streamed(spark, sf_dir))
 
 
-@register("stream_equals_batch", "L1 check")
+@register("stream_equals_batch", "L1 check", f"SELECT * FROM ({_wide_sql()}) WHERE false")
 def q_stream_equals_batch(spark, sf_dir):
     """Rows where the streamed features differ from the batch run (expected: none)."""
-    s = q_stream(spark, sf_dir).drop("batch_id")
+    s = _streamed(spark, sf_dir)
     b = batch_features(table(spark, sf_dir, "documents"))
     return s.exceptAll(b).unionByName(b.exceptAll(s))
 
 
-@register("io_roundtrip", "A1+A2+A4+A5+A7")
+@register("io_roundtrip", "A1+A2+A4+A5+A7", """
+SELECT d.doc_id, CASE l.quality WHEN 1 THEN 'human' WHEN 0 THEN 'GPT' END AS source, CASE WHEN l.quality = 1 THEN 0 ELSE 1 END AS label,
+       d.lang AS domain, md5(d.text) AS text_md5, md5(d.text) AS lenient_md5 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q_io_roundtrip(spark, sf_dir):
     base = _scratch(spark, "io")
     c = corpus(spark, sf_dir, labelled_only=False).select(
         F.col("doc_id").alias("Index"), F.col("text").alias("Text"), F.col("source").alias("Source"), "domain")
     IO.write_rewrites(c, f"{base}/rewrites", fmt="json", partition_by="domain")
     IO.write_labels(c.select("Index", "Source"), f"{base}/labels")
+    # the list form: JSON lists of up to 256 records, a file each, and a broken file beside
+    lists = c.groupBy(F.pmod(F.xxhash64("Index"), F.lit(8)).alias("part"), F.floor(F.col("Index") / 2048).alias("run")).agg(
+        F.to_json(F.collect_list(F.struct("Index", "Text", "Source"))).alias("value"))
+    lists.write.partitionBy("part", "run").text(f"{base}/lists")
+    spark.range(1).select(F.lit('[{"Index": 1, "Text": ').alias("value")).write.text(f"{base}/broken")
     got = IO.read_corpus(spark, f"{base}/rewrites", multiline=False)
-    lenient = IO.read_or_default(spark, f"{base}/missing")
+    lenient = IO.read_or_default(spark, f"{base}/lists")
+    lenient = lenient.unionByName(IO.read_or_default(spark, f"{base}/missing")).unionByName(IO.read_or_default(spark, f"{base}/broken"))
     lab = IO.read_labels(spark, f"{base}/rewrites", multiline=False)
-    return (got.join(lab, "doc_id").select("doc_id", "source", "label", "domain")
-            .unionByName(lenient.select(F.col("Index").alias("doc_id"), F.col("Source").alias("source"),
-                                        F.lit(None).cast("int").alias("label"), F.lit(None).cast("string").alias("domain"))))
+    return (got.join(lab, "doc_id").join(lenient.select("doc_id", F.md5("text").alias("lenient_md5")), "doc_id")
+            .select("doc_id", "source", "label", "domain", F.md5("text").alias("text_md5"), "lenient_md5"))
 
 
-@register("features_roundtrip", "A3+A6+A9")
+@register("features_roundtrip", "A3+A6+A9", f"""SELECT doc_id, [{", ".join(NAMES)}] AS f FROM ({_wide_sql()})""")
 def q_features_roundtrip(spark, sf_dir):
     base = _scratch(spark, "feat")
     x = rule_variants(G.length_filter(G.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))))
     f = G.overlap_features(x, len(RULES))
-    vec = f.select("doc_id", F.array(*[F.col(n) for n in NAMES[:8]]).alias("f"), F.lit("overlap").alias("method"))
+    vec = f.select("doc_id", F.array(*[F.col(n) for n in NAMES]).alias("f"), F.lit("overlap").alias("method"))
     IO.write_features(vec, f"{base}/features")
     back = IO.read_features(spark, f"{base}/features/method=overlap")
     IO.append_metrics(back.select(F.size("f").alias("width")).agg(F.max("width").alias("width")),
                       f"{base}/metrics", "run-1")
-    return back
+    return back.select("doc_id", F.transform("f", lambda x: F.round(x, 6)).alias("f"))
 
 
 @register("read_domains", "A8", """
 SELECT domain, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT lang AS domain FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY domain""")
 def q_read_domains(spark, sf_dir):
+    """A catalogue of paths: the documents written once per language (one scan, one
+    partitioned write) and the benchmark table as it is."""
+    base = _scratch(spark, "domains")
     d = table(spark, sf_dir, "documents").select("lang", "text")
+    d.write.partitionBy("lang").parquet(base)
     langs = [r["lang"] for r in d.select("lang").distinct().collect()]   # the catalogue names (few)
-    paths = {lang: lang for lang in langs}
-    cat = IO.read_domains(spark, paths, reader=lambda lang: d.filter(F.col("lang") == lang).select("text"))
-    bench = IO.read_domains(spark, {"benchmark": "benchmark"},
-                            reader=lambda _: table(spark, sf_dir, "benchmark").select("text"))
-    return cat.unionByName(bench).groupBy("domain").agg(F.count("*").cast("long").alias("n"))
+    paths = {x: f"{base}/lang={'__HIVE_DEFAULT_PARTITION__' if x is None else quote(x, safe=' ')}" for x in langs}
+    paths["benchmark"] = f"{sf_dir.rstrip('/')}/benchmark.parquet"
+    cat = IO.read_domains(spark, paths, reader=lambda p: spark.read.parquet(p).select("text"))
+    return cat.groupBy("domain").agg(F.count("*").cast("long").alias("n"))

@@ -8,7 +8,7 @@ from ..operators import robust as H
 from ..operators import tfidf as TF
 from ..operators.variants import RULES, promote_variant, rule_variants
 from ..session import spread
-from ..sources.tables import corpus, table
+from ..sources.tables import corpus, source_from_quality, table
 from . import sqlfrag as S
 from .q_corpus import CORPUS_SQL
 from .q_vectors import VOCAB_SQL, _h32_sql, _u01_sql
@@ -66,61 +66,90 @@ SYN_SQL = f"""{VOCAB_SQL},
 syn AS (SELECT term AS word, lead(term) OVER (PARTITION BY length(term) ORDER BY term) AS repl FROM voc)"""
 
 
+def _edit_sql(seed: int, ws: str) -> str:
+    """One seeded character edit of ``{ws}.x``."""
+    h = lambda tag: _h32_sql(seed, f'{ws}.doc_id', f'{ws}.si', f'{ws}.wi', f"'{tag}'")
+    n = f"length({ws}.x)"
+    k = f"CAST({h('k')} % greatest({n}, 1) + 1 AS BIGINT)"
+    k2 = f"CAST({h('k')} % greatest({n} - 1, 1) + 1 AS BIGINT)"
+    pre = f"substring({ws}.x, 1, {k} - 1)"
+    ch = f"substring({ws}.x, {k}, 1)"
+    post = f"substring({ws}.x, {k} + 1, greatest({n} - {k}, 0))"
+    swap = (f"substring({ws}.x, 1, {k2} - 1) || substring({ws}.x, {k2} + 1, 1) || substring({ws}.x, {k2}, 1) || "
+            f"substring({ws}.x, {k2} + 2, greatest({n} - {k2} - 1, 0))")
+    return (f"CASE {h('op')} % 4 WHEN 0 THEN CASE WHEN {n} >= 2 THEN {swap} ELSE {ws}.x END "
+            f"WHEN 1 THEN CASE WHEN {n} >= 2 THEN {pre} || {post} ELSE {ws}.x END "
+            f"WHEN 2 THEN {pre} || {ch} || {ch} || {post} "
+            f"ELSE {pre} || translate({ch}, '{H.ALPHABET}', '{H.ROTATED}') || {post} END")
+
+
+def _step_sql(kind: str, seed: int, src: str, tag: str) -> str:
+    """CTEs ending in ``t_{tag} (doc_id, text)``: ``src`` with one kind of edit on its
+    seeded share of words."""
+    ws = f"ws_{tag}"
+    change = {"words": "coalesce(syn.repl, {0}.x)", "chars": _edit_sql(seed, ws),
+              "look": f"translate({ws}.x, '{H.LOOKALIKE_FROM}', '{H.LOOKALIKE_TO}')"}[kind].replace("{0}", ws)
+    join = f"LEFT JOIN syn ON syn.word = lower({ws}.x) AND syn.repl IS NOT NULL" if kind == "words" else ""
+    return f"""ss_{tag} AS (SELECT doc_id, unnest(s) AS sent, generate_subscripts(s, 1) - 1 AS si FROM (SELECT doc_id, {S.sentences('text')} AS s FROM {src})),
+{ws} AS (SELECT doc_id, si, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS wi FROM (SELECT doc_id, si, {S.words('sent')} AS w FROM ss_{tag})),
+wo_{tag} AS (SELECT {ws}.doc_id, {ws}.si, {ws}.wi, CASE WHEN {_u01_sql(seed, f'{ws}.doc_id', f'{ws}.si', f'{ws}.wi')} < 0.1 THEN {change} ELSE {ws}.x END AS y FROM {ws} {join}),
+so_{tag} AS (SELECT doc_id, si, string_agg(y, ' ' ORDER BY wi) AS sent FROM wo_{tag} GROUP BY doc_id, si),
+dt_{tag} AS (SELECT doc_id, string_agg(sent, ' ' ORDER BY si) AS t FROM so_{tag} GROUP BY doc_id),
+t_{tag} AS (SELECT d.doc_id, coalesce(dt.t, '') AS text FROM {src} d LEFT JOIN dt_{tag} dt ON dt.doc_id = d.doc_id)"""
+
+
 def _perturb_sql(kind: str, seed: int) -> str:
-    if kind == "words":
-        out = f"CASE WHEN {_u01_sql(seed, 'ws.doc_id', 'ws.si', 'ws.wi')} < 0.1 THEN coalesce(syn.repl, ws.x) ELSE ws.x END"
-        join = "LEFT JOIN syn ON syn.word = lower(ws.x) AND syn.repl IS NOT NULL"
-    else:
-        h = lambda tag: _h32_sql(seed, 'ws.doc_id', 'ws.si', 'ws.wi', f"'{tag}'")
-        n = "length(ws.x)"
-        k = f"CAST({h('k')} % greatest({n}, 1) + 1 AS BIGINT)"
-        k2 = f"CAST({h('k')} % greatest({n} - 1, 1) + 1 AS BIGINT)"
-        pre = f"substring(ws.x, 1, {k} - 1)"
-        ch = f"substring(ws.x, {k}, 1)"
-        post = f"substring(ws.x, {k} + 1, greatest({n} - {k}, 0))"
-        swap = (f"substring(ws.x, 1, {k2} - 1) || substring(ws.x, {k2} + 1, 1) || substring(ws.x, {k2}, 1) || "
-                f"substring(ws.x, {k2} + 2, greatest({n} - {k2} - 1, 0))")
-        edit = (f"CASE {h('op')} % 4 WHEN 0 THEN CASE WHEN {n} >= 2 THEN {swap} ELSE ws.x END "
-                f"WHEN 1 THEN CASE WHEN {n} >= 2 THEN {pre} || {post} ELSE ws.x END "
-                f"WHEN 2 THEN {pre} || {ch} || {ch} || {post} "
-                f"ELSE {pre} || translate({ch}, '{H.ALPHABET}', '{H.ROTATED}') || {post} END")
-        out = f"CASE WHEN {_u01_sql(seed, 'ws.doc_id', 'ws.si', 'ws.wi')} < 0.1 THEN {edit} ELSE ws.x END"
-        join = ""
-    pre_cte = SYN_SQL + "," if kind == "words" else ""
-    return f"""WITH {pre_cte}
-ss AS (SELECT doc_id, unnest(s) AS sent, generate_subscripts(s, 1) - 1 AS si FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)),
-ws AS (SELECT doc_id, si, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS wi FROM (SELECT doc_id, si, {S.words('sent')} AS w FROM ss)),
-wo AS (SELECT ws.doc_id, ws.si, ws.wi, {out} AS y FROM ws {join}),
-so AS (SELECT doc_id, si, string_agg(y, ' ' ORDER BY wi) AS sent FROM wo GROUP BY doc_id, si),
-dt AS (SELECT doc_id, string_agg(sent, ' ' ORDER BY si) AS t FROM so GROUP BY doc_id)
-SELECT d.doc_id, md5(coalesce(dt.t, '')) AS text_md5, CAST(length(coalesce(dt.t, '')) AS BIGINT) AS n_chars
-FROM documents d LEFT JOIN dt USING (doc_id)"""
+    pre = SYN_SQL + ", " if kind == "words" else ""
+    return (f"WITH {pre}{_step_sql(kind, seed, 'documents', 'a')} "
+            "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM t_a")
+
+
+def _mixed_sql(src: str, tag: str, seed: int = 17) -> str:
+    return ", ".join([_step_sql("words", seed, src, f"{tag}1"), _step_sql("chars", seed + 1, f"t_{tag}1", f"{tag}2"),
+                      _step_sql("look", seed + 2, f"t_{tag}2", f"{tag}3")])
 
 
 @register("perturb_words", "H3+H6", _perturb_sql("words", 11))
 def q_perturb_words(spark, sf_dir):
     d = H.with_synonyms(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
     t = H.perturb_words_expr("text", "doc_id", F.col("_syn"), 0.1, 11)
-    return d.select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
+    return _digest(d.select("doc_id", t.alias("text")))
 
 
 @register("perturb_chars", "H4+H6", _perturb_sql("chars", 13))
 def q_perturb_chars(spark, sf_dir):
     d = _docs(spark, sf_dir)
     t = H.perturb_chars_expr("text", "doc_id", 0.1, 13)
-    return d.select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
+    return _digest(d.select("doc_id", t.alias("text")))
 
 
-@register("perturb_mixed", "H5")
+@register("perturb_mixed", "H5", f"WITH {SYN_SQL}, {_mixed_sql('documents', 'm')} "
+          "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM t_m3")
 def q_perturb_mixed(spark, sf_dir):
     d = H.with_synonyms(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
     t = H.perturb_mixed_expr("text", "doc_id", F.col("_syn"), 0.1, 17)
-    return d.select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
+    return _digest(d.select("doc_id", t.alias("text")))
 
 
-@register("with_perturbations", "H7+B10")
+def _digest(d):
+    """Digests of a text that is computed once (a stored column, not an expression that
+    both digests would run)."""
+    d = d.select("doc_id", F.explode(F.array("text")).alias("text"))
+    return d.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@register("with_perturbations", "H7+B10", f"""WITH {SYN_SQL},
+c AS (SELECT * FROM {CORPUS_SQL} WHERE text IS NOT NULL AND trim(text) <> ''),
+{_step_sql('words', 11, 'c', 'w')}, {_step_sql('chars', 13, 'c', 'k')}, {_mixed_sql('c', 'm')}
+SELECT c.doc_id, source, md5(t_w.text) AS words_md5, md5(t_k.text) AS chars_md5, md5(t_m3.text) AS mixed_md5
+FROM c JOIN t_w USING (doc_id) JOIN t_k USING (doc_id) JOIN t_m3 USING (doc_id)""")
 def q_with_perturbations(spark, sf_dir):
-    c = corpus(spark, sf_dir).select("doc_id", "text", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", source_from_quality().alias("source"))
+    c = _docs(spark, sf_dir).join(lab, "doc_id")
     x = H.with_perturbations(c, _synonyms(spark, sf_dir))
-    promoted = promote_variant(x, "perturb_chars")
-    return promoted.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
+    # Each perturbed column in turn becomes the text
+    parts = [promote_variant(x, f"perturb_{k}").select("doc_id", F.md5("text").alias(f"{k}_md5")) for k in ("chars", "mixed")]
+    out = promote_variant(x, "perturb_words").select("doc_id", "source", F.md5("text").alias("words_md5"))
+    for p in parts:
+        out = out.join(p, "doc_id")
+    return out

@@ -91,15 +91,15 @@ def q_masked_mean(spark, sf_dir):
 
 def _episodes(spark, sf_dir):
     e = _emb(spark, sf_dir).withColumnRenamed("label", "author")
-    return E.episode_sample(e, "author", "vec_id", seed=42, max_posts=16)
+    return E.episode_sample(e.withColumn("batch", F.pmod("author", F.lit(3))), "author", "vec_id", seed=42, max_posts=16, batch="batch")
 
 
 EPISODE_SQL = f"""{EMB_SQL},
-n AS (SELECT label AS author, count(*) AS n FROM emb GROUP BY label),
-plan AS (SELECT author, n, CAST(least(1 + ceil({D('15')} * pow({_u01_sql(42, 'author', "'len'")}, {D('1')} / 3)), n) AS BIGINT) AS m FROM n),
-plan2 AS (SELECT *, {_h32_sql(42, 'author', "'start'")} % (n - m + 1) AS start FROM plan),
-pos AS (SELECT label AS author, vec_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p FROM emb),
-ep AS (SELECT pos.author, vec_id, e, CAST(p - start AS INTEGER) AS post_pos FROM pos JOIN plan2 USING (author)
+pos AS (SELECT * FROM (SELECT label AS author, label % 3 AS b, vec_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p FROM emb) WHERE p < 16),
+short AS (SELECT b, min(n) AS s FROM (SELECT b, author, count(*) AS n FROM pos GROUP BY b, author) GROUP BY b),
+plan AS (SELECT b, s, CAST(least(1 + ceil({D('15')} * pow({_u01_sql(42, 'b', "'len'")}, {D('1')} / 3)), s) AS BIGINT) AS m FROM short),
+plan2 AS (SELECT *, CASE WHEN s < 16 THEN 0 ELSE {_h32_sql(42, 'b', "'start'")} % (16 - m + 1) END AS start FROM plan),
+ep AS (SELECT pos.author, vec_id, e, CAST(p - start AS INTEGER) AS post_pos FROM pos JOIN plan2 USING (b)
        WHERE p >= start AND p < start + m)"""
 
 

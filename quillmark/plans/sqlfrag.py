@@ -3,7 +3,11 @@ Column functions, written independently in SQL).  DuckDB lambdas use 1-based ind
 
 from __future__ import annotations
 
-from ..functions.text import PY_WHITESPACE, SENTENCE_PATTERN
+# Patterns written out for DuckDB: white space that Python's split() splits on, and
+# sentences that end at terminators before white space or at the end.
+WHITE_SPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+SENTENCE = r"(?s).+?[.!?]+(?:[ \t\n\r\f\x0B]+|\z)|.+\z"
 
 
 def q(s: str) -> str:
@@ -11,7 +15,7 @@ def q(s: str) -> str:
 
 
 def words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, {q(PY_WHITESPACE)}), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array({text}, {q(WHITE_SPACE)}), lambda x: x <> '')"
 
 
 def tokens(text: str) -> str:
@@ -31,8 +35,8 @@ def common(a: str, b: str) -> str:
 
 
 def sentences(text: str) -> str:
-    return (f"list_filter(list_transform(regexp_extract_all({text}, {q(SENTENCE_PATTERN)}), "
-            f"lambda s: trim(s)), lambda s: s <> '')")
+    return (f"list_filter(list_transform(regexp_extract_all({text}, {q(SENTENCE)}), "
+            f"lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: s <> '')")
 
 
 def rule(name: str, text: str, w: str = "w") -> str:
