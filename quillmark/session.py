@@ -33,16 +33,20 @@ def get_spark(cpus: int | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read as-is.  Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    On a cluster this is set by the deployment and is read as-is; unset it is an error
+    there.  Only a local master gets a scratch folder, made once per session; the
+    deployment (or the session's end, for checkpoints) cleans what is written.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="qm-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not (spark.sparkContext.getCheckpointDir() or "").startswith(d if ":" in d else f"file:{d}"):
+        spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
 
 
@@ -55,9 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give row-heavy work enough tasks.
 
-    A large input already scans in many splits and is returned unchanged (no extra
-    shuffle).  A table that arrives in fewer partitions than the cluster has cores
-    (e.g. one Parquet file with one row group) is hash-partitioned on ``keys``.
+    For table scans only: counting the partitions of a scan plans it and runs nothing,
+    while a join would run.  A large input already scans in many splits and is returned
+    unchanged (no extra shuffle).  A table that arrives in fewer partitions than the
+    cluster has cores (e.g. one Parquet file with one row group) is hash-partitioned on
+    ``keys``.
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
