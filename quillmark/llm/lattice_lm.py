@@ -52,7 +52,7 @@ EM_ROUNDS = 3
 PRIOR = 200.0
 DISCOUNT = 0.75
 #: Weight of the corpus model against the text's own words, in tokens.
-URN = 200.0
+URN = 1000.0
 #: Cells of a block of words in the recursion.
 CELLS = 400_000
 LN10 = float(np.log(10))
