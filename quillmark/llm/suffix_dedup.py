@@ -88,7 +88,7 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np
         top = _slide(np.concatenate([pad, low, pad]), span, np.maximum)
         at = np.flatnonzero(top == o[:len(top)])
         places.append(at + a)
-        hashes.append(h[at])
+        hashes.append(mix(h[at]))  # anchors have small hashes; shards and bits need even ones
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p, h = np.concatenate(places), np.concatenate(hashes)
