@@ -119,7 +119,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_at", F.coalesce(F.col("doc_id"), F.lit(-2**63)).cast("double"))
-    cuts = rows.approxQuantile("_at", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    ranges = 4 * n  # several a partition, so that hashing them to partitions comes out even
+    cuts = rows.approxQuantile("_at", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     cuts = sorted(set(cuts))
     splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(rows).withColumn("_bucket", F.col("_bucket").cast("int"))
