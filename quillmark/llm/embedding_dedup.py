@@ -4,9 +4,12 @@ Vectors are cut in two halves and each half has its own codebook (k-means on a b
 sample of ``FIT_ROWS`` unit vectors); a cell is a pair of codewords.  A query visits cells
 by rising sum of its two distances (the multi-sequence order), the first ``depth`` cells.
 ``depth`` is the smallest number that reaches ``TARGET`` of all links of ``PROBES`` sample
-queries, which are compared by brute force with every vector.  Vectors found in visited
-cells are verified by cosine in double precision, so a link is never wrong; one may be
-missed with a probability of about ``1 - TARGET``.
+queries, which are compared by brute force with every vector, and ``TARGET`` of each kind
+of planted links: ``PLANTED`` sample vectors moved to the least cosine of a link in any
+direction, towards another sample vector, or within either half.  Planted links are there
+however rare near copies are, and are the farthest that links can be.  Vectors found in
+visited cells are verified by cosine in double precision, so a link is never wrong; one may
+be missed with a probability of about ``1 - TARGET``.
 
 Equal vectors are one node with a weight.  A cell's members are cut into blocks of at most
 ``MEMBERS``, and every query of the cell meets every block, so that a cell with a third of
@@ -34,7 +37,7 @@ from ._common import binary, shuffle_partitions, stored
 from .components import components, forest
 
 COSINE = 0.9
-FIT_ROWS, PROBES = 8192, 256
+FIT_ROWS, PROBES, PLANTED = 8192, 256, 4096
 TARGET = 0.995
 MEMBERS = 2048
 #: Queries compared at once.
@@ -98,6 +101,16 @@ class Index:
         at = np.lexsort((np.broadcast_to(i + j, total.shape), total), axis=1)[:, :depth]
         return np.take_along_axis(ra[:, i], at, 1) * len(self.right) + np.take_along_axis(rb[:, j], at, 1)
 
+    def rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Place of one cell a query in its multi-sequence order, the last among cells at
+        equal sums."""
+        a, b = distances(x[:, :self.half], self.left), distances(x[:, self.half:], self.right)
+        out = np.zeros(len(x), np.int64)
+        i, j = np.divmod(cell, len(self.right))
+        for k in np.flatnonzero((i != a.argmin(1)) | (j != b.argmin(1))):
+            out[k] = (a[k][:, None] + b[k] <= a[k, i[k]] + b[k, j[k]]).sum() - 1
+        return out
+
 
 def nodes(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """All rows as ``vec_id, rep`` (null without a usable vector) and the distinct
@@ -126,6 +139,35 @@ def nodes(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tu
     return whose, classes.select("rep", "width", "vec", "weight")
 
 
+def planted(x: np.ndarray, cosine: float, seed: int = 13) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at ``cosine``, by kind of the direction between them."""
+    rng = np.random.default_rng(seed)
+    half = max(1, x.shape[1] // 2)
+    x = x[rng.permutation(len(x))[:PLANTED]]
+    out = []
+    for kind in ("any", "sample", "left", "right"):
+        d = x[rng.permutation(len(x))] if kind == "sample" else rng.normal(size=x.shape)
+        if kind == "left":
+            d[:, half:] = 0
+        elif kind == "right":
+            d[:, :half] = 0
+        d = d - (d * x).sum(1)[:, None] * x
+        size = np.sqrt((d * d).sum(1))
+        some = size > 1e-6  # none between equal vectors, or in one dimension
+        if some.any():
+            out.append((x[some], cosine * x[some] + np.sqrt(max(0.0, 1 - cosine * cosine)) * d[some] / size[some, None]))
+    return out
+
+
+def planted_depth(index: Index, sample: np.ndarray, cosine: float = COSINE) -> int:
+    """Cells that find ``TARGET`` of each kind of planted links from either vector."""
+    depth = 1
+    for x, y in planted(sample, cosine):
+        rank = np.sort(np.minimum(index.rank(x, index.cell(y)), index.rank(y, index.cell(x))))
+        depth = max(depth, int(rank[int(np.ceil(TARGET * len(rank))) - 1]) + 1)
+    return depth
+
+
 def fit(vectors: DataFrame, width: int, cosine: float = COSINE) -> Index | None:
     """Codebooks and depth for the vectors of one width."""
     sc = vectors.sparkSession.sparkContext
@@ -169,7 +211,7 @@ def fit(vectors: DataFrame, width: int, cosine: float = COSINE) -> Index | None:
     # a probe's link to itself is at rank 0 and proves nothing
     links[0] -= min(links[0], len(probes))
     total = links.sum()
-    index.depth = int(np.searchsorted(np.cumsum(links), TARGET * total)) + 1 if total else 1
+    index.depth = max(planted_depth(index, sample, cosine), int(np.searchsorted(np.cumsum(links), TARGET * total)) + 1 if total else 1)
     index.taken = members
     return index
 

@@ -249,6 +249,30 @@ def test_embedding_dedup_against_brute_force(spark, monkeypatch, members):
     assert got[3005].n_links == 1 and got[3006].component_id == 3005 and got[3009].component_id == 3008
 
 
+@pytest.mark.parametrize("pairs", [12, 60])  # 0.2 % and 1 % of the vectors
+def test_embedding_dedup_finds_rare_pairs(spark, pairs):
+    rng = np.random.default_rng(pairs)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, d = x[:pairs], rng.normal(size=(pairs, 64))
+    d -= (d * a).sum(1)[:, None] * a
+    x[-pairs:] = 0.91 * a + np.sqrt(1 - 0.91 ** 2) * d / np.linalg.norm(d, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    whole = [got[k].n_links == got[6000 - pairs + k].n_links == 1 and got[6000 - pairs + k].component_id == k for k in range(pairs)]
+    assert np.mean(whole) >= 0.98 and sum(r.n_links for r in got.values()) <= 2 * pairs
+
+
+def test_planted_rank_is_the_place_in_the_order():
+    rng = np.random.default_rng(4)
+    index = embedding_dedup.Index(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
+    x, cell = rng.normal(size=(50, 6)), rng.integers(0, 35, 50)
+    assert (index.order(x, 35)[np.arange(50), index.rank(x, cell)] == cell).all()
+    for a, b in embedding_dedup.planted(x / np.linalg.norm(x, axis=1, keepdims=True), 0.9):
+        assert np.allclose((a * b).sum(1), 0.9) and np.allclose((b * b).sum(1), 1)
+    assert embedding_dedup.planted(np.ones((3, 1)), 0.9) == []
+
+
 def test_embedding_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(df).count() == 0
