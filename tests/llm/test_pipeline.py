@@ -97,3 +97,18 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = corpus_pipeline.language_stage(spark, docs, SF).count()
     assert left >= 0.98 * docs.count()
+
+
+def test_documents_of_several_languages_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = {}
+    for r in docs.where("lang is not null and n_chars > 2000").orderBy("doc_id").collect():
+        long.setdefault(r.lang, r.text)
+    a, b, c = (long[k] for k in sorted(long)[:3])
+    mixed = " ".join([a[:800], b[:700], c[:500]])
+    rows = spark.createDataFrame([(10**9, mixed, None, "s", len(mixed)), (10**9 + 1, "12 34 !!", None, "s", 8)], docs.schema)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    said = {r.doc_id: r.score for r in language_id.predict(rows, model).collect()}
+    assert 0 < said[10**9] < corpus_pipeline.MIN_SHARE
+    left = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.union(rows), SF).collect()}
+    assert 10**9 in left and 10**9 + 1 not in left
