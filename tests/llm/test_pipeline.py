@@ -112,3 +112,15 @@ def test_documents_of_several_languages_stay(spark):
     assert 0 < said[10**9] < corpus_pipeline.MIN_SHARE
     left = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.union(rows), SF).collect()}
     assert 10**9 in left and 10**9 + 1 not in left
+
+
+def test_texts_that_share_an_id_go_by_their_own_near_duplicates(spark):
+    a, z, w, v, u = (" ".join(f"{k}{i}" for i in range(60)) for k in "azwvu")
+    rows = [(1, a), (2, a), (2, z), (2, z), (3, a + " more"), (4, w), (4, v), (5, w + " more"), (6, u), (6, u + " more"), (7, None), (7, u), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, df, SF)
+    assert got.columns == df.columns
+    out = Counter((r.doc_id, r.text) for r in got.collect())
+    six = {k for k in out if k[0] == 6}
+    assert len(six) == 1 and six < {(6, u), (6, u + " more")}
+    assert out - Counter(six) == Counter([(1, a), (2, z), (4, w), (4, v), (7, None), (None, a), (None, a)])
