@@ -11,7 +11,9 @@ away, and only the counts of the keys touched are made anew, so both are reversi
 Repeated keys are spread over shards by hash; each shard's cuckoo filter (16-bit
 fingerprints, buckets of four, deletion possible) takes about 2.5 bytes a key.  Texts
 probe the filters first, so that only lines that hit go to the exact table: the filter
-never decides alone.  The filters are broadcast while there are at most
+never decides alone.  ``LineIndex`` keeps the filters as a table: keys that reach or leave
+``min_docs`` documents are added to or deleted from the filters of their shards, and only a
+filter that is full is built anew.  The one-pass ``dedup`` builds its filters once.  The filters are broadcast while there are at most
 ``FILTER_KEYS`` repeated keys; beyond that every key row goes to the exact join.
 
 Defined results: a null or empty text is one empty line; every row counts as a document
@@ -156,20 +158,38 @@ def key_counts(refs: DataFrame) -> DataFrame:
 
 
 class LineIndex:
-    """References and counts that follow insertions and deletions of documents."""
+    """References, counts and filters that follow insertions and deletions of documents.
+    References and counts are written anew, filters only in shards with keys that cross
+    ``min_docs``."""
 
-    def __init__(self, refs: DataFrame, counts: DataFrame, min_chars: int = MIN_CHARS):
-        self.refs, self.counts, self.min_chars = refs, counts, min_chars
+    def __init__(self, refs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
+        self.refs, self.counts, self.filters, self.shards, self.min_chars, self.min_docs = refs, counts, filters, shards, min_chars, min_docs
 
     @classmethod
-    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
+    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
         refs = stored(line_refs(docs, min_chars))
-        return cls(refs, stored(key_counts(refs)), min_chars)
+        return cls._dealt(refs, stored(key_counts(refs)), min_chars, min_docs)
+
+    @classmethod
+    def _dealt(cls, refs: DataFrame, counts: DataFrame, min_chars: int, min_docs: int) -> LineIndex:
+        repeated = counts.where(F.col("n") >= min_docs)
+        shards = shards_of(repeated.count())
+        return cls(refs, counts, stored(filter_table(repeated, shards)), shards, min_chars, min_docs)
 
     def _renewed(self, refs: DataFrame, changed: DataFrame) -> LineIndex:
-        keys = changed.select("k1", "k2").distinct()
-        fresh = key_counts(refs.join(keys, ["k1", "k2"], "left_semi"))
-        return LineIndex(refs, stored(self.counts.join(keys, ["k1", "k2"], "left_anti").unionByName(fresh)), self.min_chars)
+        keys = stored(changed.select("k1", "k2").distinct())
+        fresh = stored(key_counts(refs.join(keys, ["k1", "k2"], "left_semi")))
+        counts = stored(self.counts.join(keys, ["k1", "k2"], "left_anti").unionByName(fresh))
+        repeated = counts.where(F.col("n") >= self.min_docs)
+        if shards_of(repeated.count()) > 2 * self.shards:  # filters have become too large
+            return self._dealt(refs, counts, self.min_chars, self.min_docs)
+        was = keys.join(self.counts.where(F.col("n") >= self.min_docs).select("k1", "k2", F.lit(True).alias("was")), ["k1", "k2"], "left")
+        now = was.join(fresh.where(F.col("n") >= self.min_docs).select("k1", "k2", F.lit(True).alias("now")), ["k1", "k2"], "left")
+        crossed = now.where(~F.col("was").eqNullSafe(F.col("now"))).select("k1", "k2", F.col("now").isNotNull().alias("more"), shard_column(self.shards))
+        renewed = stored(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(_followed, FILTERS + ", full boolean"))
+        full = repeated.withColumn("shard", shard_column(self.shards)).join(F.broadcast(renewed.where("full").select("shard")), "shard", "left_semi")
+        filters = stored(renewed.where("not full").drop("full").unionByName(filter_table(full, self.shards)))
+        return LineIndex(refs, counts, filters, self.shards, self.min_chars, self.min_docs)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         new = stored(line_refs(docs, self.min_chars))
@@ -181,32 +201,75 @@ class LineIndex:
         left = stored(self.refs.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"))
         return self._renewed(left, gone)
 
-    def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        return self.counts.where(F.col("n") >= min_docs)
+    def repeated(self, min_docs: int | None = None) -> DataFrame:
+        return self.counts.where(F.col("n") >= (min_docs or self.min_docs))
+
+    def drops(self, docs: DataFrame) -> DataFrame:
+        """``drops`` by the index's own filters."""
+        repeated = self.repeated()
+        filters = collected(self.filters, self.shards) if repeated.count() <= FILTER_KEYS else None
+        return lost_keys(docs, repeated, self.min_chars, filters)
+
+
+FILTERS = "shard int, buckets int, data binary"
+
+
+def _followed(held: pd.DataFrame, crossed: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter after its keys were deleted and added; ``full`` if it must be
+    built anew."""
+    if not len(crossed):
+        return held.assign(full=False)
+    full = not len(held)  # no key so far
+    shard, buckets, data = int(crossed["shard"].iloc[0]), 0, b""
+    if not full:
+        f = CuckooFilter(int(held["buckets"].iloc[0]), np.frombuffer(held["data"].iloc[0], np.uint16).reshape(-1, 4).copy())
+        for more in (False, True):
+            rows = crossed[crossed["more"] == more]
+            done = (f.add if more else f.delete)
+            full = full or not all(done(a, b) for a, b in zip(rows["k1"].tolist(), rows["k2"].tolist()))
+        buckets, data = f.buckets, f.table.tobytes()
+    return pd.DataFrame({"shard": [shard], "buckets": [buckets], "data": [data], "full": [full]})
+
 
+def shards_of(n_keys: int) -> int:
+    return max(1, -(-n_keys // SHARD_KEYS))
 
-def build_filters(repeated: DataFrame, n_keys: int) -> list[CuckooFilter]:
-    """One filter per shard, built by a task each; brought together as they are broadcast
-    next (their size is bounded by the caller's check of ``n_keys``)."""
-    shards = max(1, -(-n_keys // SHARD_KEYS))
 
+def shard_column(shards: int):
+    return F.expr(f"cast(shiftrightunsigned(k1, 48) % {shards} as int)").alias("shard")
+
+
+def filter_table(repeated: DataFrame, shards: int) -> DataFrame:
+    """``shard, buckets, data``: one filter per shard, built by a task each."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         f = CuckooFilter.of(part["k1"].to_numpy(), part["k2"].to_numpy())
         return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "buckets": [f.buckets], "data": [f.table.tobytes()]})
 
-    shard = F.expr(f"cast(shiftrightunsigned(k1, 48) % {shards} as int)").alias("shard")
-    rows = repeated.select("k1", "k2", shard).groupBy("shard").applyInPandas(run, "shard int, buckets int, data binary").collect()
+    return repeated.select("k1", "k2", shard_column(shards)).groupBy("shard").applyInPandas(run, FILTERS)
+
+
+def collected(filters: DataFrame, shards: int) -> list[CuckooFilter | None]:
+    """The filters brought together, as they are broadcast next (their size is bounded by
+    the caller's check of the number of keys)."""
     out: list[CuckooFilter | None] = [None] * shards
-    for r in rows:
+    for r in filters.collect():
         out[r["shard"]] = CuckooFilter(r["buckets"], np.frombuffer(r["data"], np.uint16).reshape(-1, 4))
     return out
 
 
+def build_filters(repeated: DataFrame, n_keys: int) -> list[CuckooFilter | None]:
+    shards = shards_of(n_keys)
+    return collected(filter_table(repeated, shards), shards)
+
+
 def drops(docs: DataFrame, repeated: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, keys``: hashes of the keys that a document loses.  ``repeated`` is a
     stored table."""
     n = repeated.count()
-    filters = build_filters(repeated, n) if n <= FILTER_KEYS else None
+    return lost_keys(docs, repeated, min_chars, build_filters(repeated, n) if n <= FILTER_KEYS else None)
+
+
+def lost_keys(docs: DataFrame, repeated: DataFrame, min_chars: int, filters: list[CuckooFilter | None] | None) -> DataFrame:
     refs = line_refs(docs, min_chars, filters)
     lost = refs.join(repeated.select("k1", "k2", "keeper"), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))

@@ -62,6 +62,32 @@ def test_line_index_is_reversible(spark, docs, corpus):
     assert table(grown.delete(more.select("doc_id"))) == table(start)
 
 
+@pytest.mark.parametrize("shard_keys", [32_768, 4])
+def test_line_index_filters_follow(spark, monkeypatch, docs, corpus, shard_keys):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    lines = [f"line number {k} that several documents hold, all of it" for k in range(60)]
+    rows = [(i, t) for i, t in corpus if i is not None] + [(1000 + k, "\n".join(lines[k % 7:20 + 3 * k])) for k in range(12)]
+    late = {110, 111, 115, 100} | {1000 + k for k in range(3, 11)}
+    schema = "doc_id long, text string"
+    whole = spark.createDataFrame(rows, schema)
+    first = spark.createDataFrame([r for r in rows if r[0] not in late], schema)
+    more = spark.createDataFrame([r for r in rows if r[0] in late], schema)
+    start = line_dedup.LineIndex.build(first)
+    grown = start.insert(more)
+    back = grown.delete(more.select("doc_id"))
+    sizes = []
+    for index in (start, grown, back):
+        keys = np.array([tuple(r) for r in index.repeated().select("k1", "k2").collect()], np.int64).reshape(-1, 2)
+        filters = line_dedup.collected(index.filters, index.shards)
+        shard = line_dedup.shard_of(keys[:, 0], index.shards)
+        assert all(filters[s].contains(k[:1], k[1:]).all() for s, k in zip(shard, keys))
+        assert sum((f.table > 0).sum() for f in filters if f) == len(keys)  # and no others
+        sizes.append(len(keys))
+    assert sizes[1] > sizes[0] == sizes[2]
+    got = line_dedup.without_lines(whole, grown.drops(whole))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, line_dedup.dedup(whole).collect()))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     k = rng.integers(-2**62, 2**62, (5000, 2))
