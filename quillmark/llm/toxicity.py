@@ -115,7 +115,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     adaptive plan splits it."""
     marks = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marks = marks.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return two_columns(docs, key, text).where("doc_id is not null").join(marks, "doc_id")
+    return two_columns(docs, key, text).where("doc_id is not null").join(marks.hint("merge"), "doc_id")
 
 
 @dataclass
