@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy code.
@@ -64,6 +64,16 @@ def two_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain_names(docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """``docs`` with every column but ``own`` renamed by its position, so that no name can
+    clash with one inside an operator or needs quoting; ``toDF`` gives the names back."""
+    return docs.toDF(*[n if n in own else f"extra_{i}" for i, n in enumerate(docs.columns)])
+
+
 # -- Arrow slices -----------------------------------------------------------------------
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix, slices, word_runs
+from ._common import SLICE_BYTES, WHITE, give_back, mix, plain_names, slices, word_runs
 
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
@@ -55,13 +55,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     n = 0x110000
     lower = np.arange(n, dtype=np.uint32)
     script = np.zeros(n, dtype=np.uint8)
-    chars = [chr(c) for c in range(n)]
-    letter = np.fromiter((unicodedata.category(c)[0] == "L" for c in chars), dtype=bool, count=n)
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(n)), dtype=bool, count=n)
     script[letter] = len(SCRIPT_NAMES)
     for name, a, b in SCRIPTS:
         script[a:b + 1][letter[a:b + 1]] = SCRIPT_NAMES.index(name) + 1
-    for c in np.flatnonzero(letter):
-        low = chars[c].lower()
+    for c in np.flatnonzero(letter).tolist():
+        low = chr(c).lower()
         if len(low) == 1:
             lower[c] = ord(low)
     return script, lower
@@ -79,6 +78,23 @@ def words(data: np.ndarray, off: np.ndarray):
     return lower[points], s, e, kind[s] - 1, np.searchsorted(edge, s, side="right") - 1
 
 
+def parts(data: np.ndarray, off: np.ndarray):
+    """``(bytes, offsets, code points before)``: the slice itself, or a long text of its
+    own in parts cut after white space, so that what is held per letter stays small."""
+    n, a, before = len(data), 0, 0
+    if n <= 2 * SLICE_BYTES or len(off) > 2:
+        yield data, off, 0
+        return
+    while a < n:
+        b = min(n, a + SLICE_BYTES)
+        while b < n and not WHITE[data[b - 1]]:
+            b += 1
+        part = data[a:b]
+        yield part, np.array([0, b - a]), before
+        before += int(((part & 0xC0) != 0x80).sum())
+        a = b
+
+
 _NO_LETTER = np.zeros(256, dtype=bool)
 _NO_LETTER[0] = True
 
@@ -113,7 +129,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             names = b.column(1).to_pylist()
-            for a, z, data, off in slices(b, "text"):
+            for a, z, data, off in ((a, z, d, o) for a, z, data, off in slices(b, "text") for d, o, _ in parts(data, off)):
                 points, s, e, kind, row = words(data, off)
                 if len(s) == 0:
                     continue
@@ -242,23 +258,43 @@ def word_scores(model: Model, points: np.ndarray, s: np.ndarray, e: np.ndarray,
     return np.where(fit_ | ~fit_.any(1, keepdims=True), score, score.max(1, keepdims=True) + FOREIGN)
 
 
+def scored_words(model: Model, data: np.ndarray, off: np.ndarray):
+    """Scores, starts, ends and rows of the words of a slice; of long texts only these are
+    held whole."""
+    found = []
+    for part, own, before in parts(data, off):
+        points, s, e, kind, row = words(part, own)
+        if len(s):
+            found.append((word_scores(model, points, s, e, kind), s + before, e + before, row))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros((0, 1)), *[np.zeros(0, np.int64)] * 3)
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score, spans``: spans are ``(lang, start, end)`` in code
     points, from the first letter of the first word to the last of the last word.  With
     ``keep`` the input's columns come back instead, with ``_lang_pred`` and ``_score``."""
     bound = docs.sparkSession.sparkContext.broadcast(model)
+    names_ = docs.columns
+    if keep:
+        docs = plain_names(docs, (key, text))
     rows = docs.select("*", F.col(text).cast("string").alias("_text")) if keep else docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
     own = [c for c in rows.columns if c != "_text"]
 
     def run(batches):
+        try:
+            yield from labelled(batches)
+        finally:
+            give_back()
+
+    def labelled(batches):
         m = bound.value
         k = max(len(m.langs), 1)
         for b in batches:
             for a, z, data, off in slices(b, "_text"):
                 names, shares, spans = ["und"] * (z - a), np.zeros(z - a), [[] for _ in range(z - a)]
-                points, s, e, kind, row = words(data, off)
-                if len(s) and m.langs:
-                    label = label_words(word_scores(m, points, s, e, kind), row)
+                score, s, e, row = scored_words(m, data, off) if m.langs else (None, [], [], [])
+                if len(s):
+                    label = label_words(score, row)
                     letters = np.bincount(row * k + label, weights=e - s, minlength=(z - a) * k).reshape(-1, k)
                     total = letters.sum(1)
                     best = letters.argmax(1)
@@ -281,7 +317,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     added = "_lang_pred string, _score double" if keep else "lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>"
-    return rows.mapInArrow(run, f"{fields}, {added}")
+    out = rows.mapInArrow(run, f"{fields}, {added}")
+    return out.toDF(*names_, "_lang_pred", "_score") if keep else out
 
 
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

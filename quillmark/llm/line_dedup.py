@@ -16,10 +16,10 @@ never decides alone.  ``LineIndex`` keeps the filters as a table: keys that reac
 filter that is full is built anew.  The one-pass ``dedup`` builds its filters once.  The filters are broadcast while there are at most
 ``FILTER_KEYS`` repeated keys; beyond that every key row goes to the exact join.
 
-Defined results: a null or empty text is one empty line; every row counts as a document
-(rows that share an id hold the key under the same id); rows with a null id count and
-never keep a line that an id holds; an empty table gives an empty table; other columns are
-not read.
+Defined results: a null or empty text is one empty line; a document is an id, so rows that
+share one count once for a key and keep or lose its lines together; rows with a null id are
+no documents, neither count nor lose lines; an empty table gives an empty table; other
+columns, whatever their names, are not read, or with ``columns`` come back unchanged.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, two_columns
+from ._common import plain_names, quoted, stored, two_columns
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -145,7 +145,7 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS, filters: list[CuckooF
                     k, at = k[hit], at[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), r.column(0).take(pa.array(at))], ["k1", "k2", "doc_id"])
 
-    return two_columns(docs).mapInArrow(run, "k1 long, k2 long, doc_id long")
+    return two_columns(docs).where("doc_id is not null").mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
 def shard_of(k1: np.ndarray, shards: int) -> np.ndarray:
@@ -153,8 +153,9 @@ def shard_of(k1: np.ndarray, shards: int) -> np.ndarray:
 
 
 def key_counts(refs: DataFrame) -> DataFrame:
-    """``k1, k2, n, keeper``; summed before the shuffle, so a common line is a few rows."""
-    return refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    """``k1, k2, n, keeper``: documents (distinct ids) that hold a key, the largest of them.
+    Distinct ids are counted in two steps, so the rows of a common line are spread."""
+    return refs.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
 
 
 class LineIndex:
@@ -279,7 +280,9 @@ def without_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS,
     """Texts without the lost lines: ``doc_id, text, n_lines, n_dropped``, or with
     ``columns`` those columns of ``docs`` (``text`` among them) in their order."""
     keep = columns or ["doc_id", "text"]
-    rows = docs.select(*keep).join(lost.select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys")), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    known = docs.select(*keep).where("doc_id is not null").join(lost.select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    none = docs.select(*keep).where("doc_id is null").withColumn("_keys", F.lit(None).cast(known.schema["_keys"].dataType))
+    rows = known.unionByName(none)  # rows without an id are not brought to one task
     at = keep.index("text")
     extra = [] if columns else ["n_lines", "n_dropped"]
 
@@ -308,6 +311,9 @@ def without_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS,
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, columns: list[str] | None = None) -> DataFrame:
     """One pass over a whole corpus; see ``LineIndex`` for the incremental form."""
-    rows = two_columns(docs) if columns is None else docs
+    if columns is not None:
+        docs = plain_names(docs.select(*map(quoted, columns)), ("doc_id", "text"))
+    rows, inner = (two_columns(docs), None) if columns is None else (docs, docs.columns)
     repeated = stored(key_counts(line_refs(rows, min_chars)).where(F.col("n") >= min_docs))
-    return without_lines(rows, drops(rows, repeated, min_chars), min_chars, columns)
+    out = without_lines(rows, drops(rows, repeated, min_chars), min_chars, inner)
+    return out if columns is None else out.toDF(*columns)

@@ -19,19 +19,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections import ChainMap
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, two_columns
+from ._common import give_back, stored, two_columns
 
 CAPACITY = 2048
 #: Rows of one window when ranks are taken.
 RANK_ROWS = 512
-#: Distinct words whose ids a worker keeps.
+#: Distinct words whose ids a task keeps, and those of them that stay for the worker's
+#: next task: the first it met, which are mostly frequent ones.
 CACHE_WORDS = 1_200_000
+KEPT_WORDS = 60_000
 CACHE_CHARS = 200
 #: Words encoded at once.
 JOINT_WORDS = 4000
@@ -110,6 +113,13 @@ def ids_of(texts: list[str], spec: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in cut]
 
 
+def trim_cache() -> None:
+    """Leave only a small cache in the worker, which other stages use next."""
+    words = _state["old"] or _state["cache"]
+    _state.update(cache=dict(islice(words.items(), KEPT_WORDS)), old={})
+    give_back()
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False,
            key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` if asked for): each
@@ -120,6 +130,13 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
+        try:
+            yield from encoded(batches)
+        finally:
+            if "cache" in _state:
+                trim_cache()
+
+    def encoded(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 r = b.slice(a, 1024)

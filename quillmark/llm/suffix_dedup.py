@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, U64, binary, give_back, mix, run_hashes, shuffle_partitions, slices, string_buffers
+from ._common import SLICE_BYTES, U64, binary, give_back, mix, plain_names, quoted, run_hashes, shuffle_partitions, slices, string_buffers
 
 WINDOW = 50
 GRAM = 16
@@ -442,6 +442,9 @@ def spans(docs: DataFrame, window: int = WINDOW, columns: list[str] | None = Non
     ``text`` cut; there a character stays unless all its bytes go."""
     whole = columns is not None
     keep = columns or ["doc_id"]
+    if whole:
+        docs = plain_names(docs.select(*map(quoted, columns)), ("doc_id", "text"))
+        keep = docs.columns
     body = docs.select(*[F.col(c) for c in keep], *([] if whole else [F.col("text").cast("string").alias("text")]))
     names = body.columns
     if whole:
@@ -502,7 +505,8 @@ def spans(docs: DataFrame, window: int = WINDOW, columns: list[str] | None = Non
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     else:
         schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return both.select("_bucket", "_kind", "_payload", "doc_id", "_hash", "text", *rest).mapInArrow(run, schema)
+    result = both.select("_bucket", "_kind", "_payload", "doc_id", "_hash", "text", *rest).mapInArrow(run, schema)
+    return result.toDF(*columns) if whole else result
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

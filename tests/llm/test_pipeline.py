@@ -64,7 +64,7 @@ def test_pipeline_equals_plain_python(spark):
 
     model = language_id.fit(docs.where(~language_id.held_out()))
     said = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
-    texts = [(i, rows[i].text) for i in sorted(rows) if said[i].lang_pred != "und" and said[i].score >= corpus_pipeline.MIN_SHARE]
+    texts = [(i, rows[i].text) for i in sorted(rows) if said[i].lang_pred != "und"]
     holders = Counter(k for _, t in texts for k in {key(x) for x in t.split("\n")} - {None})
     keep = {k: max(i for i, t in texts if k in {key(x) for x in t.split("\n")}) for k, n in holders.items() if n >= line_dedup.MIN_DOCS}
     texts = [(i, "\n".join(x for x in t.split("\n") if keep.get(key(x), i) == i)) for i, t in texts]
@@ -93,6 +93,20 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, docs, corpus):
     assert last.count() >= d.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    names = ["_id", "_keys", "_text", "_lang_pred", "_score", "_kept", "_node", "_first", "a.b", "component_id", "_bucket", "TEXT"]
+    rows = [(i, t, "xx" if k % 2 else None, None, 1, *range(k, k + len(names))) for k, (i, t) in enumerate(corpus)] + [(None, "many rows without an id", "xx", None, 1, *range(len(names)))] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names)).repartition(3)
+    extra = {(r[0], *r[5:]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, d, SF).toDF(*[f"c{i}" for i in range(len(d.columns))])).toDF(*d.columns)
+        assert out.columns == d.columns, name
+        assert {(r[0], *r[5:]) for r in out.collect()} <= extra, name
+        assert out.where("doc_id is null").count() >= 50, name
+        d = out
+    assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() >= d.count()
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = corpus_pipeline.language_stage(spark, docs, SF).count()
@@ -109,7 +123,7 @@ def test_documents_of_several_languages_stay(spark):
     rows = spark.createDataFrame([(10**9, mixed, None, "s", len(mixed)), (10**9 + 1, "12 34 !!", None, "s", 8)], docs.schema)
     model = language_id.fit(docs.where(~language_id.held_out()))
     said = {r.doc_id: r.score for r in language_id.predict(rows, model).collect()}
-    assert 0 < said[10**9] < corpus_pipeline.MIN_SHARE
+    assert 0 < said[10**9] < 0.5
     left = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.union(rows), SF).collect()}
     assert 10**9 in left and 10**9 + 1 not in left
 

@@ -24,15 +24,15 @@ def key(line):
 
 
 def line_result(rows):
-    held = defaultdict(list)
+    held = defaultdict(set)  # documents are distinct ids
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")} - {None}:
-            held[k].append(i)
-    keep = {k: max((x for x in v if x is not None), default=None) for k, v in held.items() if len(v) >= 5}
+            held[k] |= {i} - {None}
+    keep = {k: max(v) for k, v in held.items() if len(v) >= 5}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if key(x) not in keep or keep[key(x)] == i]
+        kept = [x for x in lines if i is None or key(x) not in keep or keep[key(x)] == i]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return Counter(out)
 
@@ -49,6 +49,74 @@ def test_line_dedup_keeps_columns(docs, corpus):
     assert got.columns == docs.columns and got.count() == len(corpus)
 
 
+def test_rows_of_one_id_are_one_document_of_a_line(spark):
+    line = "a shared line that is long enough to be counted"
+    rows = [(1, line)] * 4 + [(2, line)] + [(None, line)] * 9
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.n_dropped for r in got.collect()} == {0} and got.count() == len(rows)
+    rows += [(k, line) for k in (3, 4, 5)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_dropped) for r in got.collect()) == Counter({(1, 1): 4, (2, 1): 1, (3, 1): 1, (4, 1): 1, (5, 0): 1, (None, 0): 9})
+
+
+ODD_NAMES = ["_id", "_keys", "_text", "_lang_pred", "_score", "_kept", "_node", "_first", "a.b", "a b`c", "_bucket", "_hash", "c0", "text_", "DOC_ID2"]
+
+
+def test_columns_of_any_name_come_back(spark, corpus):
+    from quillmark.llm import suffix_dedup
+
+    rows = [(i, t, "xx" if k % 2 else None, *range(k, k + len(ODD_NAMES))) for k, (i, t) in enumerate(corpus)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", *ODD_NAMES]).repartition(3)
+    want = Counter((r[0], *r[3:]) for r in rows)
+    lines = line_dedup.dedup(df, columns=df.columns)
+    passages = suffix_dedup.spans(df, columns=df.columns)
+    langs = language_id.predict(df, language_id.fit(df), keep=True)
+    for out in (lines, passages, langs):
+        assert out.columns[:len(df.columns)] == df.columns
+        assert Counter((r[0], *r[3:len(df.columns)]) for r in out.collect()) == want
+
+
+def test_a_very_long_text_is_labelled_whole_in_bounded_memory(spark):
+    import os
+
+    import pyarrow as pa
+
+    model = language_id.Model(["aa", "bb"], np.random.default_rng(1).normal(size=(language_id.BUCKETS, 2)).astype(np.float32), np.ones((len(language_id.SCRIPT_NAMES), 2), bool), np.zeros(2))
+    text = ("wort für wort und noch ein wort mehr danach " * 120 + "\n") * 3200
+    assert len(text) > 16_000_000
+    data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    language_id._tables()
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def held():
+        import threading
+        import time
+        most, stop = [resident()], []
+        def watch():
+            while not stop:
+                most.append(resident())
+                time.sleep(0.002)
+        w = threading.Thread(target=watch)
+        w.start()
+        out = language_id.scored_words(model, data, off)
+        label = language_id.label_words(out[0], out[3])
+        stop.append(1)
+        w.join()
+        return out, label, max(most) - most[0]
+
+    (score, s, e, row), label, extra = held()
+    assert extra < 400 << 20, extra
+    small = data[:off[1] // 40]
+    small = small[:np.flatnonzero(small == 32)[-1] + 1]
+    points, s0, e0, kind, row0 = language_id.words(small, np.array([0, len(small)]))
+    n = len(s0)
+    assert (s[:n] == s0).all() and (e[:n] == e0).all() and np.allclose(score[:n], language_id.word_scores(model, points, s0, e0, kind))
+    assert int((e - s).sum()) == sum(map(len, text.split())) and len(label) == len(text.split())
+
+
 def test_line_index_is_reversible(spark, docs, corpus):
     rows = [(i, t) for i, t in corpus if i is not None]
     late = {110, 111, 115, 100}
