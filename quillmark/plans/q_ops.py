@@ -8,6 +8,7 @@ import os
 import uuid
 from urllib.parse import quote
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators import features as G
@@ -123,6 +124,23 @@ def q_io_roundtrip(spark, sf_dir):
             .select("doc_id", "source", "label", "domain", F.md5("text").alias("text_md5"), "lenient_md5"))
 
 
+@register("json_lists", "A1+A2+A7 lists", """
+SELECT doc_id, source, md5(text) AS text_md5, CAST(count(*) OVER () AS BIGINT) AS n_records, CAST(0 AS BIGINT) AS n_malformed FROM documents""")
+def q_json_lists(spark, sf_dir):
+    """Documents written as JSON lists and read back in byte ranges far smaller than a
+    list, strictly and leniently; the lenient reader's counts come in the same pass."""
+    base = _scratch(spark, "lists")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Index"), F.col("text").alias("Text"), F.col("source").alias("Source"))
+    IO.write_lists(d, base)
+    counts = Observation()
+    lenient = IO.read_or_default(spark, base, split_bytes=1 << 18, counts=counts).select("doc_id", F.md5("text").alias("lenient_md5"))
+    lenient.write.parquet(f"{base}-read")
+    seen = counts.get
+    strict = IO.read_corpus(spark, base, split_bytes=1 << 18).select("doc_id", "source", F.md5("text").alias("text_md5"))
+    both = strict.join(spark.read.parquet(f"{base}-read"), "doc_id").where("text_md5 <=> lenient_md5")
+    return both.select("doc_id", "source", "text_md5", *[F.lit(seen[c]).cast("long").alias(c) for c in ("n_records", "n_malformed")])
+
+
 @register("features_roundtrip", "A3+A6+A9", f"""SELECT doc_id, [{", ".join(NAMES)}] AS f FROM ({_wide_sql()})""")
 def q_features_roundtrip(spark, sf_dir):
     base = _scratch(spark, "feat")
