@@ -1,77 +1,32 @@
-"""All-pairs retrieval (C9, J9): every query is compared with every target, as a
-blocked nested loop.
+"""All-pairs retrieval (C9, J9): for every query its nearest targets among all, without
+comparing it with all: ``pivots`` leaves out the cells that cannot matter.
 
-Queries and targets are cut into blocks of at most ``block`` rows; each (query block,
-target block) cell is one cogroup whose distance matrix is computed with numpy in the
-task and reduced on the spot (min / count) — no pair is ever emitted as a row, and no
-group is larger than block x block.  Ranking needs the best same-author distance
-first: it meets only the targets of the same author, in blocks of that author; one pass
-over the whole grid then counts the targets below it."""
+What is compared is cut into blocks of at most ``block`` rows on both sides; a pair of
+blocks is one cogroup whose distance matrix is computed with numpy in the task and reduced
+on the spot (min / count), so no pair is ever emitted as a row.  Ranking needs the best
+same-author distance first: it meets only the targets of the same author, in blocks of that
+author; then the targets nearer than it are counted cell by cell."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: Distances nearer than this are ties.
-TIE = 1e-12
-
-
-def _cos_dist(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    qn = np.linalg.norm(q, axis=1, keepdims=True)
-    tn = np.linalg.norm(t, axis=1, keepdims=True)
-    qn[qn == 0] = 1.0
-    tn[tn == 0] = 1.0
-    return np.clip(1.0 - (q / qn) @ (t / tn).T, 0.0, 2.0)
-
-
-def _grid(queries: DataFrame, targets: DataFrame, block: int, by: list[str] | None = None):
-    """Blocks of about ``block`` rows by hash (ids with a common factor spread too); each
-    side is repeated for the blocks of the other.  The numbers of blocks come from counts
-    in the plan (scalar subqueries, or a join per group with ``by``): no job runs while
-    the plan is built."""
-    by = by or []
-
-    def blocks(df, name):
-        return df.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias(name))
-    if by:
-        sizes = blocks(queries, "_qn").join(blocks(targets, "_tn"), by)
-        q, t = queries.join(sizes, by), targets.join(sizes, by)
-    else:
-        n = {"_qn": blocks(queries, "_qn").scalar(), "_tn": blocks(targets, "_tn").scalar()}
-        q, t = queries.withColumns(n), targets.withColumns(n)
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    return (q.withColumn("qb", own("qid", "_qn")).withColumn("tb", every("_tn")).drop("_qn", "_tn"),
-            t.withColumn("tb", own("tid", "_tn")).withColumn("qb", every("_qn")).drop("_qn", "_tn"))
-
-
-def _mat(col) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col])
+from ..session import cut_lineage
+from . import pivots as P
 
 
 def nearest_target(queries: DataFrame, targets: DataFrame, block: int = 4096) -> DataFrame:
     """For each query ``(qid, emb)`` its nearest target ``(tid, emb)`` by cosine
     distance (ties -> smaller tid): ``(qid, tid, dist)``."""
-    q, t = _grid(queries.select("qid", "emb"), targets.select("tid", "emb"), block)
+    found, _ = P.k_nearest(queries, P.build(targets.select("tid", "emb")), 1, block)
+    return found.select("qid", "tid", "dist")
 
-    def cell(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(tp) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        tp = tp.sort_values("tid")
-        d = _cos_dist(_mat(qp["emb"]), _mat(tp["emb"]))
-        j = d.argmin(axis=1)
-        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "tid": tp["tid"].to_numpy()[j],
-                             "dist": d[np.arange(len(qp)), j]})
 
-    best = (q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
-            .applyInPandas(cell, "qid long, tid long, dist double"))
-    return (best.groupBy("qid").agg(F.min(F.struct("dist", "tid")).alias("m"))
-            .select("qid", F.col("m.tid").alias("tid"), F.col("m.dist").alias("dist")))
+def k_nearest_targets(queries: DataFrame, targets: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The ``k`` nearest targets of each query: ``(qid, tid, dist, place)``."""
+    return P.k_nearest(queries, P.build(targets.select("tid", "emb")), k, block)[0]
 
 
 def author_ranks(queries: DataFrame, targets: DataFrame, block: int = 4096) -> DataFrame:
@@ -80,34 +35,19 @@ def author_ranks(queries: DataFrame, targets: DataFrame, block: int = 4096) -> D
     rank (they still count in the recall / MRR denominators)."""
     narrow_q, narrow_t = queries.select("qid", "author", "emb"), targets.select("tid", "author", "emb")
     # the best distance meets only targets of the same author, in blocks of that author
-    qa, ta = _grid(narrow_q.where("author is not null"), narrow_t.where("author is not null"), block, ["author"])
-    q, t = _grid(narrow_q, narrow_t.select("tid", "emb"), block)
+    qa, ta = P.blocks(narrow_q.where("author is not null"), narrow_t.where("author is not null"), "qid", "tid", block, ["author"])
 
     def best_same(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(tp) == 0:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "dstar": pd.Series([], dtype="float64")})
-        d = _cos_dist(_mat(qp["emb"]), _mat(tp["emb"]))
+        d = P.distances(P.unit(qp["emb"]), P.unit(tp["emb"]))
         return pd.DataFrame({"qid": qp["qid"].to_numpy(), "dstar": d.min(axis=1)})
 
-    dstar = (qa.groupBy("author", "qb", "tb").cogroup(ta.groupBy("author", "qb", "tb"))
+    dstar = (qa.groupBy("author", "lb", "rb").cogroup(ta.groupBy("author", "lb", "rb"))
              .applyInPandas(best_same, "qid long, dstar double")
              .groupBy("qid").agg(F.min("dstar").alias("dstar")))
-    q2 = q.join(dstar, "qid", "left")
-
-    def below(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "n_below": pd.Series([], dtype="int64")})
-        if len(tp) == 0:
-            return pd.DataFrame({"qid": qp["qid"].to_numpy(), "n_below": np.zeros(len(qp), dtype="int64")})
-        d = _cos_dist(_mat(qp["emb"]), _mat(tp["emb"]))
-        ds = qp["dstar"].to_numpy(dtype=np.float64)
-        # a distance may differ in its last bits between blocks of different shapes
-        cnt = (d < np.where(np.isnan(ds), -np.inf, ds - TIE)[:, None]).sum(axis=1)
-        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "n_below": cnt.astype("int64")})
-
-    cnt = (q2.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
-           .applyInPandas(below, "qid long, n_below long")
-           .groupBy("qid").agg(F.sum("n_below").alias("n_below")))
+    dstar = cut_lineage(dstar)
+    cnt = P.count_nearer(narrow_q.select("qid", "emb").join(dstar, "qid"), P.build(narrow_t.select("tid", "emb")), block)
     base = queries.select("qid", "author").join(dstar, "qid", "left").join(cnt, "qid", "left")
     return base.select("qid", "author", F.when(F.col("dstar").isNotNull(), F.col("n_below") + 1)
                        .cast("long").alias("rank"))

@@ -195,6 +195,15 @@ def q_all_pairs(spark, sf_dir):
     return n.select("qid", "tid", F.round("dist", 6).alias("dist"))
 
 
+@register("nearest_five", "C9 k nearest", f"""WITH {QT_SQL}
+SELECT qid, tid, {S.r6('dist')} AS dist, CAST(place AS INT) AS place FROM (
+  SELECT qid, tid, dist, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 12), tid) AS place FROM d) WHERE place <= 5""")
+def q_nearest_five(spark, sf_dir):
+    q, t = _qt(spark, sf_dir)
+    n = R.k_nearest_targets(q.select("qid", "emb"), t.select("tid", "emb"), 5)
+    return n.select("qid", "tid", F.round("dist", 6).alias("dist"), "place")
+
+
 @register("collect_outputs", "J12", f"""WITH {EMB_SQL}
 SELECT label AS author, vec_id, {S.r6('list_sum(e)')} AS total FROM emb""")
 def q_collect_outputs(spark, sf_dir):
