@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 from . import pivots as P
 
 
@@ -46,7 +46,7 @@ def author_ranks(queries: DataFrame, targets: DataFrame, block: int = 4096) -> D
     dstar = (qa.groupBy("author", "lb", "rb").cogroup(ta.groupBy("author", "lb", "rb"))
              .applyInPandas(best_same, "qid long, dstar double")
              .groupBy("qid").agg(F.min("dstar").alias("dstar")))
-    dstar = cut_lineage(dstar)
+    dstar = stored(dstar)
     cnt = P.count_nearer(narrow_q.select("qid", "emb").join(dstar, "qid"), P.build(narrow_t.select("tid", "emb")), block)
     base = queries.select("qid", "author").join(dstar, "qid", "left").join(cnt, "qid", "left")
     return base.select("qid", "author", F.when(F.col("dstar").isNotNull(), F.col("n_below") + 1)

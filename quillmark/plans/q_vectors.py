@@ -10,6 +10,7 @@ from ..functions import vectors as VX
 from ..functions.sampling import u01
 from ..operators import embed as E
 from ..operators import metrics as M
+from ..operators import neighbours as NB
 from ..operators import retrieval as R
 from ..operators import tfidf as TF
 from ..sources.tables import table
@@ -204,6 +205,17 @@ def q_nearest_five(spark, sf_dir):
     return n.select("qid", "tid", F.round("dist", 6).alias("dist"), "place")
 
 
+@register("neighbour_graph", "K1 graph", f"""WITH {EMB_SQL},
+nz AS (SELECT vec_id, e, list_inner_product(e, e) AS s FROM emb),
+gd AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(CASE WHEN a.s = 0 OR b.s = 0 THEN 1.0
+         ELSE least(greatest(1.0 - list_inner_product(a.e, b.e) / (sqrt(a.s) * sqrt(b.s)), 0.0), 2.0) END, 12) AS dist FROM nz a JOIN nz b ON a.vec_id <> b.vec_id)
+SELECT src, dst, CAST(place AS INT) AS place FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS place FROM gd) WHERE place <= 20""")
+def q_neighbour_graph(spark, sf_dir):
+    """The twenty nearest others of every embedding, exactly."""
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("e").alias("emb"))
+    return NB.neighbours(e).select("src", "dst", "place")
+
+
 @register("collect_outputs", "J12", f"""WITH {EMB_SQL}
 SELECT label AS author, vec_id, {S.r6('list_sum(e)')} AS total FROM emb""")
 def q_collect_outputs(spark, sf_dir):
