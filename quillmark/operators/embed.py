@@ -70,7 +70,7 @@ def episode_sample(posts: DataFrame, author: str, order: str, seed=42, max_posts
     rank filter keeps at most ``max_posts`` rows of an author before the exchange."""
     w = Window.partitionBy(author).orderBy(order)
     x = posts.withColumn("_b", F.col(batch) if batch else F.lit(0))
-    x = x.withColumn("_pos", F.row_number().over(w) - 1).where(F.col("_pos") < max_posts)
+    x = x.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= max_posts).withColumn("_pos", F.col("_pos") - 1)
     n = x.groupBy("_b", author).agg(F.count(F.lit(1)).alias("_n"))
     plan = n.groupBy("_b").agg(F.min("_n").alias("_s"))
     draw = F.ceil(F.lit(float(max_posts - 1)) * F.pow(u01(seed, F.col("_b"), F.lit("len")), 1.0 / 3.0))

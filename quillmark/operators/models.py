@@ -97,7 +97,7 @@ def cross_domain(df: DataFrame, names, train_domain: str, test_domains, seed: in
         samples = {d: seeded_sample(df.filter(F.col("domain") == d), max(1, int(0.2 * n)), seed, key) for d in domains}
         tr_s, _ = standard_scale(tr, tr.limit(0), use)
         tr_s = cut_lineage(tr_s.select(key, "label", *use))
-        models = (("gbt", train_gbt(tr_s, use, max_iter=10, max_depth=5, seed=seed)),
+        models = (("gbt", train_gbt(tr_s, use, max_iter=10, max_depth=6, seed=seed)),
                   ("mlp", train_mlp(tr_s, use, hidden=(10,), max_iter=1000, seed=seed)))
         for d in domains:
             _, te_s = standard_scale(tr, samples[d], use)

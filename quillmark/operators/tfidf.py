@@ -1,8 +1,8 @@
 """TF-IDF (E1, E2): vocabulary = top-k terms by corpus frequency (ties by term), smooth
 idf, L2-normalised weights, kept sparse as long rows ``(key, term, w)``.
 
-Shuffles: one word-count exchange by term (map-side combined) to fit; the vocabulary
-is capped at ``max_features`` rows, so broadcasting it is bounded by construction."""
+Fitting shuffles summaries of bounded size and the counts of candidates, not the
+vocabulary; the result has at most ``max_features`` rows, so broadcasting it is bounded."""
 
 from __future__ import annotations
 
@@ -26,7 +26,16 @@ def terms(text) -> Column:
 
 def tfidf_fit(docs: DataFrame, max_features: int = 5000, key: str = "doc_id",
               text: str = "text") -> DataFrame:
-    """``(term, cnt, df, idf)`` for the top ``max_features`` terms.
+    """``(term, cnt, df, idf)`` for the top ``max_features`` terms: candidates from
+    mergeable summaries, then one exact count of those (``heavy``)."""
+    from .heavy import top_terms
+    n = docs.select(F.count("*")).scalar()                  # scalar subquery
+    top = top_terms(docs, max_features, text=text)
+    return top.select("term", "cnt", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def all_term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``term, cnt, df`` of every term.
 
     Corpus frequency and document frequency are two word counts grouped by term only
     (occurrences, and distinct terms per text), so map-side combining shrinks each to
@@ -35,10 +44,7 @@ def tfidf_fit(docs: DataFrame, max_features: int = 5000, key: str = "doc_id",
     t = docs.select(terms(text).alias("_t"))
     cnt = t.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count("*").alias("cnt"))
     dfq = t.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.select(F.count("*")).scalar()                  # scalar subquery
-    top = cnt.join(dfq, "term").orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
-    return top.select("term", F.col("cnt").cast("long"), F.col("df").cast("long"),
-                      (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return cnt.join(dfq, "term").select("term", F.col("cnt").cast("long").alias("cnt"), F.col("df").cast("long").alias("df"))
 
 
 def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id",
