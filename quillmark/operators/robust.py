@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import h32, hkey, u01
 from ..functions.text import sentences, words
+from .sentences import Split
 from .corpus import dense_index
 
 MAX_SYNONYM_MAP = 200_000
@@ -25,19 +26,20 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 ROTATED = ALPHABET[1:] + ALPHABET[:1]
 
 
-def map_sentences(text, f) -> Column:
+def map_sentences(text, f, split: Split = sentences) -> Column:
     """H6: split into sentences, apply ``f(sentence, index)`` to each, fall back to the
     original sentence when ``f`` gives null, join with spaces."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.array_join(F.transform(sentences(t), lambda s, i: F.coalesce(f(s, i), s)), " ")
+    return F.array_join(F.transform(split(t), lambda s, i: F.coalesce(f(s, i), s)), " ")
 
 
-def mix_sentences(df: DataFrame, seed=2023, k: int = 4, key: str = "doc_id") -> DataFrame:
+def mix_sentences(df: DataFrame, seed=2023, k: int = 4, key: str = "doc_id", split: Split = sentences, limit_rows: int | None = None) -> DataFrame:
     """H1: one seeded sentence of the original plus one seeded sentence from each of k
     distinct seeded rewrites, in a seeded order, joined; ``source='GPT'``.  Records whose
     original has no sentence or whose chosen rewrites do not all have one are dropped.
-    Input: ``(key, text, variants ARRAY<STRUCT<variant_pos, text>>)``."""
-    so = sentences("text")
+    Input: ``(key, text, variants ARRAY<STRUCT<variant_pos, text>>)``.  ``limit_rows``
+    keeps the first records by key, as a saved sample does."""
+    so = split("text")
     orig_pick = F.element_at(so, (F.pmod(h32(seed, key, F.lit("o")), F.greatest(F.size(so), F.lit(1))) + 1).cast("int"))
     ranked = F.array_sort(F.transform("variants", lambda v: F.struct(
         hkey(seed, key, F.lit("p"), v["variant_pos"]).alias("k"), v["variant_pos"].alias("pos"),
@@ -45,7 +47,7 @@ def mix_sentences(df: DataFrame, seed=2023, k: int = 4, key: str = "doc_id") ->
     chosen = F.slice(ranked, 1, k)
 
     def pick(v):
-        s = sentences(v["text"])
+        s = split(v["text"])
         i = (F.pmod(h32(seed, key, F.lit("s"), v["pos"]), F.greatest(F.size(s), F.lit(1))) + 1).cast("int")
         return F.when(F.size(s) > 0, F.element_at(s, i))
 
@@ -60,7 +62,8 @@ def mix_sentences(df: DataFrame, seed=2023, k: int = 4, key: str = "doc_id") ->
     # dropped records produce no row from the generator: a Filter on the computed
     # columns would be pushed below them and split every sentence again
     out = F.when(keep, F.array(mixed)).otherwise(F.array().cast("array<string>"))
-    return x.select(key, F.explode(out).alias("text"), F.lit("GPT").alias("source"))
+    mixed_rows = x.select(key, F.explode(out).alias("text"), F.lit("GPT").alias("source"))
+    return mixed_rows if limit_rows is None else mixed_rows.orderBy(key).limit(limit_rows)
 
 
 def balanced_combine(human: DataFrame, machine: DataFrame, seed=2023, key: str = "doc_id") -> DataFrame:
@@ -96,13 +99,13 @@ def _chosen(seed, key, si, wi, share) -> Column:
     return u01(seed, key, si, wi) < F.lit(float(share))
 
 
-def perturb_words_expr(text, key, syn: Column, share: float = 0.1, seed=11) -> Column:
+def perturb_words_expr(text, key, syn: Column, share: float = 0.1, seed=11, split: Split = sentences) -> Column:
     """H3 on a row that carries the synonym map column ``syn``."""
     def per_sentence(s, si):
         w = words(s)
         return F.array_join(F.transform(w, lambda x, wi: F.when(
             _chosen(seed, key, si, wi, share), F.coalesce(F.try_element_at(syn, F.lower(x)), x)).otherwise(x)), " ")
-    return map_sentences(text, per_sentence)
+    return map_sentences(text, per_sentence, split)
 
 
 def char_edit(w: Column, key, si, wi, seed) -> Column:
@@ -123,24 +126,24 @@ def char_edit(w: Column, key, si, wi, seed) -> Column:
             .otherwise(F.concat(pre, F.translate(ch, ALPHABET, ROTATED), post)))
 
 
-def perturb_chars_expr(text, key, share: float = 0.1, seed=13) -> Column:
+def perturb_chars_expr(text, key, share: float = 0.1, seed=13, split: Split = sentences) -> Column:
     """H4."""
     def per_sentence(s, si):
         return F.array_join(F.transform(words(s), lambda x, wi: F.when(
             _chosen(seed, key, si, wi, share), char_edit(x, key, si, wi, seed)).otherwise(x)), " ")
-    return map_sentences(text, per_sentence)
+    return map_sentences(text, per_sentence, split)
 
 
-def perturb_mixed_expr(text, key, syn: Column, share: float = 0.1, seed=17) -> Column:
+def perturb_mixed_expr(text, key, syn: Column, share: float = 0.1, seed=17, split: Split = sentences) -> Column:
     """H5: synonyms, then character edits, then look-alike characters, each on its own
     seeded share of words."""
-    t1 = perturb_words_expr(text, key, syn, share, seed)
-    t2 = perturb_chars_expr(t1, key, share, seed + 1)
+    t1 = perturb_words_expr(text, key, syn, share, seed, split)
+    t2 = perturb_chars_expr(t1, key, share, seed + 1, split)
 
     def per_sentence(s, si):
         return F.array_join(F.transform(words(s), lambda x, wi: F.when(
             _chosen(seed + 2, key, si, wi, share), F.translate(x, LOOKALIKE_FROM, LOOKALIKE_TO)).otherwise(x)), " ")
-    return map_sentences(t2, per_sentence)
+    return map_sentences(t2, per_sentence, split)
 
 
 def with_synonyms(df: DataFrame, synonyms: DataFrame, key: str = "doc_id", text: str = "text",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import features as G
+from ..operators import sentences as SN
 from ..operators import variants as V
 from ..sources.tables import corpus, table
 from . import sqlfrag as S
@@ -233,3 +234,44 @@ def q_sentences(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"),
                     F.try_element_at("s", F.lit(1)).alias("first_sentence"),
                     F.length(T.join_sentences("s")).cast("long").alias("joined_chars"))
+
+
+# fixed values: the characters around a token, its white space
+_AROUND = "chr(34) || chr(39) || '()[]{}«»“”‘’„,;:!?'"
+_TYPES_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS t FROM documents WHERE text IS NOT NULL),
+tp AS (SELECT unnest(list_zip(t, list_prepend(NULL, t)[1:len(t)])) AS r FROM tk),
+tc AS (SELECT trim(r[1], {_AROUND}) AS c, trim(r[2], {_AROUND}) AS b FROM tp),
+tt AS (SELECT lower(rtrim(c, '.')) AS type, regexp_matches(c, '[^.]\\.$') AS dot, lower(rtrim(b, '.')) AS before, coalesce(regexp_matches(b, '[^.]\\.$'), false) AS dot_before
+       FROM tc WHERE regexp_matches(lower(rtrim(c, '.')), '\\pL')),
+ct AS (SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (dot) AS BIGINT) AS n_dot FROM tt GROUP BY type)"""
+
+
+@register("sentence_types", "D6 counts", f"WITH {_TYPES_SQL} SELECT type, n, n_dot FROM ct")
+def q_sentence_types(spark, sf_dir):
+    return SN.type_counts(SN.token_types(table(spark, sf_dir, "documents")))
+
+
+def _ll(k, n, p):
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+@register("sentences_learned", "D6 learned", f"""WITH {_TYPES_SQL},
+al AS (SELECT sum(n) AS total, sum(n_dot) / sum(n) AS p FROM ct),
+sc AS (SELECT type, -2 * ({_ll('n_dot', 'n', 'p')} - {_ll('n_dot', 'n', '0.99')}) * exp(-length(replace(type, '.', '')))
+         * (length(type) - length(replace(type, '.', '')) + 1) * pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -(n - n_dot)) AS score FROM ct, al WHERE n_dot > 0),
+ab AS (SELECT list(type) AS a FROM (SELECT type FROM sc WHERE score >= 0.3 ORDER BY score DESC, type LIMIT 1000)),
+st AS (SELECT type, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (dot_before AND NOT list_contains(coalesce(a, []), before) AND length(before) > 1) AS DOUBLE) AS k FROM tt, ab GROUP BY type),
+sl AS (SELECT sum(n) AS m, sum(k) AS e FROM st),
+ss AS (SELECT type, -2 * ({_ll('k', 'e', '(n / m)')} + {_ll('(n - k)', '(m - e)', '(n / m)')} - {_ll('k', 'e', '(k / e)')} - {_ll('(n - k)', '(m - e)', '((n - k) / (m - e))')}) AS ratio
+       FROM st, sl WHERE k > 0 AND m / e > n / k),
+so AS (SELECT list(type) AS s FROM (SELECT type FROM ss WHERE ratio >= 30 ORDER BY ratio DESC, type LIMIT 1000)),
+se AS (SELECT doc_id, {S.sentences('text')} AS s FROM documents),
+bo AS (SELECT doc_id, unnest(list_zip(s[:len(s) - 1], s[2:])) AS r FROM se WHERE len(s) > 1),
+bt AS (SELECT doc_id, trim(regexp_extract(r[1], '[^ \\t\\n\\r\\f\\x0B]+$'), {_AROUND}) AS c, lower(rtrim(trim(regexp_extract(r[2], '[^ \\t\\n\\r\\f\\x0B]+'), {_AROUND}), '.')) AS f FROM bo),
+j AS (SELECT doc_id, count(*) AS n FROM bt, ab, so WHERE regexp_matches(c, '[^.]\\.$')
+        AND (list_contains(coalesce(a, []), lower(rtrim(c, '.'))) OR regexp_matches(lower(rtrim(c, '.')), '^\\pL$')) AND NOT list_contains(coalesce(s, []), f) GROUP BY doc_id)
+SELECT se.doc_id, CAST(len(s) - coalesce(j.n, 0) AS BIGINT) AS n_sentences FROM se LEFT JOIN j ON j.doc_id = se.doc_id""")
+def q_sentences_learned(spark, sf_dir):
+    """Sentences by abbreviations and starters learned from all documents."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(SN.learn(d)("text")).cast("long").alias("n_sentences"))
