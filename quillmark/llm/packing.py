@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import ChainMap
 from itertools import islice
 
 import numpy as np
@@ -102,15 +101,16 @@ def ids_of(texts: list[str], spec: str) -> list[np.ndarray]:
     if len(cache) > CACHE_WORDS // 2:  # the older half goes; words still in use move on
         old, cache = cache, {}
         _state.update(old=old, cache=cache)
-    fresh = {w for ws in cut for w in ws}.difference(cache)
+    fresh = set().union(*cut).difference(cache)
     again = fresh & old.keys()
     cache.update(zip(again, map(old.__getitem__, again)))
     fresh = list(fresh - again)
-    rare = {}  # long runs without a space are not worth keeping
-    for w, b in zip(fresh, encode_words(tok, fresh)):
-        (cache if len(w) <= CACHE_CHARS else rare)[w] = b
-    known = ChainMap(cache, rare) if rare else cache
-    return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in cut]
+    cache.update(zip(fresh, encode_words(tok, fresh)))
+    out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), dtype="<u4") for ws in cut]
+    for w in fresh:
+        if len(w) > CACHE_CHARS:  # long runs without a space are not worth keeping
+            del cache[w]
+    return out
 
 
 def trim_cache() -> None:
