@@ -3,7 +3,9 @@ ordering (C1, C2, C5-C7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.sampling import hkey
@@ -35,14 +37,52 @@ def truncate_text(df: DataFrame, n: int = 1024, unit: str = "tokens", text: str
     return df.withColumn(text, cut)
 
 
-def drop_missing(df: DataFrame, cols=("source", "text")) -> DataFrame:
-    """Drop rows with a null column, and null/blank text."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
+def truncate_bpe(df: DataFrame, ranks_file: str, pattern: str, n: int = 1024, text: str = "text") -> DataFrame:
+    """The text of the first ``n`` byte-level BPE tokens, by a local rank file and its
+    split pattern; a character whose bytes are cut is left out whole.  Matches of the
+    pattern are encoded one by one until ``n`` tokens are there, so the rest of a long
+    text is not looked at.  A null text stays null."""
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+    bound = df.sparkSession.sparkContext.broadcast((load_tiktoken_bpe(ranks_file), pattern))
+    state: dict = {}
+
+    def cut(value: str | None) -> str | None:
+        if not value:
+            return value
+        if not state:
+            ranks, split = bound.value
+            state["enc"] = tiktoken.Encoding("local", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+            state["split"] = regex.compile(split)
+        ids: list[int] = []
+        for match in state["split"].finditer(value):
+            ids += state["enc"].encode_ordinary(match.group())
+            if len(ids) >= n:
+                return state["enc"].decode_bytes(ids[:n]).decode("utf-8", "ignore")
+        return value
+
+    @F.pandas_udf("string")
+    def first(values: pd.Series) -> pd.Series:
+        return values.map(cut, na_action="ignore")
+
+    return df.withColumn(text, first(F.col(text)))
+
+
+def drop_missing(df: DataFrame, cols=("source", "text"), counts: Observation | None = None) -> DataFrame:
+    """Drop rows with a null column, and null/blank text.  ``counts`` gets ``n_kept``
+    and, by the first reason that applies, ``n_no_<column>`` and ``n_blank_text`` in the
+    same pass."""
+    reason = F.lit(None).cast("string")
+    reasons = []
+    for c in reversed(list(cols)):
         if c == "text":
-            cond = cond & (F.trim(F.col(c)) != "")
-    return df.filter(cond)
+            reason = F.when(F.trim(F.col(c)) == "", "blank_text").otherwise(reason)
+            reasons.append("blank_text")
+        reason = F.when(F.col(c).isNull(), f"no_{c}").otherwise(reason)
+        reasons.append(f"no_{c}")
+    if counts is not None:
+        df = df.observe(counts, F.count_if(reason.isNull()).alias("n_kept"), *[F.count_if(reason == r).alias(f"n_{r}") for r in reasons])
+    return df.filter(reason.isNull())
 
 
 def first_n(df: DataFrame, n: int, by: str = "doc_id") -> DataFrame:

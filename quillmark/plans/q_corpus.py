@@ -3,6 +3,7 @@ ordering (C*)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,6 +80,18 @@ def q_drop_missing(spark, sf_dir):
     return c.groupBy("domain", "source").agg(F.count("*").cast("long").alias("n"))
 
 
+@register("skip_counts", "B5 counts", f"""
+SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN source IS NULL THEN 'no_source' WHEN text IS NULL THEN 'no_text' WHEN trim(text) = '' THEN 'blank_text' ELSE 'kept' END AS reason FROM {CORPUS_ALL_SQL}) GROUP BY reason""")
+def q_skip_counts(spark, sf_dir):
+    """Counts of kept and skipped records as they fall out of the pass that drops them."""
+    counts = Observation()
+    kept = C.drop_missing(corpus(spark, sf_dir, labelled_only=False), counts=counts)
+    kept.select("doc_id").write.format("noop").mode("overwrite").save()
+    seen = [(k[2:], n) for k, n in counts.get.items() if n]
+    return spark.createDataFrame(seen, "reason string, n long")
+
+
 @register("first_n", "B7", """
 SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 200""")
 def q_first_n(spark, sf_dir):
