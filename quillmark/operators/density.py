@@ -156,3 +156,22 @@ def scatter_table(points: DataFrame, by: str, cls: str = "label", names=("human"
     from pyspark.sql import Window
     both = F.count("*").over(Window.partitionBy(by)) == 2
     return c.select(by, cls, name.alias("label_name"), F.col("n").cast("long"), both.alias("complete"))
+
+
+#: Display names, colours and title of the scatter plot.
+NAMES = ("Human", "GPT")
+COLOURS = ("forestgreen", "firebrick")
+TITLE = "2D UMAP Projection of Text Embeddings by Source"
+
+
+def scatter_points(places: DataFrame, labels: DataFrame, key: str = "doc_id", cls: str = "label", title: str = TITLE) -> DataFrame:
+    """K5: plot-ready points of ``(key, x, y)`` with the name and colour of their class and
+    the title; ``mismatch`` tells what a record lacks (``no_label``, ``no_point``, else
+    null).  One full join on the key; a key with several labels gives a point for each."""
+    p = places.select(key, "x", "y", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("_placed"))
+    c = labels.select(key, cls)
+    x = p.join(c, key, "full_outer")
+    first = F.col(cls) == 0
+    lacks = F.when(F.col(cls).isNull(), "no_label").when(~F.coalesce("_placed", F.lit(False)), "no_point")
+    pick = lambda pair: F.when(F.col(cls).isNotNull(), F.when(first, pair[0]).otherwise(pair[1]))
+    return x.select(key, "x", "y", cls, pick(NAMES).alias("name"), pick(COLOURS).alias("colour"), F.lit(title).alias("title"), lacks.alias("mismatch"))

@@ -154,6 +154,20 @@ def q_features_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.transform("f", lambda x: F.round(x, 6)).alias("f"))
 
 
+@register("metrics_log", "A9", """
+WITH m AS (SELECT lang AS domain, CAST(count(*) AS DOUBLE) AS n_docs, CAST(sum(n_chars) AS DOUBLE) AS n_chars FROM documents GROUP BY lang),
+r AS (SELECT 'run-1' AS run_id, * FROM m UNION ALL SELECT 'run-2', * FROM m)
+SELECT run_id, domain, 'n_docs' AS metric, n_docs AS value FROM r UNION ALL SELECT run_id, domain, 'n_chars', n_chars FROM r""")
+def q_metrics_log(spark, sf_dir):
+    """Metrics per domain appended to a log by two runs and read back."""
+    path = _scratch(spark, "metrics")
+    m = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("domain")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_docs"), F.sum("n_chars").cast("double").alias("n_chars"))
+    for run in ("run-1", "run-2"):
+        IO.append_metrics(m, path, run)
+    return IO.read_metrics(spark, path).select("run_id", "domain", "metric", "value")
+
+
 @register("read_domains", "A8", """
 SELECT domain, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT lang AS domain FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY domain""")

@@ -54,3 +54,21 @@ def test_a_repeated_id_in_one_batch_counts_once(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream_features(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("doc_id")).collect()) == [1, 2]
+
+
+def test_metrics_are_read_back_by_run(spark, tmp_path):
+    from quillmark.sources import io as IO
+    path = str(tmp_path / "log")
+    for run, value in (("a", 1.0), ("b", 2.0), ("a", 3.0)):
+        IO.append_metrics(spark.createDataFrame([("x", value)], "domain string, f1 double"), path, run)
+    assert sorted(map(tuple, IO.read_metrics(spark, path).select("run_id", "domain", "metric", "value").collect())) == [("a", "x", "f1", 1.0), ("a", "x", "f1", 3.0), ("b", "x", "f1", 2.0)]
+    assert [r.value for r in IO.read_metrics(spark, path, "b").collect()] == [2.0]
+
+
+def test_points_carry_their_class_or_what_they_lack(spark):
+    from quillmark.operators import density as K
+    places = spark.createDataFrame([(1, 0.5, 1.0), (2, None, 1.0), (3, 2.0, 2.0)], "doc_id long, x double, y double")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "doc_id long, label int")
+    got = {r.doc_id: (r.name, r.colour, r.mismatch) for r in K.scatter_points(places, labels, title="t").collect()}
+    assert got == {1: ("Human", "forestgreen", None), 2: ("GPT", "firebrick", "no_point"), 3: (None, None, "no_label"), 4: ("GPT", "firebrick", "no_point")}
+    assert K.scatter_points(places, labels, title="t").first().title == "t"
