@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .corpus import join_null_safe
 
 EPS = 1e-10
@@ -89,8 +90,10 @@ def auroc(pred: DataFrame, by=(), buckets: int = 128) -> DataFrame:
     out, a null group is a group."""
     b = _by(by)
     pred = pred.where(F.col("score").isNotNull() & F.col("label").isNotNull())
-    per_score = pred.groupBy(*b, "score").agg(
-        F.count_if(F.col("label") == 1).alias("npos"), F.count_if(F.col("label") == 0).alias("nneg"))
+    # one row per distinct score, stored: the cuts, the totals and the ranks read it, and the
+    # predictions are computed once
+    per_score = stored(pred.groupBy(*b, "score").agg(
+        F.count_if(F.col("label") == 1).alias("npos"), F.count_if(F.col("label") == 0).alias("nneg")))
     cuts = per_score.agg(F.approx_percentile("score", [i / buckets for i in range(1, buckets)], 10_000)).scalar()
     per_score = per_score.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>")))
     # number of cuts below the score: monotone in the score
@@ -99,8 +102,7 @@ def auroc(pred: DataFrame, by=(), buckets: int = 128) -> DataFrame:
     wb = Window.partitionBy(*b).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
     ws = Window.partitionBy(*b, "_bk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    x = (per_score.withColumn("_below", F.coalesce(F.sum("nneg").over(ws), F.lit(0)))
-         )
+    x = per_score.withColumn("_below", F.coalesce(F.sum("nneg").over(ws), F.lit(0)))
     x = join_null_safe(x, tot, [*b, "_bk"])
     x = x.withColumn("_u", F.col("npos") * (F.col("_off") + F.col("_below") + F.col("nneg") / 2.0))
     agg = x.groupBy(*b).agg(F.sum("_u").alias("u"), F.sum("npos").alias("p"), F.sum("nneg").alias("n"))

@@ -72,3 +72,16 @@ def test_points_carry_their_class_or_what_they_lack(spark):
     got = {r.doc_id: (r.name, r.colour, r.mismatch) for r in K.scatter_points(places, labels, title="t").collect()}
     assert got == {1: ("Human", "forestgreen", None), 2: ("GPT", "firebrick", "no_point"), 3: (None, None, "no_label"), 4: ("GPT", "firebrick", "no_point")}
     assert K.scatter_points(places, labels, title="t").first().title == "t"
+
+
+def test_a_repeated_word_vector_counts_once_in_either_form(spark):
+    from quillmark.operators import layouts as L
+    v = spark.createDataFrame([("cat", [1.0, 0.0]), ("cat", [0.0, 1.0]), ("dog", [1.0, 1.0]), (None, [1.0, 1.0])], "word string, vec array<double>")
+    text = "the cat and the dog and one more cat"
+    df = spark.createDataFrame([(1, text, [(0, "a dog here"), (1, "cat")])], "doc_id long, text string, variants array<struct<variant_pos: int, text: string>>")
+    out = []
+    for limit in (10, 1):
+        frame, method = L._word_avg(df, v, limit=limit)
+        lookup = frame.first().asDict().get("_lookup")
+        out.append([list(method.vector(t, lookup)) for t in (text, "a dog here", "cat")])
+    assert out[0] == out[1] and out[0][2] == [0.0, 1.0]
