@@ -4,8 +4,9 @@ character perturbations.
 Every random choice is md5(seed, record, position) (see ``functions.sampling``), so the
 output is the same whatever the partitioning or task retries.  Mixing and perturbation
 are row-local array expressions over a record's sentences: the text is never shuffled.
-A synonym table of at most ``MAX_SYNONYM_MAP`` words is attached as one map (a scalar
-subquery); from a larger one every record gets the words it needs through a join."""
+A synonym table of at most ``MAX_SYNONYM_MAP`` words is attached as one array of small
+maps that a word's hash points into (a scalar subquery); from a larger one every record
+gets the words it needs through a join."""
 
 from __future__ import annotations
 
@@ -99,12 +100,36 @@ def _chosen(seed, key, si, wi, share) -> Column:
     return u01(seed, key, si, wi) < F.lit(float(share))
 
 
-def perturb_words_expr(text, key, syn: Column, share: float = 0.1, seed=11, split: Split = sentences) -> Column:
-    """H3 on a row that carries the synonym map column ``syn``."""
+def hashed_lookup(df: DataFrame, synonyms: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None):
+    """``df`` with the synonyms as column ``_syn``, and ``word -> replacement`` over it.
+
+    Spark looks a key up in a map by scanning it, so the table is one array of maps of
+    about two words, and the word's hash names the map.  A table of more than ``limit``
+    words takes ``with_synonyms``'s joins, with the same results."""
+    limit = MAX_SYNONYM_MAP if limit is None else limit
+    n = synonyms.limit(limit + 1).count()
+    if n > limit:
+        return with_synonyms(df, synonyms, key, text, limit), lambda w: F.try_element_at(F.col("_syn"), w)
+    size = max(1, n // 2)
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")
+    one = synonyms.where("word is not null and repl is not null").groupBy("word").agg(F.min("repl").alias("repl"))
+    kept = one.groupBy(place(F.col("word")).alias("at")).agg(F.collect_list(F.struct("word", "repl")).alias("of"))
+    every = df.sparkSession.range(size).select(F.col("id").cast("int").alias("at")).join(kept, "at", "left")
+    none = F.array().cast("array<struct<word:string,repl:string>>")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("of", none).alias("of")))),
+                                  lambda r: F.map_from_entries(r["of"])).alias("_syn"))
+    return df.withColumn("_syn", table.scalar()), lambda w: F.try_element_at(F.get(F.col("_syn"), place(w)), w)
+
+
+def perturb_words_expr(text, key, syn, share: float = 0.1, seed=11, split: Split = sentences) -> Column:
+    """H3 on a row that carries the synonyms: ``syn`` is a map column or a function from a
+    lower-cased word to its replacement (``hashed_lookup``)."""
+    find = (lambda w: F.try_element_at(syn, w)) if isinstance(syn, Column) else syn
+
     def per_sentence(s, si):
         w = words(s)
         return F.array_join(F.transform(w, lambda x, wi: F.when(
-            _chosen(seed, key, si, wi, share), F.coalesce(F.try_element_at(syn, F.lower(x)), x)).otherwise(x)), " ")
+            _chosen(seed, key, si, wi, share), F.coalesce(find(F.lower(x)), x)).otherwise(x)), " ")
     return map_sentences(text, per_sentence, split)
 
 
@@ -134,15 +159,25 @@ def perturb_chars_expr(text, key, share: float = 0.1, seed=13, split: Split = se
     return map_sentences(text, per_sentence, split)
 
 
-def perturb_mixed_expr(text, key, syn: Column, share: float = 0.1, seed=17, split: Split = sentences) -> Column:
+def space_insert(w: Column, key, si, wi, seed) -> Column:
+    """A space at a seeded place inside the word; words shorter than 2 stay."""
+    n = F.length(w)
+    k = (F.pmod(h32(seed, key, si, wi, F.lit("sp")), F.greatest(n - 1, F.lit(1))) + 1).cast("int")
+    return F.when(n >= 2, F.concat(w.substr(F.lit(1), k), F.lit(" "), w.substr(k + 1, n - k))).otherwise(w)
+
+
+def perturb_mixed_expr(text, key, syn, share: float = 0.1, seed=17, split: Split = sentences, spaces: bool = False) -> Column:
     """H5: synonyms, then character edits, then look-alike characters, each on its own
-    seeded share of words."""
+    seeded share of words; with ``spaces`` also spaces put into another share of them."""
     t1 = perturb_words_expr(text, key, syn, share, seed, split)
     t2 = perturb_chars_expr(t1, key, share, seed + 1, split)
 
+    def edit(x, si, wi):
+        y = F.when(_chosen(seed + 2, key, si, wi, share), F.translate(x, LOOKALIKE_FROM, LOOKALIKE_TO)).otherwise(x)
+        return F.when(_chosen(seed + 3, key, si, wi, share), space_insert(y, key, si, wi, seed + 3)).otherwise(y) if spaces else y
+
     def per_sentence(s, si):
-        return F.array_join(F.transform(words(s), lambda x, wi: F.when(
-            _chosen(seed + 2, key, si, wi, share), F.translate(x, LOOKALIKE_FROM, LOOKALIKE_TO)).otherwise(x)), " ")
+        return F.array_join(F.transform(words(s), lambda x, wi: edit(x, si, wi)), " ")
     return map_sentences(t2, per_sentence, split)
 
 
@@ -163,8 +198,7 @@ def with_synonyms(df: DataFrame, synonyms: DataFrame, key: str = "doc_id", text:
 
 def with_perturbations(df: DataFrame, synonyms: DataFrame, share: float = 0.1, key: str = "doc_id") -> DataFrame:
     """H7: the three perturbed texts as extra columns; empty texts are skipped."""
-    x = with_synonyms(df.filter(F.col("text").isNotNull() & (F.trim("text") != "")), synonyms, key)
-    syn = F.col("_syn")
+    x, syn = hashed_lookup(df.filter(F.col("text").isNotNull() & (F.trim("text") != "")), synonyms, key)
     return x.select(*df.columns,
                     perturb_words_expr("text", key, syn, share).alias("perturb_words"),
                     perturb_chars_expr("text", key, share).alias("perturb_chars"),

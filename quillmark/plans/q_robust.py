@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import robust as H
+from ..operators import synonyms as SY
 from ..operators import tfidf as TF
 from ..operators.variants import RULES, promote_variant, rule_variants
-from ..session import spread
+from ..session import spread, stored
 from ..sources.tables import corpus, source_from_quality, table
 from . import sqlfrag as S
 from .q_corpus import CORPUS_SQL
-from .q_vectors import VOCAB_SQL, _h32_sql, _u01_sql
+from .q_vectors import D, TERMS_SQL, VOCAB_SQL, _h32_sql, _u01_sql
 from .registry import register
 
 SEED_MIX = 2023
@@ -83,11 +84,17 @@ def _edit_sql(seed: int, ws: str) -> str:
             f"ELSE {pre} || translate({ch}, '{H.ALPHABET}', '{H.ROTATED}') || {post} END")
 
 
+def _space_sql(seed: int, ws: str) -> str:
+    """A space at a seeded place inside ``{ws}.x``."""
+    k = f"CAST({_h32_sql(seed, f'{ws}.doc_id', f'{ws}.si', f'{ws}.wi', chr(39) + 'sp' + chr(39))} % greatest(length({ws}.x) - 1, 1) + 1 AS BIGINT)"
+    return f"CASE WHEN length({ws}.x) >= 2 THEN substring({ws}.x, 1, {k}) || ' ' || substring({ws}.x, {k} + 1) ELSE {ws}.x END"
+
+
 def _step_sql(kind: str, seed: int, src: str, tag: str) -> str:
     """CTEs ending in ``t_{tag} (doc_id, text)``: ``src`` with one kind of edit on its
     seeded share of words."""
     ws = f"ws_{tag}"
-    change = {"words": "coalesce(syn.repl, {0}.x)", "chars": _edit_sql(seed, ws),
+    change = {"words": "coalesce(syn.repl, {0}.x)", "chars": _edit_sql(seed, ws), "space": _space_sql(seed, ws),
               "look": f"translate({ws}.x, '{H.LOOKALIKE_FROM}', '{H.LOOKALIKE_TO}')"}[kind].replace("{0}", ws)
     join = f"LEFT JOIN syn ON syn.word = lower({ws}.x) AND syn.repl IS NOT NULL" if kind == "words" else ""
     return f"""ss_{tag} AS (SELECT doc_id, unnest(s) AS sent, generate_subscripts(s, 1) - 1 AS si FROM (SELECT doc_id, {S.sentences('text')} AS s FROM {src})),
@@ -111,8 +118,8 @@ def _mixed_sql(src: str, tag: str, seed: int = 17) -> str:
 
 @register("perturb_words", "H3+H6", _perturb_sql("words", 11))
 def q_perturb_words(spark, sf_dir):
-    d = H.with_synonyms(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
-    t = H.perturb_words_expr("text", "doc_id", F.col("_syn"), 0.1, 11)
+    d, syn = H.hashed_lookup(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
+    t = H.perturb_words_expr("text", "doc_id", syn, 0.1, 11)
     return _digest(d.select("doc_id", t.alias("text")))
 
 
@@ -126,8 +133,45 @@ def q_perturb_chars(spark, sf_dir):
 @register("perturb_mixed", "H5", f"WITH {SYN_SQL}, {_mixed_sql('documents', 'm')} "
           "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM t_m3")
 def q_perturb_mixed(spark, sf_dir):
-    d = H.with_synonyms(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
-    t = H.perturb_mixed_expr("text", "doc_id", F.col("_syn"), 0.1, 17)
+    d, syn = H.hashed_lookup(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
+    t = H.perturb_mixed_expr("text", "doc_id", syn, 0.1, 17)
+    return _digest(d.select("doc_id", t.alias("text")))
+
+
+DIM, SEED_CONTEXT = SY.DIM, 5
+NEAR_SQL = f"""{VOCAB_SQL},
+tl AS (SELECT doc_id, t, list_transform(t, lambda x: CAST({_h32_sql(SEED_CONTEXT, 'x')} % {DIM} AS INT)) AS b FROM (SELECT doc_id, {TERMS_SQL} AS t FROM documents)),
+tp AS (SELECT doc_id, unnest(t) AS term, unnest(b) AS b, generate_subscripts(t, 1) AS i FROM tl),
+nx AS (SELECT term, b, lead(term, 1) OVER w AS t1, lead(b, 1) OVER w AS b1, lead(term, 2) OVER w AS t2, lead(b, 2) OVER w AS b2 FROM tp WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+cp AS (SELECT term, b1 + {DIM} AS bucket FROM nx WHERE t1 IS NOT NULL UNION ALL SELECT t1, b FROM nx WHERE t1 IS NOT NULL
+       UNION ALL SELECT term, b2 + {DIM} FROM nx WHERE t2 IS NOT NULL UNION ALL SELECT t2, b FROM nx WHERE t2 IS NOT NULL),
+cc AS (SELECT term, bucket, count(*) AS c FROM cp WHERE term IN (SELECT term FROM voc) GROUP BY ALL),
+pm AS (SELECT term, bucket, greatest(ln(CAST(c AS DOUBLE) * sum(c) OVER () / (CAST(sum(c) OVER (PARTITION BY term) AS DOUBLE) * sum(c) OVER (PARTITION BY bucket))), {D('0')}) AS v FROM cc),
+vm AS (SELECT term, map_from_entries(list((bucket, v))) AS m FROM pm GROUP BY term),
+ve AS (SELECT term, list_transform(range(0, {2 * DIM}), lambda k: coalesce(m[CAST(k AS INT)], {D('0')})) AS e FROM vm),
+vn AS (SELECT term, e, sqrt(list_inner_product(e, e)) AS s FROM ve WHERE list_inner_product(e, e) > 0),
+vd AS (SELECT a.term AS word, b.term AS repl, round(least(greatest(1.0 - list_inner_product(a.e, b.e) / (a.s * b.s), 0.0), 2.0), 12) AS dist FROM vn a JOIN vn b ON a.term <> b.term),
+syn AS (SELECT word, repl, 1.0 - dist AS similarity FROM (SELECT word, repl, dist, row_number() OVER (PARTITION BY word ORDER BY dist, repl) AS place FROM vd)
+        WHERE place = 1 AND 1.0 - dist >= {SY.FLOOR})"""
+
+
+def _near(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return SY.near_synonyms(SY.context_vectors(d, TF.tfidf_fit(d, 5000), seed=SEED_CONTEXT))
+
+
+@register("near_synonyms", "H3 table", f"WITH {NEAR_SQL} SELECT word, repl, {S.r6('similarity')} AS similarity FROM syn")
+def q_near_synonyms(spark, sf_dir):
+    """Near-synonyms of the frequent words: nearest by context, above the floor."""
+    return _near(spark, sf_dir).select("word", "repl", F.round("similarity", 6).alias("similarity"))
+
+
+@register("perturb_near", "H3+H5", f"WITH {NEAR_SQL}, {_mixed_sql('documents', 'n', 19)}, {_step_sql('space', 22, 't_n3', 'n4')} "
+          "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM t_n4")
+def q_perturb_near(spark, sf_dir):
+    """Near-synonyms, character edits, look-alikes and inserted spaces."""
+    d, syn = H.hashed_lookup(_docs(spark, sf_dir), stored(_near(spark, sf_dir)))
+    t = H.perturb_mixed_expr("text", "doc_id", syn, 0.1, 19, spaces=True)
     return _digest(d.select("doc_id", t.alias("text")))
 
 
