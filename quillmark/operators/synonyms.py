@@ -25,6 +25,9 @@ from .corpus import dense_index
 DIM = 64
 WINDOW = 2
 FLOOR = 0.5
+#: Cells of the search.  Context vectors hardly cluster, so a word must look into nearly all
+#: cells, and each costs it a copy of its vector; the cells' own blocks bound a task's work.
+PIVOTS = 4
 
 
 def context_pairs(text, window: int = WINDOW, dim: int = DIM, seed=5) -> Column:
@@ -71,7 +74,7 @@ def near_synonyms(vectors: DataFrame, floor: float = FLOOR) -> DataFrame:
     v = vectors.where("word is not null and emb is not null").groupBy("word").agg(F.min("emb").alias("emb"))
     v = v.where(F.exists("emb", lambda e: e != 0))
     named = stored(dense_index(v, ["word"], "id", bucket=F.substring("word", 1, 2)).select(F.col("id").cast("long").alias("id"), "word", "emb"))
-    near = NB.neighbours(named.select("id", "emb"), 1).where(F.lit(1.0) - F.col("dist") >= F.lit(float(floor)))
+    near = NB.neighbours(named.select("id", "emb"), 1, PIVOTS).where(F.lit(1.0) - F.col("dist") >= F.lit(float(floor)))
     names = named.select("id", "word")
     other = names.select(F.col("id").alias("dst"), F.col("word").alias("repl"))
     return (near.join(names.withColumnRenamed("id", "src"), "src").join(other, "dst")
