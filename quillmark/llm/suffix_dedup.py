@@ -15,10 +15,10 @@ The suffix order is never built in one place:
   (``FILTER_BITS``): a full one only lets more anchors through.
 * Suffix order of a shard.  Anchors that pass travel, with the bytes that windows around
   them can hold and each such context once a task, to the shard of their gram.  There the
-  right contexts are sorted as suffixes and the left ones as reversed prefixes, with the
-  LCPs of neighbours; the windows that start ``o`` bytes before the anchors are then runs
-  with LCP >= ``window`` in suffix order, and a window has a previous or next smaller
-  document if and only if its document is not the smallest in its run.
+  suffixes that start ``o`` bytes before the anchors are put in order, those of one ``o``
+  from those of the one before by their first byte, with the LCPs of neighbours; previous
+  and next smaller documents give each its longest previous factor, counted up to
+  ``window``, and the window goes if that reaches it.
 * All windows with an anchor contain it, so an anchor's removed windows join to one span;
   spans go back to their documents, packed by buckets of documents.
 
@@ -46,6 +46,7 @@ BLOCK, PACK, SORT = 1 << 19, 1_500_000, 60_000
 #: Bytes of contexts that a task brings together before it sends them.
 CONTEXT_BYTES = 12 << 20
 FILTER_BITS = 29
+ROUNDS = 24  # of jumps between candidates before the pass with a stack
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -267,27 +268,72 @@ def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[-1], lcp])
 
 
+def _nearest_smaller(value: np.ndarray, lcp: np.ndarray, window: int) -> np.ndarray:
+    """For every suffix, in suffix order, its match with the nearest suffix before it that
+    has a smaller value: the least LCP on the way there, 0 without one.  ``lcp[i]`` is that
+    of ``i`` with ``i - 1``.  A way is left as soon as its match is below ``window``.
+
+    Candidates jump to their own candidates: between a candidate and its suffix all values
+    are as large as the suffix's, so a candidate that is not smaller passes its own one on."""
+    n = len(value)
+    at, match = np.arange(-1, n - 1), lcp.copy()
+    match[:1] = 0
+    active = np.flatnonzero(match >= window)
+    active = active[value[at[active]] >= value[active]]
+    for _ in range(ROUNDS):
+        if not len(active):
+            return match
+        way = at[active]
+        match[active] = np.minimum(match[active], match[way])
+        at[active] = at[way]
+        active = active[match[active] >= window]  # a candidate of -1 has match 0
+        active = active[value[at[active]] >= value[active]]
+    # long staircases of values: one pass with a stack over the runs that hold the rest
+    run = np.cumsum(lcp < window)
+    for i in np.flatnonzero(np.isin(run, np.unique(run[active]))).tolist():
+        if lcp[i] < window:
+            stack = []
+        best = int(lcp[i])
+        while stack and stack[-1][0] >= value[i]:
+            best = min(best, stack.pop()[1])
+        match[i] = best if stack else 0
+        stack.append((value[i], best))
+    return match
+
+
+def longest_previous(c: np.ndarray, order: np.ndarray, at: int, smallest: np.ndarray, window: int) -> np.ndarray:
+    """The longest previous factors, counted up to ``window``, of the suffixes that start at
+    column ``at`` of the contexts ``order``, given in suffix order: the better match of the
+    two with the previous and the next suffix of a smaller document."""
+    rows = c[order, at:at + window]
+    differ = rows[1:] != rows[:-1]
+    lcp = np.where(differ.any(1), differ.argmax(1), window)
+    value = smallest[order]
+    before = _nearest_smaller(value, np.concatenate([[0], lcp]), window)
+    behind = _nearest_smaller(value[::-1], np.concatenate([[0], lcp[::-1]]), window)[::-1]
+    return np.maximum(before, behind)
+
+
 def removed_offsets(c: np.ndarray, left: np.ndarray, right: np.ndarray, smallest: np.ndarray, entry: np.ndarray, doc: np.ndarray, window: int = WINDOW):
-    """For entries (context, document): the largest and smallest ``o`` such that the
-    window ``o`` bytes before the anchor has an earlier document (-1: none).  ``smallest``
-    is the smallest document of each context."""
+    """For entries (context, document): the largest and smallest ``o`` such that the suffix
+    ``o`` bytes before the anchor has a longest previous factor of ``window`` (-1: none).
+    ``smallest`` is the smallest document of each context, which its others match wholly.
+    The suffix order of an ``o`` follows from that of ``o - 1`` by one stable sort of the
+    bytes in front."""
     before = window - GRAM
-    order_r, lcp_r = _order(c[:, before:])
-    order_l, lcp_l = _order(c[:, before - 1::-1] if before else c[:, :0])
+    order, _ = _order(c[:, before:])
+    later = smallest[entry] < doc
     most, least = np.full(len(entry), -1), np.full(len(entry), -1)
-    rank_r, rank_l = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
     for o in range(before + 1):
-        rank_r[order_r] = np.cumsum(lcp_r < window - o)   # runs that share the right part
-        rank_l[order_l] = np.cumsum(lcp_l < o) if o else 1
-        ok = np.flatnonzero((left >= o) & (right >= window - o))
-        if len(ok) == 0:
+        if o:
+            order = order[np.argsort(c[order, before - o], kind="stable")]
+        own = order[(left[order] >= o) & (right[order] >= window - o)]  # the text holds the window
+        if not len(own):
             continue
-        run = rank_l[ok] * (len(c) + 1) + rank_r[ok]
-        at = np.argsort(run, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], run[at][1:] != run[at][:-1]]))
-        low = np.full(len(c), np.iinfo(np.int64).max)
-        low[ok[at]] = np.repeat(np.minimum.reduceat(smallest[ok[at]], cut), np.diff(np.append(cut, len(at))))
-        gone = low[entry] < doc
+        holds, found = np.zeros(len(c), bool), np.zeros(len(c), bool)
+        holds[own] = True
+        found[own] = longest_previous(c, own, before - o, smallest, window) >= window
+        gone = holds[entry] & (later | found[entry])
         most[gone] = o
         least[gone & (least < 0)] = o
     return most, least

@@ -291,3 +291,29 @@ def test_multi_sequence_order_is_by_distance():
         assert (np.diff(total[order[k]]) >= -1e-12).all() and sorted(order[k]) == list(range(35))
         assert (index.order(x, 6)[k] == order[k][:6]).all()
     assert (order[:, 0] == index.cell(x)).all()
+
+
+@pytest.mark.parametrize("rounds", [0, 2, 24])
+def test_longest_previous_factors_are_the_definition(monkeypatch, rounds):
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+    rng = np.random.default_rng(rounds)
+    for n, docs in ((1, 1), (60, 5), (200, 200), (200, 2)):
+        c = rng.integers(97, 99, size=(n, 14)).astype(np.uint8)
+        smallest = rng.integers(0, docs, n) if docs < n else np.arange(n)[::-1].copy()
+        order = np.lexsort(c[:, ::-1].T)
+        got = suffix_dedup.longest_previous(c, order, 0, smallest, 6)
+        for place, i in enumerate(order):
+            shared = [int(np.argmin(np.append(c[i, :6] == c[j, :6], False))) for j in range(n) if smallest[j] < smallest[i]]
+            want = max(shared, default=0)
+            # exact where the window is reached; below it only that it is not
+            assert (got[place] >= 6) == (want >= 6)
+
+
+def test_staircases_of_documents():
+    up = np.concatenate([np.arange(1, 400), np.zeros(300, int), [5]])
+    lcp = np.full(len(up), 9)
+    lcp[0], lcp[650] = 0, 7
+    got = suffix_dedup._nearest_smaller(up, lcp, 5)
+    for i in range(len(up)):
+        j = max((j for j in range(i) if up[j] < up[i]), default=None)
+        assert got[i] == (0 if j is None else lcp[j + 1:i + 1].min())
