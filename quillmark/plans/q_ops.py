@@ -18,7 +18,10 @@ from ..session import checkpoint_dir, cut_lineage, spread
 from ..sources import io as IO
 from ..sources.tables import corpus, table
 from ..streaming.features import batch_features, stream_features
+from . import sqlfrag as S
+from .q_eval import STRAT_SQL
 from .q_text import _wide_sql
+from .q_vectors import _u01_sql
 from .registry import r6, register
 
 NAMES = [f"avg_c{n}" for n in range(1, 5)] + [f"all_c{n}" for n in range(1, 5)] + \
@@ -64,6 +67,28 @@ def q_mlp(spark, sf_dir):
     return ML.predict(m, te, NAMES)
 
 
+MODEL_SQL = f"""pr AS (SELECT doc_id, lang AS domain, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS label FROM documents JOIN labels USING (doc_id)
+       WHERE len({S.tokens('text')}) BETWEEN {G.MIN_TOKENS} AND {G.MAX_TOKENS})"""
+
+
+@register("mlp_early", "I5 early stopping", f"""WITH {MODEL_SQL}, {STRAT_SQL},
+h AS (SELECT is_test, {_u01_sql(42, "'held'", 'doc_id')} < 0.1 AS held FROM st)
+SELECT CAST(count_if(NOT is_test AND NOT held) AS BIGINT) AS n_fit, CAST(count_if(NOT is_test AND held) AS BIGINT) AS n_held,
+       CAST(count_if(is_test) AS BIGINT) AS n_test, true AS best_kept, true AS within_cap FROM h""")
+def q_mlp_early(spark, sf_dir):
+    """Facts of a fit that stops early: rows it fits and judges on, that the kept weights
+    are those of the best round (by the accuracy of the model returned), and the cap."""
+    from ..operators import early_stop as ES
+    from ..operators.split import standard_scale, stratified_split
+    d = cut_lineage(stratified_split(model_table(spark, sf_dir), "label", 0.2, 42, by="domain"))
+    tr, te = standard_scale(d.filter(~F.col("is_test")), d.filter(F.col("is_test")), NAMES)
+    e = ES.train_mlp_early(tr, NAMES, step=20, max_iter=200, patience=3)
+    p = ML.predict(e.model, ES.held_out(tr).where("held").drop("held"), NAMES).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
+    return p.crossJoin(te.agg(F.count(F.lit(1)).alias("n_test"))).select(
+        F.lit(e.n_fit).cast("long").alias("n_fit"), F.lit(e.n_held).cast("long").alias("n_held"), "n_test",
+        (F.coalesce(F.abs(F.col("a") - e.accuracies[e.best]), F.lit(0.0)) < 1e-9).alias("best_kept"), F.lit(len(e.accuracies) * 20 <= 200).alias("within_cap"))
+
+
 @register("cross_domain", "I7")
 def q_cross_domain(spark, sf_dir):
     d = model_table(spark, sf_dir)

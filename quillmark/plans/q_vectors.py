@@ -9,10 +9,12 @@ from ..functions import text as T
 from ..functions import vectors as VX
 from ..functions.sampling import u01
 from ..operators import embed as E
+from ..operators import model_embed  # noqa: F401  (registers its model)
 from ..operators import metrics as M
 from ..operators import neighbours as NB
 from ..operators import retrieval as R
 from ..operators import tfidf as TF
+from ..session import spread
 from ..sources.tables import table
 from . import sqlfrag as S
 from .registry import register
@@ -308,6 +310,17 @@ def q_word_avg(spark, sf_dir):
 
 # -- E8 registry ---------------------------------------------------------------------------
 
+@register("embed_model", "E8 model", f"""WITH lt AS (SELECT doc_id, unnest(list_transform(range(97, 123), lambda c: length(t) - length(replace(t, chr(CAST(c AS INT)), '')))) AS v,
+    unnest(range(0, 26)) AS j FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
+rm AS (SELECT j, k, CASE WHEN substr(md5('42-' || CAST(j AS VARCHAR) || '-' || CAST(k AS VARCHAR)), 1, 1) < '8' THEN 1 ELSE -1 END AS r
+       FROM range(0, 26) t1(j), range(0, 8) t2(k)),
+p AS (SELECT doc_id, k, CAST(greatest(sum(v * r), 0) AS DOUBLE) AS val FROM lt JOIN rm USING (j) GROUP BY ALL)
+SELECT doc_id, list(val ORDER BY k) AS vec FROM p GROUP BY doc_id""")
+def q_embed_model(spark, sf_dir):
+    """Every document through a registered model, in batches."""
+    return E.embed(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "letters")
+
+
 @register("embed_hash_proj", "E8", f"""WITH t AS (SELECT doc_id, {S.tokens('text')} AS toks FROM documents),
 bk AS (SELECT doc_id, ('0x' || substr(md5(unnest(toks)), 1, 8))::BIGINT % 64 AS b FROM t),
 cn AS (SELECT doc_id, b, count(*) AS c FROM bk GROUP BY ALL),
