@@ -37,7 +37,7 @@ class Model:
     def __setstate__(self, state):
         self.__dict__.update(state, make_predict=cloudpickle.loads(state["make_predict"]))
 
-    def vectors(self, texts: list[str]) -> dict[str, np.ndarray]:
+    def vectors_of(self, texts: list[str]) -> dict[str, np.ndarray]:
         if self.name not in _loaded:
             _loaded[self.name] = self.make_predict()
         own = list(dict.fromkeys(texts))
@@ -48,7 +48,7 @@ class Model:
         return out
 
     def vector(self, text, lookup=None):
-        return lookup[text] if lookup and text in lookup else self.vectors([text])[text]
+        return lookup[text] if lookup and text in lookup else self.vectors_of([text])[text]
 
 
 def register_model(name: str, make_predict: Callable, batch: int = BATCH) -> None:
