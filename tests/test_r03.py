@@ -2,14 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from quillmark.functions import fuzzy as FZ
 from quillmark.functions import text as T
 from quillmark.operators import features as G
 from quillmark.operators import pivots as P
 from quillmark.operators import retrieval as R
-from quillmark.plans import q_ops
 
 TEXT = "The cat sat. The dog, the cat and the bird sat here again, the cat sat."
 
@@ -21,12 +18,17 @@ def gram_sets(text):
 
 def documents(spark, path, parts):
     rows = [(k, f"{TEXT} number {k} of a few", "en", "web", 10) for k in range(6)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts).write.parquet(f"{path}/documents.parquet")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    if parts:
+        df.repartition(parts).write.parquet(f"{path}/documents.parquet")
+    else:
+        df.toPandas().to_parquet(f"{path}/documents.parquet")
 
 
+@pytest.mark.parametrize("parts", [0, 3])
 @pytest.mark.parametrize("query", ["stream", "stream_equals_batch"])
-def test_stream_reads_a_folder_of_files(spark, tmp_path, query):
-    documents(spark, tmp_path, 3)
+def test_stream_reads_a_file_or_a_folder_of_files(spark, tmp_path, query, parts):
+    documents(spark, tmp_path, parts)
     from __spark_entry__ import queries
     assert queries()[query](spark, str(tmp_path)).count() == (6 if query == "stream" else 0)
 
