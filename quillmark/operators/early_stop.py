@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sampling import u01
-from ..session import checkpoint_dir, cut_lineage
-from .models import assemble
+from ..session import checkpoint_dir
+from .models import fit_rows
 
 ROUNDS_SCHEMA = "round int, accuracy double, weights array<double>"
 
@@ -72,7 +72,7 @@ def train_mlp_early(train: DataFrame, names: list[str], label: str = "label", hi
                     share: float = 0.1, patience: int = 10, tol: float = 1e-4, seed: int = 42, key: str = "doc_id", folder: str | None = None) -> EarlyFit:
     spark = train.sparkSession
     folder = folder or os.path.join(checkpoint_dir(spark), "quillmark", f"rounds-{uuid.uuid4().hex}")
-    rows = cut_lineage(held_out(assemble(train.select(key, label, *names), names), share, seed, key).select("features", F.col(label).cast("double").alias(label), "held"))
+    rows = fit_rows(held_out(train.select(key, F.col(label).cast("double").alias(label), *names), share, seed, key), names, label, key, keep=["held"])
     n = {r["held"]: r["count"] for r in rows.groupBy("held").count().collect()}
     both = len(n) == 2
     fit_on, judge_on = (rows.where("not held"), rows.where("held")) if both else (rows, rows)

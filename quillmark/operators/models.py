@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sampling import hkey
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_rows
 from . import metrics as M
 from .corpus import dense_index
 from .split import standard_scale, stratified_split
@@ -22,20 +22,26 @@ def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFram
     return VectorAssembler(inputCols=names, outputCol=out, handleInvalid="error").transform(df)
 
 
-def train_gbt(train: DataFrame, names: list[str], label: str = "label", max_iter: int = 100, max_depth: int = 6, seed: int = 42):
+def fit_rows(train: DataFrame, names: list[str], label: str = "label", key: str = "doc_id", keep=()) -> DataFrame:
+    """The assembled rows, made once for all passes of a fit, in enough partitions."""
+    rows = cut_lineage(assemble(train, names).select(*([key] if key in train.columns else []), "features", label, *keep))
+    return spread_rows(rows, key).drop(key) if key in train.columns else rows
+
+
+def train_gbt(train: DataFrame, names: list[str], label: str = "label", max_iter: int = 100, max_depth: int = 6, seed: int = 42, key: str = "doc_id"):
     """I4: gradient-boosted trees (100 rounds of depth 6 unless told otherwise)."""
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth, seed=seed,
                         cacheNodeIds=True, maxMemoryInMB=512)
-    return gbt.fit(assemble(train, names))
+    return gbt.fit(fit_rows(train, names, label, key))
 
 
 def train_mlp(train: DataFrame, names: list[str], label: str = "label", hidden=(100, 50),
-              max_iter: int = 500, tol: float = 1e-4, seed: int = 42):
+              max_iter: int = 500, tol: float = 1e-4, seed: int = 42, key: str = "doc_id"):
     """Multilayer perceptron (sigmoid hidden layers, softmax output, L-BFGS): at most
     ``max_iter`` iterations, ended when the loss improves by less than ``tol``."""
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
                                          layers=[len(names), *hidden, 2], maxIter=max_iter, tol=tol, seed=seed)
-    return mlp.fit(assemble(train, names))
+    return mlp.fit(fit_rows(train, names, label, key))
 
 
 def predict(model, df: DataFrame, names: list[str], key: str = "doc_id", label: str = "label") -> DataFrame:
@@ -97,8 +103,8 @@ def cross_domain(df: DataFrame, names, train_domain: str, test_domains, seed: in
         samples = {d: seeded_sample(df.filter(F.col("domain") == d), max(1, int(0.2 * n)), seed, key) for d in domains}
         tr_s, _ = standard_scale(tr, tr.limit(0), use)
         tr_s = cut_lineage(tr_s.select(key, "label", *use))
-        models = (("gbt", train_gbt(tr_s, use, max_iter=10, max_depth=6, seed=seed)),
-                  ("mlp", train_mlp(tr_s, use, hidden=(10,), max_iter=1000, seed=seed)))
+        models = (("gbt", train_gbt(tr_s, use, max_iter=10, max_depth=6, seed=seed, key=key)),
+                  ("mlp", train_mlp(tr_s, use, hidden=(10,), max_iter=1000, seed=seed, key=key)))
         for d in domains:
             _, te_s = standard_scale(tr, samples[d], use)
             for name, model in models:
@@ -125,10 +131,10 @@ def per_domain_eval(df: DataFrame, names: list[str], seed: int = 42, key: str =
     for dom in trainable_domains(df):
         d = cut_lineage(stratified_split(df.filter(F.col("domain") == dom), "label", 0.2, seed, key))
         tr, te = d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
-        g = train_gbt(tr, names, seed=seed)
+        g = train_gbt(tr, names, seed=seed, key=key)
         n = tr.count()
         rows.append({"domain": dom, "model": "gbt", **evaluate(predict(g, te, names, key), n)})
         tr_s, te_s = standard_scale(tr, te, names)
-        m = train_mlp(tr_s, names, seed=seed)
+        m = train_mlp(tr_s, names, seed=seed, key=key)
         rows.append({"domain": dom, "model": "mlp", **evaluate(predict(m, te_s, names, key), n)})
     return rows
