@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_PATTERN, SENTENCE_TRIM
+from ..session import stored
 
 #: Trimmed off a token before its period is looked at.
 AROUND = "\"'()[]{}«»“”‘’„,;:!?"
@@ -47,16 +48,38 @@ def _type(token: Column) -> Column:
 def token_types(docs: DataFrame, text: str = "text") -> DataFrame:
     """``type, dot, before, dot_before``: every token that has a letter, with the token
     before it."""
-    toks = F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)
-    pairs = F.transform("t", lambda x, i: F.struct(x.alias("x"), F.try_element_at(F.col("t"), F.when(i > 0, i).otherwise(F.lit(None))).alias("p")))
-    x = docs.select(toks.alias("t")).where("t is not null").select(F.explode(pairs).alias("r"))
-    x = x.select(_type(F.col("r.x")).alias("type"), _dot(F.col("r.x")).alias("dot"), _type(F.col("r.p")).alias("before"), F.coalesce(_dot(F.col("r.p")), F.lit(False)).alias("dot_before"))
+    x = _tokens(docs, text).select(F.explode(_pairs()).alias("r"))
+    return _typed(x.select("r.x", "r.p"))
+
+
+def _tokens(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0).alias("t")).where("t is not null")
+
+
+def _pairs() -> Column:
+    return F.transform("t", lambda x, i: F.struct(x.alias("x"), F.try_element_at(F.col("t"), F.when(i > 0, i).otherwise(F.lit(None))).alias("p")))
+
+
+def _typed(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Types and periods of tokens ``x`` with the token ``p`` before."""
+    x = pairs.select(_type(F.col("x")).alias("type"), _dot(F.col("x")).alias("dot"), _type(F.col("p")).alias("before"), F.coalesce(_dot(F.col("p")), F.lit(False)).alias("dot_before"), *keep)
     return x.where(F.rlike("type", F.lit(r"\p{L}")))
 
 
+def different_tokens(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``token_types`` in two tables with the times ``c`` they occur, typed once a different
+    token and not once an occurrence: all tokens (``before`` left out), and those that
+    follow a period."""
+    every = _tokens(docs, text).select(F.explode("t").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    dotted = F.filter(_pairs(), lambda r: F.contains(r["p"], F.lit(".")))
+    after = _tokens(docs, text).select(F.explode(dotted).alias("r")).groupBy("r.x", "r.p").agg(F.count(F.lit(1)).alias("c"))
+    return _typed(every.withColumn("p", F.lit(None).cast("string")), "c"), _typed(after, "c").where("dot_before")
+
+
 def type_counts(tokens: DataFrame) -> DataFrame:
-    """``type, n, n_dot``."""
-    return tokens.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if("dot").alias("n_dot"))
+    """``type, n, n_dot`` of tokens, or of different ones that occur ``c`` times."""
+    c = F.col("c") if "c" in tokens.columns else F.lit(1)
+    return tokens.groupBy("type").agg(F.sum(c).alias("n"), F.sum(F.when(F.col("dot"), c).otherwise(0)).alias("n_dot"))
 
 
 def _part(k: Column, n: Column, p: Column) -> Column:
@@ -78,10 +101,17 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     return counts.where("n_dot > 0").select("type", score.alias("score")).where(F.col("score") >= ABBREVIATION)
 
 
+def _ends(short: list[str]) -> Column:
+    return F.col("dot_before") & ~F.array_contains(F.lit(short).cast("array<string>"), F.col("before")) & (F.length("before") > 1)
+
+
 def starters(tokens: DataFrame, short: list[str]) -> DataFrame:
     """``type, ratio`` of the types that start sentences."""
-    ends = F.col("dot_before") & ~F.array_contains(F.lit(short).cast("array<string>"), F.col("before")) & (F.length("before") > 1)
-    counts = tokens.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(ends).alias("n_after"))
+    return _starters(tokens.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(_ends(short)).alias("n_after")))
+
+
+def _starters(counts: DataFrame) -> DataFrame:
+    """The same of ``type, n, n_after``."""
     total = counts.select(F.sum("n")).scalar().cast("double")
     breaks = counts.select(F.sum("n_after")).scalar().cast("double")
     n, k = F.col("n").cast("double"), F.col("n_after").cast("double")
@@ -99,26 +129,32 @@ class Splitter:
 
     def __call__(self, text) -> Column:
         t = F.col(text) if isinstance(text, str) else text
-        short, start = (F.lit(x).cast("array<string>") for x in (self.abbreviations, self.starters))
+        white = F.lit(SENTENCE_TRIM)
 
         def goes_on(part: Column, following: Column) -> Column:
-            last = F.regexp_extract(F.rtrim(part, F.lit(SENTENCE_TRIM)), TOKEN + "$", 0)
+            last = F.substring_index(F.translate(F.rtrim(part, white), SENTENCE_TRIM, " " * len(SENTENCE_TRIM)), " ", -1)
             first = _type(F.regexp_extract(following, TOKEN, 0))
             kind = _type(last)
-            stop = _dot(last) & (F.array_contains(short, kind) | F.rlike(kind, F.lit(r"^\p{L}$")))
-            return following.isNotNull() & stop & ~F.array_contains(start, first)
+            stop = _dot(last) & (kind.isin(self.abbreviations) | F.rlike(kind, F.lit(r"^\p{L}$")))  # sets, not lists to go through
+            return following.isNotNull() & stop & ~first.isin(self.starters)
+
+        def mark(parts: Column) -> Column:
+            return F.transform(parts, lambda p, i: F.concat(p, F.when(F.coalesce(goes_on(p, F.try_element_at(parts, i + 2)), F.lit(False)), "").otherwise(MARK)))
 
-        parts = F.regexp_extract_all(t, F.lit(SENTENCE_PATTERN), 0)
-        marked = F.transform(parts, lambda p, i: F.concat(p, F.when(F.coalesce(goes_on(p, F.try_element_at(parts, i + 2)), F.lit(False)), "").otherwise(MARK)))
+        # bound once as a lambda variable: every part would otherwise find all parts again
+        marked = F.get(F.transform(F.array(F.regexp_extract_all(t, F.lit(SENTENCE_PATTERN), 0)), mark), 0)
         whole = F.split(F.array_join(marked, ""), MARK)
         return F.filter(F.transform(whole, lambda s: F.btrim(s, F.lit(SENTENCE_TRIM))), lambda s: s != F.lit(""))
 
 
 def learn(docs: DataFrame, text: str = "text", most: int = MOST) -> Splitter:
     """A splitter from the counts of all texts."""
-    tokens = token_types(docs, text)
-    short = [r["type"] for r in abbreviations(type_counts(tokens)).orderBy(F.desc("score"), "type").limit(most).collect()]
-    start = [r["type"] for r in starters(tokens, short).orderBy(F.desc("ratio"), "type").limit(most).collect()]
+    every, after = different_tokens(docs, text)
+    counts, after = stored(type_counts(every)), stored(after)  # as many rows as there are types and pairs
+    short = [r["type"] for r in abbreviations(counts).orderBy(F.desc("score"), "type").limit(most).collect()]
+    n_after = after.where(_ends(short)).groupBy("type").agg(F.sum("c").alias("n_after"))
+    found = counts.join(n_after, "type", "left").select("type", "n", F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
+    start = [r["type"] for r in _starters(found).orderBy(F.desc("ratio"), "type").limit(most).collect()]
     return Splitter(short, start)
 
 
