@@ -3,9 +3,10 @@
 Words are alike if they stand next to the same words.  A word's vector holds, for the words
 seen up to ``window`` places to its left and, apart from them, to its right, hashed into
 ``dim`` buckets a side, the positive pointwise mutual information between the word and the
-bucket.  Pairs of neighbours are counted in one aggregate with map-side combine; only words
-of the vocabulary keep rows, so a word has at most ``2 * dim`` of them and the hottest word
-is as cheap as any.  The nearest other word comes from the exact pivot search, and it is a
+bucket.  A task knows the vocabulary and adds the pairs of neighbours of its texts to one
+matrix of counts, whose rows are then summed (a vocabulary above ``MOST_WORDS`` is joined to
+the pairs instead); only words of the vocabulary keep rows, so a word has at most
+``2 * dim`` of them and the hottest word is as cheap as any.  The nearest other word comes from the exact pivot search, and it is a
 near-synonym only if its cosine similarity reaches the floor.
 
 Defined results: null and empty texts add nothing; a word that occurs alone in every text has
@@ -13,6 +14,11 @@ no vector and no synonym; ties go to the smaller word; repeated vocabulary words
 
 from __future__ import annotations
 
+from hashlib import md5
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,9 @@ FLOOR = 0.5
 #: Cells of the search.  Context vectors hardly cluster, so a word must look into nearly all
 #: cells, and each costs it a copy of its vector; the cells' own blocks bound a task's work.
 PIVOTS = 4
+#: The largest vocabulary that the tasks get, and terms whose pairs are counted at a time.
+MOST_WORDS = 20_000
+CHUNK = 500_000
 
 
 def context_pairs(text, window: int = WINDOW, dim: int = DIM, seed=5) -> Column:
@@ -49,11 +58,73 @@ def context_pairs(text, window: int = WINDOW, dim: int = DIM, seed=5) -> Column:
     return F.flatten(F.transform(F.array(marked), pairs))
 
 
+class _Places(dict):
+    """Lower-cased word -> a number for each of its terms: the term's row of counts (the one
+    after the last for terms outside the vocabulary) times ``dim``, and its bucket."""
+
+    def __init__(self, row: dict[str, int], dim: int, seed):
+        self.row, self.dim, self.seed, self.of = row, dim, seed, TF.WordTerms().of
+
+    def __missing__(self, word: str) -> tuple:
+        found = tuple(self.row.get(t, len(self.row)) * self.dim
+                      + int.from_bytes(md5(f"{self.seed}-{t}".encode()).digest()[:4], "big") % self.dim for t in self.of(word))
+        if len(word) <= TF.KNOWN_CHARS:
+            if len(self) >= TF.KNOWN_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def _counted_pairs(docs: DataFrame, vocabulary: list[str], window: int, dim: int, seed, text: str) -> DataFrame:
+    """``term, bucket, c``: how often the buckets stand next to the terms of ``vocabulary``; a
+    task sends at most ``2 * dim`` rows per term."""
+    terms = sorted(vocabulary)
+    bound = docs.sparkSession.sparkContext.broadcast(terms)
+    width = 2 * dim
+
+    def run(batches):
+        words = bound.value
+        places = _Places({t: i for i, t in enumerate(words)}, dim, seed)
+        counts = np.zeros((len(words) + 1) * width, np.int64)
+        apart = (-1,) * window  # no pair reaches over the end of a text
+
+        def add(held: list) -> None:
+            at = np.fromiter(chain.from_iterable(held), np.int64)
+            row, bucket = np.divmod(at, dim)
+            for d in range(1, window + 1):
+                pair = (at[:-d] >= 0) & (at[d:] >= 0)
+                for term, other in ((row[:-d], bucket[d:] + dim), (row[d:], bucket[:-d])):
+                    counts[:] += np.bincount((term * width + other)[pair], minlength=len(counts))
+
+        held: list = []
+        n = 0
+        for b in batches:
+            for value in b.column(0):
+                found = [*chain.from_iterable(map(places.__getitem__, value.as_py().split()))]
+                held += [found, apart]
+                n += len(found)
+                if n >= CHUNK:
+                    add(held)
+                    held, n = [], 0
+        add(held)
+        at = np.flatnonzero(counts[:len(words) * width])
+        for i in range(0, len(at), CHUNK):
+            some = at[i:i + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(some // width)), pa.array((some % width).astype("int32")), pa.array(counts[some])], ["term", "bucket", "c"])
+
+    lowered = docs.select(F.lower(F.col(text)).alias("text")).where("text is not null")
+    return lowered.mapInArrow(run, "term string, bucket int, c long").groupBy("term", "bucket").agg(F.sum("c").alias("c"))
+
+
 def context_vectors(docs: DataFrame, vocabulary: DataFrame, window: int = WINDOW, dim: int = DIM, seed=5, text: str = "text") -> DataFrame:
     """``(word, emb array<double> of 2 * dim)`` for the words of ``vocabulary (term)``."""
-    seen = docs.select(F.explode(context_pairs(text, window, dim, seed)).alias("p")).select("p.term", "p.bucket")
-    known = vocabulary.where("term is not null").select("term").distinct()
-    counts = stored(seen.groupBy("term", "bucket").agg(F.count(F.lit(1)).alias("c")).join(known, "term"))
+    known = stored(vocabulary.where("term is not null").select("term").distinct())
+    few = [r["term"] for r in known.limit(MOST_WORDS + 1).collect()]
+    if len(few) <= MOST_WORDS:
+        counts = stored(_counted_pairs(docs, few, window, dim, seed, text))
+    else:
+        seen = docs.select(F.explode(context_pairs(text, window, dim, seed)).alias("p")).select("p.term", "p.bucket")
+        counts = stored(seen.groupBy("term", "bucket").agg(F.count(F.lit(1)).alias("c")).join(known, "term"))
     of_term = counts.groupBy("term").agg(F.sum("c").alias("cw"), F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("m"))  # at most 2 * dim entries
     of_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("cb"))  # at most 2 * dim rows
     shared = of_bucket.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cb"))).alias("cb"), F.sum("cb").alias("n")).select(F.struct("*")).scalar()

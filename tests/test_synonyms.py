@@ -56,6 +56,22 @@ def test_vectors_and_neighbours_equal_plain_python(spark):
     assert near and all(s >= 0.3 for _, s in near.values())
 
 
+def test_pairs_are_counted_in_matrices_and_equal_the_joined_ones(spark, monkeypatch):
+    odd = ["Red, red-blue\u00a0car_1 2x x", "ΣΑΣ σας ΣΑΣ", "\n\t", "a\x1cred\x85van"] + TEXTS
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(3)
+    vocabulary = spark.createDataFrame([(w,) for w in ("red", "blue", "car_1", "2x", "σας", "van", "drove", "red", "unseen", None)], "term string")
+    monkeypatch.setattr(SY, "CHUNK", 3)
+    asked = []
+    pairs = SY.context_pairs
+    monkeypatch.setattr(SY, "context_pairs", lambda *a: asked.append(a) or pairs(*a))
+    one = {r.word: r.emb for r in SY.context_vectors(docs, vocabulary, dim=8).collect()}
+    assert not asked  # no row per pair of neighbours
+    monkeypatch.setattr(SY, "MOST_WORDS", 2)
+    two = {r.word: r.emb for r in SY.context_vectors(docs, vocabulary, dim=8).collect()}
+    assert asked and one.keys() == two.keys() and {"red", "car_1", "σας"} <= one.keys()
+    assert all(np.allclose(one[w], two[w], atol=1e-12) for w in two)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     vectors = SY.context_vectors(docs, spark.createDataFrame([], "term string"))
