@@ -3,18 +3,25 @@ character perturbations.
 
 Every random choice is md5(seed, record, position) (see ``functions.sampling``), so the
 output is the same whatever the partitioning or task retries.  Mixing and perturbation
-are row-local array expressions over a record's sentences: the text is never shuffled.
-A synonym table of at most ``MAX_SYNONYM_MAP`` words is attached as one array of small
-maps that a word's hash points into (a scalar subquery); from a larger one every record
-gets the words it needs through a join."""
+are row-local over a record's sentences: the text is never shuffled.  Perturbed columns of
+registered queries come from ``edited``, which draws once a word in an Arrow function; the
+``perturb_*_expr`` are the same edits as array expressions, for any sentence splitter and
+any synonyms.  A synonym table of at most ``MAX_SYNONYM_MAP`` words goes to the tasks; in
+expressions it is one array of small maps that a word's hash points into (a scalar
+subquery), and from a larger one every record gets the words it needs through a join."""
 
 from __future__ import annotations
 
+import math
+import re
+from hashlib import md5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sampling import h32, hkey, u01
-from ..functions.text import sentences, words
+from ..functions.text import SENTENCE_TRIM, sentences, words
 from .sentences import Split
 from .corpus import dense_index
 
@@ -181,6 +188,103 @@ def perturb_mixed_expr(text, key, syn, share: float = 0.1, seed=17, split: Split
     return map_sentences(t2, per_sentence, split)
 
 
+_END = re.compile(r"[.!?][ \t\n\r\f\x0b]+")
+_NUMBERS = [str(i).encode() for i in range(4096)]
+_ROTATE = str.maketrans(ALPHABET, ROTATED)
+_LOOK = str.maketrans(LOOKALIKE_FROM, LOOKALIKE_TO)
+
+
+def cut_sentences(text: str) -> list[str]:
+    """``functions.text.sentences`` of one text."""
+    out, start = [], 0
+    for m in _END.finditer(text):
+        if m.start() > start:  # a sentence is more than its terminators
+            out.append(text[start:m.end()])
+            start = m.end()
+    out.append(text[start:])
+    return [s for s in (x.strip(SENTENCE_TRIM) for x in out) if s]
+
+
+def _draw(message: bytes) -> int:
+    return int.from_bytes(md5(message).digest()[:4], "big")
+
+
+def edit_word(kind: str, w: str, head: bytes, known: dict) -> str:
+    """One edit of a chosen word: ``words`` (synonym), ``chars`` (``char_edit``), ``look``
+    (look-alikes) or ``space`` (``space_insert``); ``head`` names its seed and place."""
+    if kind == "words":
+        return known.get(w.lower(), w)
+    if kind == "look":
+        return w.translate(_LOOK)
+    n = len(w)
+    if kind == "space":
+        k = _draw(head + b"-sp") % max(n - 1, 1) + 1
+        return f"{w[:k]} {w[k:]}" if n >= 2 else w
+    op, k = _draw(head + b"-op") % 4, _draw(head + b"-k")
+    if op < 2 and n < 2:
+        return w
+    if op == 0:
+        k = k % (n - 1)
+        return w[:k] + w[k + 1] + w[k] + w[k + 2:]
+    k %= n
+    return w[:k] + ("" if op == 1 else w[k] * 2 if op == 2 else w[k].translate(_ROTATE)) + w[k + 1:]
+
+
+def edit_text(text: str, key: str | None, steps, known: dict, share: float) -> str:
+    """The text after ``steps``; sentences are found again before each, and a step's edits
+    ``(kind, seed)`` are made in order, each on its own seeded share of words."""
+    first = math.ceil(share * 2 ** 32)  # the least draw that is not chosen
+    limit = min(max(first, 0), 2 ** 32 - 1).to_bytes(4, "big") if first < 2 ** 32 else b"\xff" * 17
+    of = "" if key is None else f"{key}-"
+    for edits in steps:
+        out = []
+        for si, sentence in enumerate(cut_sentences(text)):
+            w = sentence.split()
+            while len(w) > len(_NUMBERS):
+                _NUMBERS.append(str(len(_NUMBERS)).encode())
+            for kind, seed in edits:
+                head = f"{seed}-{of}{si}-".encode()
+                for i in [i for i, x in enumerate(_NUMBERS[:len(w)]) if md5(head + x).digest() < limit]:
+                    w[i] = edit_word(kind, w[i], head + _NUMBERS[i], known)
+            out.append(" ".join(w))
+        text = " ".join(out)
+    return text
+
+
+def words_step(seed=11) -> list:
+    return [[("words", seed)]]
+
+
+def chars_step(seed=13) -> list:
+    return [[("chars", seed)]]
+
+
+def mixed_steps(seed=17, spaces: bool = False) -> list:
+    """H5: the steps of ``perturb_mixed_expr``."""
+    return [[("words", seed)], [("chars", seed + 1)], [("look", seed + 2), *[("space", seed + 3)] * spaces]]
+
+
+def known_synonyms(synonyms: DataFrame, limit: int | None = None):
+    """``word -> replacement`` (of several the first in order) for the tasks, or None if
+    there are more than ``limit`` words."""
+    limit = MAX_SYNONYM_MAP if limit is None else limit
+    one = synonyms.where("word is not null and repl is not null").groupBy("word").agg(F.min("repl").alias("repl"))
+    rows = one.limit(limit + 1).collect()
+    return None if len(rows) > limit else synonyms.sparkSession.sparkContext.broadcast({r["word"]: r["repl"] for r in rows})
+
+
+def edited(text, key, steps, known=None, share: float = 0.1) -> Column:
+    """The text after ``steps`` (see ``edit_text``), with ``known_synonyms`` for those of
+    kind ``words``."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        table = known.value if known else {}
+        return pd.Series([edit_text(t, k if isinstance(k, str) else None, steps, table, share) if isinstance(t, str) else None
+                          for t, k in zip(texts, keys)], dtype=object)
+
+    return run(F.col(text), F.col(key).cast("string"))
+
+
 def with_synonyms(df: DataFrame, synonyms: DataFrame, key: str = "doc_id", text: str = "text",
                   limit: int | None = None) -> DataFrame:
     """Attach the synonyms of a record's words as column ``_syn``: the whole map if the
@@ -198,7 +302,12 @@ def with_synonyms(df: DataFrame, synonyms: DataFrame, key: str = "doc_id", text:
 
 def with_perturbations(df: DataFrame, synonyms: DataFrame, share: float = 0.1, key: str = "doc_id") -> DataFrame:
     """H7: the three perturbed texts as extra columns; empty texts are skipped."""
-    x, syn = hashed_lookup(df.filter(F.col("text").isNotNull() & (F.trim("text") != "")), synonyms, key)
+    x = df.filter(F.col("text").isNotNull() & (F.trim("text") != ""))
+    known = known_synonyms(synonyms)
+    if known is not None:
+        return x.select(*df.columns, *[edited("text", key, steps, known, share).alias(f"perturb_{name}") for name, steps in (
+            ("words", words_step()), ("chars", chars_step()), ("mixed", mixed_steps()))])
+    x, syn = hashed_lookup(x, synonyms, key)
     return x.select(*df.columns,
                     perturb_words_expr("text", key, syn, share).alias("perturb_words"),
                     perturb_chars_expr("text", key, share).alias("perturb_chars"),

@@ -8,7 +8,7 @@ from ..operators import robust as H
 from ..operators import synonyms as SY
 from ..operators import tfidf as TF
 from ..operators.variants import RULES, promote_variant, rule_variants
-from ..session import spread, stored
+from ..session import spread
 from ..sources.tables import corpus, source_from_quality, table
 from . import sqlfrag as S
 from .q_corpus import CORPUS_SQL
@@ -59,7 +59,7 @@ def q_combine(spark, sf_dir):
 
 
 def _synonyms(spark, sf_dir):
-    voc = TF.tfidf_fit(table(spark, sf_dir, "documents").select("doc_id", "text"), 5000)
+    voc = TF.tfidf_fit(_docs(spark, sf_dir), 5000)
     return H.vocabulary_synonyms(voc)
 
 
@@ -118,24 +118,21 @@ def _mixed_sql(src: str, tag: str, seed: int = 17) -> str:
 
 @register("perturb_words", "H3+H6", _perturb_sql("words", 11))
 def q_perturb_words(spark, sf_dir):
-    d, syn = H.hashed_lookup(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
-    t = H.perturb_words_expr("text", "doc_id", syn, 0.1, 11)
-    return _digest(d.select("doc_id", t.alias("text")))
+    t = H.edited("text", "doc_id", H.words_step(11), H.known_synonyms(_synonyms(spark, sf_dir)))
+    return _digest(_docs(spark, sf_dir).select("doc_id", t.alias("text")))
 
 
 @register("perturb_chars", "H4+H6", _perturb_sql("chars", 13))
 def q_perturb_chars(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    t = H.perturb_chars_expr("text", "doc_id", 0.1, 13)
-    return _digest(d.select("doc_id", t.alias("text")))
+    t = H.edited("text", "doc_id", H.chars_step(13))
+    return _digest(_docs(spark, sf_dir).select("doc_id", t.alias("text")))
 
 
 @register("perturb_mixed", "H5", f"WITH {SYN_SQL}, {_mixed_sql('documents', 'm')} "
           "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM t_m3")
 def q_perturb_mixed(spark, sf_dir):
-    d, syn = H.hashed_lookup(_docs(spark, sf_dir), _synonyms(spark, sf_dir))
-    t = H.perturb_mixed_expr("text", "doc_id", syn, 0.1, 17)
-    return _digest(d.select("doc_id", t.alias("text")))
+    t = H.edited("text", "doc_id", H.mixed_steps(17), H.known_synonyms(_synonyms(spark, sf_dir)))
+    return _digest(_docs(spark, sf_dir).select("doc_id", t.alias("text")))
 
 
 DIM, SEED_CONTEXT = SY.DIM, 5
@@ -170,9 +167,8 @@ def q_near_synonyms(spark, sf_dir):
           "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM t_n4")
 def q_perturb_near(spark, sf_dir):
     """Near-synonyms, character edits, look-alikes and inserted spaces."""
-    d, syn = H.hashed_lookup(_docs(spark, sf_dir), stored(_near(spark, sf_dir)))
-    t = H.perturb_mixed_expr("text", "doc_id", syn, 0.1, 19, spaces=True)
-    return _digest(d.select("doc_id", t.alias("text")))
+    t = H.edited("text", "doc_id", H.mixed_steps(19, spaces=True), H.known_synonyms(_near(spark, sf_dir)))
+    return _digest(_docs(spark, sf_dir).select("doc_id", t.alias("text")))
 
 
 def _digest(d):

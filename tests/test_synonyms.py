@@ -95,3 +95,38 @@ def test_space_insertion_only_adds_spaces_inside_words(spark):
     df = spark.range(40).select("id", F.lit("a word inside").alias("text"))
     for r in df.select("text", H.map_sentences("text", lambda s, si: F.array_join(F.transform(F.split(s, " "), lambda x, wi: H.space_insert(x, "id", si, wi, 3)), " ")).alias("t")).collect():
         assert r.t.replace(" ", "") == "awordinside" and len(r.t.split(" ")) == 5
+
+
+ODD = ["One. Two!  Three?\nfour... five", ". start. !!! x", "a.\u00a0b. c", "...", "   ", "", None, "x", "no end", "tail. ", "Pi is 3.14 e.g. this\x1cthat.", "\u00a0. \u2003", "ΣΑΣ İstanbul 𝒳𝒴 é. Ok!?", "red " * 300 + "car. " * 40]
+
+
+def test_sentences_of_a_text_equal_the_expression(spark):
+    from quillmark.functions.text import sentences
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    for r in df.select("text", sentences("text").alias("s")).where("text is not null").collect():
+        assert H.cut_sentences(r.text) == r.s, r.text
+
+
+def test_edits_of_words_equal_the_expressions(spark):
+    keys = [*range(len(ODD) - 1), None]
+    df = spark.createDataFrame(list(zip(keys, ODD)), "doc_id long, text string")
+    syn = spark.createDataFrame([("red", "blue"), ("red", "azure"), ("car", "cart"), ("five", "sechs"), (None, "x"), ("two", None)], "word string, repl string")
+    x, find = H.hashed_lookup(df, syn)
+    known = H.known_synonyms(syn)
+    for share in (0.1, 0.5, 1.0, 0.0):
+        pairs = {"w": (H.perturb_words_expr("text", "doc_id", find, share, 11), H.words_step(11)), "c": (H.perturb_chars_expr("text", "doc_id", share, 13), H.chars_step(13)),
+                 "m": (H.perturb_mixed_expr("text", "doc_id", find, share, 17), H.mixed_steps(17)), "s": (H.perturb_mixed_expr("text", "doc_id", find, share, 19, spaces=True), H.mixed_steps(19, True))}
+        for name, (expr, steps) in pairs.items():
+            for r in x.select("text", expr.alias("a"), H.edited("text", "doc_id", steps, known, share).alias("b")).collect():
+                assert r.a == r.b, (name, share, r.text)
+
+
+def test_perturbed_columns_draw_in_tasks_and_large_tables_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, "human") for i, t in enumerate(ODD)], "doc_id long, text string, source string")
+    syn = spark.createDataFrame([("red", "azure"), ("car", "cart"), ("two", "zwei")], "word string, repl string")
+    one = H.with_perturbations(df, syn, 0.5)
+    assert "ArrowEvalPython" in one._jdf.queryExecution().executedPlan().toString()
+    want = {r.doc_id: r for r in one.collect()}
+    monkeypatch.setattr(H, "MAX_SYNONYM_MAP", 1)
+    two = {r.doc_id: r for r in H.with_perturbations(df, syn, 0.5).collect()}
+    assert want == two and len(want) == sum(t is not None and t.strip(" ") != "" for t in ODD)
