@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,21 +48,17 @@ def _lowered(docs: DataFrame, text: str) -> DataFrame:
 
 
 def summary(docs: DataFrame, capacity: int, text: str = "text") -> DataFrame:
-    """``term, low``: merged counters; the null term holds ``lost``.  Words are counted first
-    and their terms when the words of some texts are many."""
+    """``term, low``: merged counters; the null term holds ``lost``.  Terms are counted by
+    slices of texts and added to the summary, cut back when its terms are many."""
     def run(batches):
         counts: Counter = Counter()
         lost = 0
-        of = TF.WordTerms().counts
-        words: Counter = Counter()
         for b in batches:
-            for value in b.column(0):
-                words.update(value.as_py().split())
-                if len(words) > 4 * capacity:
-                    counts.update(of(words))
-                    words.clear()
+            for some in TF.slices(b.column(0)):
+                terms, at, _ = TF.numbered_terms(some)
+                counts.update(dict(zip(terms.to_pylist(), np.bincount(at, minlength=len(terms)).tolist())))
+                if len(counts) > 4 * capacity:
                     lost += cut_back(counts, capacity)
-        counts.update(of(words))
         lost += cut_back(counts, capacity)
         yield pa.RecordBatch.from_arrays([pa.array([*counts.keys(), None], pa.string()), pa.array([*counts.values(), lost], pa.int64())], ["term", "low"])
 
@@ -71,16 +68,21 @@ def summary(docs: DataFrame, capacity: int, text: str = "text") -> DataFrame:
 def counted(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """``term, cnt, df`` of the given terms: occurrences and texts, in one pass; a task
     sends at most one row per term."""
-    bound = docs.sparkSession.sparkContext.broadcast(set(terms))
+    bound = docs.sparkSession.sparkContext.broadcast(list(terms))
 
     def run(batches):
-        of, cnt, df = TF.WordTerms(bound.value).counts, Counter(), Counter()
+        given = pa.array(bound.value, pa.string())
+        cnt, df = np.zeros(len(given), np.int64), np.zeros(len(given), np.int64)
         for b in batches:
-            for value in b.column(0):
-                for term, n in of(Counter(value.as_py().split())).items():
-                    cnt[term] += n
-                    df[term] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(cnt.keys(), pa.string()), pa.array(cnt.values(), pa.int64()), pa.array([df[t] for t in cnt], pa.int64())], ["term", "cnt", "df"])
+            for some in TF.slices(b.column(0)):
+                found, at, owner = TF.numbered_terms(some)
+                place = TF.places(found, given)[at]
+                place, owner = place[place >= 0], owner[place >= 0]
+                cnt += np.bincount(place, minlength=len(given))
+                once = np.unique(owner.astype(np.int64) * len(given) + place) % max(len(given), 1)
+                df += np.bincount(once, minlength=len(given))
+        held = np.flatnonzero(cnt)
+        yield pa.RecordBatch.from_arrays([given.take(pa.array(held)), pa.array(cnt[held]), pa.array(df[held])], ["term", "cnt", "df"])
 
     return _lowered(docs, text).mapInArrow(run, "term string, cnt long, df long").groupBy("term").agg(F.sum("cnt").alias("cnt"), F.sum("df").alias("df"))
 

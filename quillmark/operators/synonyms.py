@@ -15,7 +15,6 @@ no vector and no synonym; ties go to the smaller word; repeated vocabulary words
 from __future__ import annotations
 
 from hashlib import md5
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ FLOOR = 0.5
 #: Cells of the search.  Context vectors hardly cluster, so a word must look into nearly all
 #: cells, and each costs it a copy of its vector; the cells' own blocks bound a task's work.
 PIVOTS = 4
-#: The largest vocabulary that the tasks get, and terms whose pairs are counted at a time.
+#: The largest vocabulary that the tasks get, and counts that a task sends at a time.
 MOST_WORDS = 20_000
 CHUNK = 500_000
 
@@ -58,59 +57,28 @@ def context_pairs(text, window: int = WINDOW, dim: int = DIM, seed=5) -> Column:
     return F.flatten(F.transform(F.array(marked), pairs))
 
 
-class _Places(dict):
-    """Lower-cased word -> a number for each of its terms: the term's row of counts (the one
-    after the last for terms outside the vocabulary) times ``dim``, and its bucket."""
-
-    def __init__(self, row: dict[str, int], dim: int, seed):
-        self.row, self.dim, self.seed, self.of = row, dim, seed, TF.WordTerms().of
-
-    def __missing__(self, word: str) -> tuple:
-        found = tuple(self.row.get(t, len(self.row)) * self.dim
-                      + int.from_bytes(md5(f"{self.seed}-{t}".encode()).digest()[:4], "big") % self.dim for t in self.of(word))
-        if len(word) <= TF.KNOWN_CHARS:
-            if len(self) >= TF.KNOWN_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
 def _counted_pairs(docs: DataFrame, vocabulary: list[str], window: int, dim: int, seed, text: str) -> DataFrame:
     """``term, bucket, c``: how often the buckets stand next to the terms of ``vocabulary``; a
     task sends at most ``2 * dim`` rows per term."""
-    terms = sorted(vocabulary)
-    bound = docs.sparkSession.sparkContext.broadcast(terms)
+    bound = docs.sparkSession.sparkContext.broadcast(sorted(vocabulary))
     width = 2 * dim
 
     def run(batches):
-        words = bound.value
-        places = _Places({t: i for i, t in enumerate(words)}, dim, seed)
-        counts = np.zeros((len(words) + 1) * width, np.int64)
-        apart = (-1,) * window  # no pair reaches over the end of a text
-
-        def add(held: list) -> None:
-            at = np.fromiter(chain.from_iterable(held), np.int64)
-            row, bucket = np.divmod(at, dim)
-            for d in range(1, window + 1):
-                pair = (at[:-d] >= 0) & (at[d:] >= 0)
-                for term, other in ((row[:-d], bucket[d:] + dim), (row[d:], bucket[:-d])):
-                    counts[:] += np.bincount((term * width + other)[pair], minlength=len(counts))
-
-        held: list = []
-        n = 0
+        words = pa.array(bound.value, pa.string())
+        counts = np.zeros(len(words) * width, np.int64)
         for b in batches:
-            for value in b.column(0):
-                found = [*chain.from_iterable(map(places.__getitem__, value.as_py().split()))]
-                held += [found, apart]
-                n += len(found)
-                if n >= CHUNK:
-                    add(held)
-                    held, n = [], 0
-        add(held)
-        at = np.flatnonzero(counts[:len(words) * width])
+            for some in TF.slices(b.column(0)):
+                terms, at, owner = TF.numbered_terms(some)
+                buckets = np.array([int.from_bytes(md5(f"{seed}-{t}".encode()).digest()[:4], "big") % dim for t in terms.to_pylist()], np.int64)
+                row, bucket = TF.places(terms, words).astype(np.int64)[at], buckets[at]
+                for d in range(1, window + 1):
+                    near = owner[:-d] == owner[d:]  # no pair reaches over the end of a text
+                    for term, other in ((row[:-d], bucket[d:] + dim), (row[d:], bucket[:-d])):
+                        counts += np.bincount((term * width + other)[near & (term >= 0)], minlength=len(counts))
+        at = np.flatnonzero(counts)
         for i in range(0, len(at), CHUNK):
             some = at[i:i + CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(some // width)), pa.array((some % width).astype("int32")), pa.array(counts[some])], ["term", "bucket", "c"])
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(some // width)), pa.array((some % width).astype("int32")), pa.array(counts[some])], ["term", "bucket", "c"])
 
     lowered = docs.select(F.lower(F.col(text)).alias("text")).where("text is not null")
     return lowered.mapInArrow(run, "term string, bucket int, c long").groupBy("term", "bucket").agg(F.sum("c").alias("c"))

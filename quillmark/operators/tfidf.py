@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +62,52 @@ class WordTerms:
         return out
 
 
+#: A word of ASCII characters with one run of word characters, which is its only term.
+_ONE_TERM = r"^[^A-Za-z0-9_]*(?P<t>[A-Za-z0-9_]{2,})[^A-Za-z0-9_]*$"
+#: Bytes of text whose words are numbered at a time.
+SLICE = 32 << 20
+
+
+def slices(texts: pa.Array):
+    """Runs of texts of about ``SLICE`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + SLICE, side="right")))
+        yield texts.slice(start, end - start).cast(pa.string())  # not the large kind
+        start = end
+
+
+def numbered_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms of lower-cased texts and, for every occurrence in order, the number of
+    its term and of its text.  White space is in no term, so words are told apart first and
+    the terms of each distinct word found once."""
+    split = pc.utf8_split_whitespace(texts)
+    owner = pc.list_parent_indices(split).to_numpy()
+    coded = split.flatten().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy()
+    one = pc.if_else(pc.string_is_ascii(words), pc.struct_field(pc.extract_regex(words, _ONE_TERM), "t"), pa.scalar(None, pa.string()))
+    simple = one.is_valid().to_numpy(zero_copy_only=False)
+    other = [_TERM.findall(w) for w in words.filter(one.is_null()).to_pylist()]
+    size = np.ones(len(words), np.int64)
+    size[~simple] = np.fromiter(map(len, other), np.int64, len(other))
+    start = np.zeros(len(words), np.int64)  # where a word's terms begin, those of simple words first
+    n = int(simple.sum())
+    start[simple] = np.arange(n)
+    start[~simple] = n + np.cumsum(size[~simple]) - size[~simple]
+    found = pa.concat_arrays([one.drop_null(), pa.array(list(chain.from_iterable(other)), pa.string())]).dictionary_encode()
+    each = size[code]
+    word = np.repeat(np.arange(len(code)), each)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(each) - each, each)
+    return found.dictionary, found.indices.to_numpy()[start[code[word]] + nth], owner[word]
+
+
+def places(terms: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each term stands in ``among``, -1 for those that do not."""
+    return pc.fill_null(pc.index_in(terms, value_set=among), -1).to_numpy(zero_copy_only=False)
+
+
 def terms(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.lower(t), F.lit(TERM_PATTERN), 0)

@@ -5,10 +5,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmark.operators import robust as H
 from quillmark.operators import synonyms as SY
+from quillmark.operators import tfidf as TF
 
 TEXTS = ["the red car drove fast down the road", "the blue car drove slow down the road", "a red van drove fast", "a blue van drove slow today",
          "cats drink warm milk daily", "dogs drink cold milk daily", "cats like fish", "dogs like meat", "", None, "alone", "red red red red"]
@@ -61,6 +63,7 @@ def test_pairs_are_counted_in_matrices_and_equal_the_joined_ones(spark, monkeypa
     docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(3)
     vocabulary = spark.createDataFrame([(w,) for w in ("red", "blue", "car_1", "2x", "σας", "van", "drove", "red", "unseen", None)], "term string")
     monkeypatch.setattr(SY, "CHUNK", 3)
+    monkeypatch.setattr(SY.TF, "SLICE", 40)
     asked = []
     pairs = SY.context_pairs
     monkeypatch.setattr(SY, "context_pairs", lambda *a: asked.append(a) or pairs(*a))
@@ -72,6 +75,19 @@ def test_pairs_are_counted_in_matrices_and_equal_the_joined_ones(spark, monkeypa
     assert all(np.allclose(one[w], two[w], atol=1e-12) for w in two)
 
 
+def test_numbered_terms_equal_the_pattern(monkeypatch):
+    texts = ["red, red-blue\u00a0car_1 2x x", "σας éa,b \U0001d4b3\U0001d4b4 ½½ _ __ a_", "", None, " \n", "x,y", "a\x1cred\x85van (van)", "don't 3.14 e.g. it's-me"]
+    want = [(i, w) for i, t in enumerate(texts) for w in TF._TERM.findall(t or "")]
+    terms, at, owner = TF.numbered_terms(pa.array(texts, pa.string()))
+    assert list(zip(owner.tolist(), terms.take(pa.array(at)).to_pylist())) == want and len(set(terms.to_pylist())) == len(terms)
+    terms, at, owner = TF.numbered_terms(pa.array([], pa.string()))
+    assert len(terms) == len(at) == len(owner) == 0
+    for size in (1, 10, 10 ** 6):
+        monkeypatch.setattr(TF, "SLICE", size)
+        assert [x for s in TF.slices(pa.array(texts, pa.string())) for x in s.to_pylist()] == texts
+    assert TF.places(pa.array(["b", "c", "a"]), pa.array(["a", "b"])).tolist() == [1, -1, 0]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     vectors = SY.context_vectors(docs, spark.createDataFrame([], "term string"))
