@@ -66,8 +66,9 @@ def rule_rewrite(rule: str, text, w: Column | None = None) -> Column:
     elif rule == "reverse_sentences":
         out = F.reverse(sentences(t))
     elif rule == "dedupe_adjacent":
-        # a word equal to the word before it is dropped
-        out = F.filter(w, lambda x, i: (i == 0) | (x != F.get(w, i - 1)))
+        # a word equal to the word before it is dropped; the words are bound once as a
+        # lambda variable, as those of an expression would be split again for every word
+        out = F.get(F.transform(F.array(w), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))), 0)
     elif rule == "swap_pairs":
         # neighbours (1,2), (3,4), ... swap; a last odd word stays
         return F.regexp_replace(F.array_join(w, " "), r"([^ ]+) ([^ ]+)", "$2 $1")
