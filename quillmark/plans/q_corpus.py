@@ -102,8 +102,10 @@ def q_first_n(spark, sf_dir):
 def _wide_rules(spark, sf_dir):
     """Rewrite record in the reference's wide shape: one string column per prompt; an
     empty rewrite is missing (null)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cols = [F.nullif(V.rule_rewrite(r, "text"), F.lit("")).alias(V.TEXT_PROMPTS[i])
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # split once; a rule given no words splits the text itself
+    d = d.withColumn("_w", T.words("text"))
+    cols = [F.nullif(V.rule_rewrite(r, "text", F.col("_w")), F.lit("")).alias(V.TEXT_PROMPTS[i])
             for i, r in enumerate(V.RULES)]
     return d.select("doc_id", "text", F.lit("src").alias("source"), *cols)
 
