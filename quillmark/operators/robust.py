@@ -48,7 +48,8 @@ def mix_sentences(df: DataFrame, seed=2023, k: int = 4, key: str = "doc_id", spl
     Input: ``(key, text, variants ARRAY<STRUCT<variant_pos, text>>)``.  ``limit_rows``
     keeps the first records by key, as a saved sample does."""
     so = split("text")
-    orig_pick = F.element_at(so, (F.pmod(h32(seed, key, F.lit("o")), F.greatest(F.size(so), F.lit(1))) + 1).cast("int"))
+    # a text without a sentence has none to pick
+    orig_pick = F.try_element_at(so, (F.pmod(h32(seed, key, F.lit("o")), F.greatest(F.size(so), F.lit(1))) + 1).cast("int"))
     ranked = F.array_sort(F.transform("variants", lambda v: F.struct(
         hkey(seed, key, F.lit("p"), v["variant_pos"]).alias("k"), v["variant_pos"].alias("pos"),
         v["text"].alias("text"))))
