@@ -5,12 +5,12 @@ boundary detection", 2006): a word type is an abbreviation if it stands with a p
 more often than words do (log-likelihood ratio), weighed down by its length and by every
 time it stands without one; a type starts sentences if it follows a period that ends no
 abbreviation more often than chance.  The counts are two aggregates over the tokens of the
-corpus; at most ``MOST`` of each kind, the strongest, make the model.  Splitting is
-row-local: a period after an abbreviation or a single letter ends no sentence unless a
-starter follows."""
+corpus; all types that reach the scores make the model.  Splitting is row-local: a period
+after an abbreviation or a single letter ends no sentence unless a starter follows."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,9 +28,12 @@ ABBREVIATION = 0.3
 STARTER = 30.0
 #: Share of an abbreviation's uses that have the period, under the alternative.
 WITH_PERIOD = 0.99
-MOST = 1000
+#: Types that stand in the plan one by one; more are one literal, a table by their hash.
+IN_PLAN = 500
 #: A noncharacter, which no text holds, between sentences while a text is split.
 MARK = "﷐"
+#: Noncharacters around the types of a table and between its rows.
+EDGE, ROW = "﷑", "﷒"
 
 
 def _core(token: Column) -> Column:
@@ -101,6 +104,23 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     return counts.where("n_dot > 0").select("type", score.alias("score")).where(F.col("score") >= ABBREVIATION)
 
 
+def one_of(types: list[str]) -> Callable[[Column], Column]:
+    """Whether a type is one of these, however many: Spark folds the split of a constant into
+    one array, of which the type's hash names the row to look in."""
+    if len(types) <= IN_PLAN:
+        return lambda t: t.isin(types)  # a set, not a list to go through
+    odd = [x for x in types if EDGE in x or ROW in x]
+    rows = [EDGE] * len(types)
+    for x in set(types) - set(odd):
+        rows[zlib.crc32(x.encode()) % len(rows)] += x + EDGE
+    table = F.split(F.lit(ROW.join(rows)), ROW)
+
+    def found(t: Column) -> Column:
+        row = F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(len(rows))).cast("int"))
+        return (F.contains(row, F.concat(F.lit(EDGE), t, F.lit(EDGE))) & ~F.contains(t, F.lit(EDGE))) | t.isin(odd)
+    return found
+
+
 def _ends(short: list[str]) -> Column:
     return F.col("dot_before") & ~F.array_contains(F.lit(short).cast("array<string>"), F.col("before")) & (F.length("before") > 1)
 
@@ -130,13 +150,14 @@ class Splitter:
     def __call__(self, text) -> Column:
         t = F.col(text) if isinstance(text, str) else text
         white = F.lit(SENTENCE_TRIM)
+        short, starts = one_of(self.abbreviations), one_of(self.starters)
 
         def goes_on(part: Column, following: Column) -> Column:
             last = F.substring_index(F.translate(F.rtrim(part, white), SENTENCE_TRIM, " " * len(SENTENCE_TRIM)), " ", -1)
             first = _type(F.regexp_extract(following, TOKEN, 0))
             kind = _type(last)
-            stop = _dot(last) & (kind.isin(self.abbreviations) | F.rlike(kind, F.lit(r"^\p{L}$")))  # sets, not lists to go through
-            return following.isNotNull() & stop & ~first.isin(self.starters)
+            stop = _dot(last) & (short(kind) | F.rlike(kind, F.lit(r"^\p{L}$")))
+            return following.isNotNull() & stop & ~starts(first)
 
         def mark(parts: Column) -> Column:
             return F.transform(parts, lambda p, i: F.concat(p, F.when(F.coalesce(goes_on(p, F.try_element_at(parts, i + 2)), F.lit(False)), "").otherwise(MARK)))
@@ -147,15 +168,16 @@ class Splitter:
         return F.filter(F.transform(whole, lambda s: F.btrim(s, F.lit(SENTENCE_TRIM))), lambda s: s != F.lit(""))
 
 
-def learn(docs: DataFrame, text: str = "text", most: int = MOST) -> Splitter:
+def learn(docs: DataFrame, text: str = "text") -> Splitter:
     """A splitter from the counts of all texts."""
     every, after = different_tokens(docs, text)
     counts, after = stored(type_counts(every)), stored(after)  # as many rows as there are types and pairs
-    short = [r["type"] for r in abbreviations(counts).orderBy(F.desc("score"), "type").limit(most).collect()]
-    n_after = after.where(_ends(short)).groupBy("type").agg(F.sum("c").alias("n_after"))
+    short = stored(abbreviations(counts))
+    ends = after.where(F.length("before") > 1).join(short.select(F.col("type").alias("before")), "before", "left_anti")
+    n_after = ends.groupBy("type").agg(F.sum("c").alias("n_after"))
     found = counts.join(n_after, "type", "left").select("type", "n", F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
-    start = [r["type"] for r in _starters(found).orderBy(F.desc("ratio"), "type").limit(most).collect()]
-    return Splitter(short, start)
+    start = [r["type"] for r in _starters(found).orderBy(F.desc("ratio"), "type").collect()]
+    return Splitter([r["type"] for r in short.orderBy(F.desc("score"), "type").collect()], start)
 
 
 #: What the operators that work on sentences take: a column of texts to an array column.

@@ -275,12 +275,12 @@ def _ll(k, n, p):
 al AS (SELECT sum(n) AS total, sum(n_dot) / sum(n) AS p FROM ct),
 sc AS (SELECT type, -2 * ({_ll('n_dot', 'n', 'p')} - {_ll('n_dot', 'n', '0.99')}) * exp(-length(replace(type, '.', '')))
          * (length(type) - length(replace(type, '.', '')) + 1) * pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -(n - n_dot)) AS score FROM ct, al WHERE n_dot > 0),
-ab AS (SELECT list(type) AS a FROM (SELECT type FROM sc WHERE score >= 0.3 ORDER BY score DESC, type LIMIT 1000)),
+ab AS (SELECT list(type) AS a FROM sc WHERE score >= 0.3),
 st AS (SELECT type, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (dot_before AND NOT list_contains(coalesce(a, []), before) AND length(before) > 1) AS DOUBLE) AS k FROM tt, ab GROUP BY type),
 sl AS (SELECT sum(n) AS m, sum(k) AS e FROM st),
 ss AS (SELECT type, -2 * ({_ll('k', 'e', '(n / m)')} + {_ll('(n - k)', '(m - e)', '(n / m)')} - {_ll('k', 'e', '(k / e)')} - {_ll('(n - k)', '(m - e)', '((n - k) / (m - e))')}) AS ratio
        FROM st, sl WHERE k > 0 AND m / e > n / k),
-so AS (SELECT list(type) AS s FROM (SELECT type FROM ss WHERE ratio >= 30 ORDER BY ratio DESC, type LIMIT 1000)),
+so AS (SELECT list(type) AS s FROM ss WHERE ratio >= 30),
 se AS (SELECT doc_id, {S.sentences('text')} AS s FROM documents),
 bo AS (SELECT doc_id, unnest(list_zip(s[:len(s) - 1], s[2:])) AS r FROM se WHERE len(s) > 1),
 bt AS (SELECT doc_id, trim(regexp_extract(r[1], '[^ \\t\\n\\r\\f\\x0B]+$'), {_AROUND}) AS c, lower(rtrim(trim(regexp_extract(r[2], '[^ \\t\\n\\r\\f\\x0B]+'), {_AROUND}), '.')) AS f FROM bo),
