@@ -50,28 +50,24 @@ def eligible(df: DataFrame, lo: int = MIN_TOKENS, hi: int = MAX_TOKENS, text: st
     return x.filter(F.abs(2 * n - (lo + hi)) <= hi - lo).withColumn("n_tokens", F.size("_w"))
 
 
-def overlap_long(df: DataFrame, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def overlap_long(df: DataFrame, key: str = "doc_id", keep: list[str] | None = None, top: int = NGRAM_ORDERS[-1]) -> DataFrame:
     """One row per (record, variant): ``c1..c4`` = common distinct 1..4-grams between
-    the original (``toks``) and the variant, plus ``d1..d4`` = distinct n-grams of the
+    the original (``toks``, or ``text``) and the variant, plus ``d1..d4`` = distinct n-grams of the
     original (block 3, equal to its overlap with original + all rewrites).  A variant
-    without text keeps its row, with null counts.
+    without text keeps its row, with null counts.  ``top`` less than 4: only 1..top-grams.
 
     The counts of a record come from one call (``_overlap_udf``) and only they are
     exploded: neither the texts nor the original's n-grams are repeated per variant."""
-    keep = keep or []
+    keep, orders = keep or [], NGRAM_ORDERS[:top]
     v = F.col("variants")
     given = F.transform(F.coalesce(v, F.array().cast(df.schema["variants"].dataType)), lambda x: F.lower(x["text"]))
+    own = F.array_join("toks", " ") if "toks" in df.columns else F.lower("text")
     x = df.select(key, *keep, "n_tokens", F.transform(v, lambda x: x["variant_pos"]).alias("_vpos"),
-                  _overlap_udf(F.array_join("toks", " "), given).alias("ov"))
-    z = F.arrays_zip(F.col("_vpos").alias("variant_pos"), *[F.col(f"ov.c{n}").alias(f"c{n}") for n in NGRAM_ORDERS])
+                  _overlap_udf(top)(own, given).alias("ov"))
+    z = F.arrays_zip(F.col("_vpos").alias("variant_pos"), *[F.col(f"ov.c{n}").alias(f"c{n}") for n in orders])
     y = x.select(key, *keep, "n_tokens", "ov", F.inline(z))
-    return y.select(key, *keep, "n_tokens", "variant_pos", *[f"c{n}" for n in NGRAM_ORDERS],
-                    *[F.col(f"ov.d{n}").alias(f"d{n}") for n in NGRAM_ORDERS])
-
-
-_OVERLAP_TYPE = T.StructType(
-    [T.StructField(f"d{n}", T.LongType()) for n in NGRAM_ORDERS]
-    + [T.StructField(f"c{n}", T.ArrayType(T.LongType())) for n in NGRAM_ORDERS])
+    return y.select(key, *keep, "n_tokens", "variant_pos", *[f"c{n}" for n in orders],
+                    *[F.col(f"ov.d{n}").alias(f"d{n}") for n in orders])
 
 
 @cache
@@ -128,19 +124,25 @@ def gram_counts(tok: list, others: list[list | None], top: int) -> tuple[list[in
     return distinct, common
 
 
-@F.pandas_udf(_OVERLAP_TYPE)
-def _overlap_udf(text: pd.Series, variants: pd.Series) -> pd.DataFrame:
-    """Per record: distinct 1..4-gram counts of the original and, per variant, the size
+def _overlap_udf(top: int = NGRAM_ORDERS[-1]):
+    """Per record: distinct 1..top-gram counts of the original and, per variant, the size
     of the intersection (null for a variant that is null)."""
-    out = {f"{k}{n}": [] for k in ("d", "c") for n in NGRAM_ORDERS}
-    top = len(NGRAM_ORDERS)
-    for t, vs in zip(text, variants):
-        ds, cs = gram_counts(t.lower().split() if t is not None else [],
-                             [v.lower().split() if v is not None else None for v in (vs if vs is not None else [])], top)
-        for i, n in enumerate(NGRAM_ORDERS):
-            out[f"d{n}"].append(ds[i])
-            out[f"c{n}"].append(cs[i])
-    return pd.DataFrame(out)
+    orders = NGRAM_ORDERS[:top]
+    kind = T.StructType([T.StructField(f"d{n}", T.LongType()) for n in orders]
+                        + [T.StructField(f"c{n}", T.ArrayType(T.LongType())) for n in orders])
+
+    @F.pandas_udf(kind)
+    def run(text: pd.Series, variants: pd.Series) -> pd.DataFrame:
+        out = {f"{k}{n}": [] for k in ("d", "c") for n in orders}
+        for t, vs in zip(text, variants):
+            ds, cs = gram_counts(t.lower().split() if t is not None else [],
+                                 [v.lower().split() if v is not None else None for v in (vs if vs is not None else [])], top)
+            for i, n in enumerate(orders):
+                out[f"d{n}"].append(ds[i])
+                out[f"c{n}"].append(cs[i])
+        return pd.DataFrame(out)
+
+    return run
 
 
 def with_overlap_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -148,7 +150,7 @@ def with_overlap_counts(df: DataFrame, text: str = "text") -> DataFrame:
     ``vpos`` (the variants' positions).  A rewrite without text is missing: it is skipped,
     so it neither counts in means nor fills its slot.  Row-local: no shuffle."""
     given = present("variants")
-    return df.withColumn("ov", _overlap_udf(F.col(text), F.transform(given, lambda v: v["text"]))) \
+    return df.withColumn("ov", _overlap_udf()(F.col(text), F.transform(given, lambda v: v["text"]))) \
              .withColumn("vpos", F.transform(given, lambda v: v["variant_pos"]))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import features as G
-from ..operators.variants import RULES, rule_variants, unpacked
+from ..operators.variants import RULES, rule_variants
 from ..session import spread, stored
 from ..sources.tables import source_from_quality, table
 from . import sqlfrag as S
@@ -123,11 +123,9 @@ def q_ngrams(spark, sf_dir):
 @register("ngram_intersection", "C8", _sql_features_cte() + """
 SELECT doc_id, variant_pos, c1, c2 FROM ov""")
 def q_ngram_intersection(spark, sf_dir):
-    x = eligible_with_variants(spark, sf_dir)
-    v = x.select("doc_id", "toks", unpacked()).withColumn("t", T.tokens("text"))
-    return v.select("doc_id", "variant_pos",
-                    T.common_ngrams("toks", "t", 1).alias("c1"),
-                    T.common_ngrams("toks", "t", 2).alias("c2"))
+    # the intersections of a record's variants are counted together, its n-grams made once
+    x = rule_variants(G.eligible(spread(_docs(spark, sf_dir), "doc_id")))
+    return G.overlap_long(x, top=2).select("doc_id", "variant_pos", "c1", "c2")
 
 
 # -- D3 common2 (Summary-6 overlap part), D4 common4 --------------------------------
